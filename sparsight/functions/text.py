@@ -114,8 +114,9 @@ def pool_masked_mean(token_vectors: DataFrame, key: str) -> DataFrame:
     """Σ vector·mask / Σ mask over the tokens of each text, as ``key, vec``."""
     cells = token_vectors.select(key, "mask", F.posexplode("vec").alias("dim", "x"))
     mask = F.col("mask").cast("double")
-    means = cells.groupBy(key, "dim").agg(
-        (F.sum(F.col("x").cast("double") * mask) / F.sum(mask)).alias("x")
-    )
+    total, weight = F.sum(F.col("x").cast("double") * mask), F.sum(mask)
+    # A text whose tokens are all masked has no mean.
+    mean = F.when(weight != 0, total / weight).otherwise(F.lit(float("nan")))
+    means = cells.groupBy(key, "dim").agg(mean.alias("x"))
     packed = F.sort_array(F.collect_list(F.struct("dim", "x")))
     return means.groupBy(key).agg(F.transform(packed, lambda s: s["x"]).alias("vec"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparsight.storage import materialize
 
-# Fixed value: bits below the partition number in monotonically_increasing_id.
-POSITION_BITS = 33
+
+# Most file splits whose offsets are broadcast (about 200 bytes each).
+BROADCAST_SPLITS = 2_000_000
 
 
 def _with_split_offsets(rows: DataFrame, column: str) -> DataFrame:
@@ -17,11 +18,14 @@ def _with_split_offsets(rows: DataFrame, column: str) -> DataFrame:
     Only one summary row per file split is ordered in one place.
     """
     split = ["_file", "_start"]
-    splits = rows.groupBy(*split).agg(F.count("*").alias("_rows"), F.min("_pos").alias("_first"))
+    summary = rows.groupBy(*split).agg(F.count("*").alias("_rows"), F.min("_pos").alias("_first"))
+    splits = materialize(summary, "splits")
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         *split, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
+    if splits.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     index = F.col("_before") + F.col("_pos") - F.col("_first")
     return rows.join(offsets, split).withColumn(column, index).drop(*split, "_pos", "_first", "_before")
 
