@@ -186,14 +186,14 @@ GRADIENTS = [
     *PAIRS,
     """pull AS MATERIALIZED (SELECT *, (s_hat * sum(t / (s_hat + z_hat)) OVER (PARTITION BY qid)
         - t * (1.0e0 - u)) / sqrt(dim) AS g FROM shares)""",
-    "sizes AS (SELECT count(DISTINCT qid) AS n, count(*) AS m FROM pairs)",
+    "sizes AS (SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_passages FROM pairs)",
     """outputs AS MATERIALIZED (
         SELECT qid AS id, list(value ORDER BY d) AS gx FROM (
-            SELECT qid, d, any_value(2.0e0 * (q_hat[d + 1] - q[d + 1])) / any_value(n * dim)
+            SELECT qid, d, any_value(2.0e0 * (q_hat[d + 1] - q[d + 1])) / any_value(n_queries * dim)
                 + sum(g * p_hat[d + 1]) AS value
             FROM pull, sizes, (SELECT dim AS d FROM dims) GROUP BY qid, d) GROUP BY qid
         UNION ALL
-        SELECT pid, list_transform(range(dim), lambda d: 2.0e0 * (p_hat[d + 1] - p[d + 1]) / (m * dim)
+        SELECT pid, list_transform(range(dim), lambda d: 2.0e0 * (p_hat[d + 1] - p[d + 1]) / (n_passages * dim)
             + g * q_hat[d + 1]) FROM pull, sizes)""",
     """active AS MATERIALIZED (SELECT feature, weight, gx, x, list_dot_product(gx, w_dec) AS delta, w_enc
         FROM outputs JOIN codes USING (id) JOIN c USING (id) JOIN w USING (feature))""",
