@@ -283,7 +283,7 @@ def q_write_model(spark, sf):
     base = fresh_path(spark, "models")
     weights, bias = part_weights(spark, sf)
     snapshot = T.snapshot_of(weights, bias, width(spark, sf))
-    state = T._state_table(spark, T.FitState(epoch=0, rate=0.001))
+    state = T.state_table(spark, T.FitState(epoch=0, rate=0.001))
     tables.write_model(snapshot, state, base, "parts", "last", 0)
     saved, _ = tables.scan_model(spark, base, "parts", "last")
     return saved.select("feature", r6("b_enc").alias("b_enc"), r6(F.col("w_enc")[0]).alias("w_enc_first"),
@@ -294,7 +294,7 @@ def q_scan_model(spark, sf):
     base = fresh_path(spark, "models")
     weights, bias = part_weights(spark, sf)
     snapshot = T.snapshot_of(weights, bias, width(spark, sf))
-    tables.write_model(snapshot, T._state_table(spark, T.FitState(epoch=0)), base, "parts", "best", 0)
+    tables.write_model(snapshot, T.state_table(spark, T.FitState(epoch=0)), base, "parts", "best", 0)
     loaded = T.model_of(tables.scan_model(spark, base, "parts", "best")[0])
     return loaded.weights.select("feature", F.lit(loaded.size).cast("bigint").alias("size"),
                                  F.lit(loaded.dim).alias("width"), r6("b_enc").alias("b_enc"))
@@ -314,7 +314,7 @@ def q_export_qrel_file(spark, sf):
 
 def q_write_metrics(spark, sf):
     base = fresh_path(spark, "reports")
-    run, qrels = part_run(spark, sf), part_qrels(spark, sf)
+    run, qrels = stored_run(spark, sf)
     for config in ("spend", "quantity"):
         tables.write_metrics(V.evaluate(run.filter(F.col("config") == config), qrels, ("num_", "recip_rank")), base)
     return tables.scan_metrics(spark, base).select("config", "measure", r6("value").alias("value"))
@@ -540,13 +540,19 @@ def q_sparse_index_create(spark, sf):
     return P.sparse_index_open(spark, base, "parts").select("pid", "feature", "weight")
 
 
+def stored_postings(spark, sf):
+    """Query postings and the index, each written once."""
+    return materialize(customer_postings(spark, sf), "asked"), materialize(order_postings(spark, sf), "index")
+
+
 def q_sparse_topk(spark, sf):
-    return P.sparse_topk(customer_postings(spark, sf), order_postings(spark, sf), TOP_K)
+    return P.sparse_topk(*stored_postings(spark, sf), TOP_K)
 
 
 def q_sparse_topk_batch(spark, sf):
     customers = R.with_row_index(table(spark, sf, "customer").select(F.col("c_custkey").alias("qid")))
-    return P.sparse_topk_batch(customer_postings(spark, sf), customers, order_postings(spark, sf), TOP_K)
+    asked, index = stored_postings(spark, sf)
+    return P.sparse_topk_batch(asked, customers, index, TOP_K)
 
 
 def q_fetch_vectors(spark, sf):
@@ -698,16 +704,21 @@ def q_judge_run(spark, sf):
     return V.judge_run(part_run(spark, sf), part_qrels(spark, sf))
 
 
+def stored_run(spark, sf):
+    """The run and its judgments, each written once, as a scorer reads them."""
+    return materialize(part_run(spark, sf), "run"), materialize(part_qrels(spark, sf), "qrels")
+
+
 def measured(*names: str):
     def query(spark, sf):
-        metrics = V.evaluate(part_run(spark, sf), part_qrels(spark, sf), names)
+        metrics = V.evaluate(*stored_run(spark, sf), names)
         return metrics.select("config", "measure", r6("value").alias("value"))
 
     return query
 
 
 def q_compare_configs(spark, sf):
-    metrics = V.evaluate(part_run(spark, sf), part_qrels(spark, sf), oracles.COMPARED)
+    metrics = V.evaluate(*stored_run(spark, sf), oracles.COMPARED)
     wide = V.compare_configs(metrics, ["spend", "quantity"])
     return wide.select("measure", r6("spend").alias("spend"), r6("quantity").alias("quantity"))
 

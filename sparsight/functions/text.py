@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparsight.functions.columns import NORM_FLOOR
-from sparsight.operators.blocks import list_array
+from sparsight.operators.blocks import list_array, matrix
 
 # What each encoder wants in front of a query.
 INSTRUCTIONS = {
@@ -111,10 +111,32 @@ def pool_first(token_vectors: DataFrame, key: str) -> DataFrame:
 
 
 def pool_masked_mean(token_vectors: DataFrame, key: str) -> DataFrame:
-    """Σ vector·mask / Σ mask over the tokens of each text, as ``key, vec``."""
-    cells = token_vectors.select(key, "mask", F.posexplode("vec").alias("dim", "x"))
-    mask = F.col("mask").cast("double")
-    total, weight = F.sum(F.col("x").cast("double") * mask), F.sum(mask)
+    """Σ vector·mask / Σ mask over the tokens of each text, as ``key, vec``.
+
+    Batches are added up per text before the shuffle, so a text with very many
+    tokens arrives as few rows.
+    """
+    field = f"`{key}` {token_vectors.schema[key].dataType.simpleString()}"
+
+    def partial(stream):
+        for batch in stream:
+            if batch.num_rows == 0:
+                continue
+            codes = batch.column(key).dictionary_encode()
+            place = codes.indices.to_numpy()
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(len(codes.dictionary)))
+            mask = batch.column("mask").to_numpy(zero_copy_only=False).astype(np.float64)
+            weighted = matrix(batch.column("vec")) * mask[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [codes.dictionary, list_array(np.add.reduceat(weighted[order], starts, axis=0)),
+                 pa.array(np.add.reduceat(mask[order], starts))],
+                names=[key, "vec", "mask"],
+            )
+
+    sums = token_vectors.select(key, "vec", "mask").mapInArrow(partial, f"{field}, vec array<double>, mask double")
+    cells = sums.select(key, "mask", F.posexplode("vec").alias("dim", "x"))
+    total, weight = F.sum("x"), F.sum("mask")
     # A text whose tokens are all masked has no mean.
     mean = F.when(weight != 0, total / weight).otherwise(F.lit(float("nan")))
     means = cells.groupBy(key, "dim").agg(mean.alias("x"))

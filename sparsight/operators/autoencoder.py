@@ -29,7 +29,7 @@ from sparsight.operators.blocks import (
     top_products,
 )
 
-# Largest model, in bytes of encoder plus decoder, that is broadcast.
+# Largest model, in bytes of encoder plus decoder, that is broadcast by default.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
@@ -41,9 +41,10 @@ class SparseModel:
     b_dec: tuple[float, ...]
     size: int
     dim: int
+    broadcast_bytes: int = BROADCAST_BYTES
 
     @staticmethod
-    def of(weights: DataFrame, dec_bias: DataFrame) -> "SparseModel":
+    def of(weights: DataFrame, dec_bias: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> "SparseModel":
         """Check the shapes and read the one-row decoder bias."""
         size, least, most, decoder = weights.agg(
             F.count("*"),
@@ -54,14 +55,14 @@ class SparseModel:
         bias = dec_bias.first()
         if not size or bias is None or not least == most == decoder == len(bias.b_dec):
             raise ValueError("weights and decoder bias differ in width")
-        return SparseModel(weights, tuple(float(b) for b in bias.b_dec), size, most)
+        return SparseModel(weights, tuple(float(b) for b in bias.b_dec), size, most, broadcast_bytes)
 
     @property
     def bytes(self) -> int:
         return 16 * self.size * self.dim
 
-    def fits_broadcast(self, limit: int = BROADCAST_BYTES) -> bool:
-        return self.bytes <= limit
+    def fits_broadcast(self) -> bool:
+        return self.bytes <= self.broadcast_bytes
 
     def broadcast(self):
         """The ``ModelArrays`` fields, in feature order, as one size-checked broadcast."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bytes of one side of a cell.
-BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 128 * 1024 * 1024
 # Multiply-adds that justify a task of their own.
 TASK_WORK = 2e8
 # Above this many cells they are hashed onto partitions instead of owning one each.
@@ -26,8 +26,8 @@ MAX_DIRECT_CELLS = 20_000
 SCRATCH = 4_000_000
 
 
-def blocks_for(rows: int, row_bytes: int, budget: int = BLOCK_BYTES) -> int:
-    return max(1, math.ceil(rows * max(row_bytes, 1) / budget))
+def blocks_for(rows: int, row_bytes: int) -> int:
+    return max(1, math.ceil(rows * max(row_bytes, 1) / BLOCK_BYTES))
 
 
 def spread(blocks: int, work: float, parallelism: int) -> int:
