@@ -272,6 +272,28 @@ def q_scan_neighbors(spark, sf):
     return scored(tables.scan_neighbors(spark, base, "given", "dev"))
 
 
+def q_write_qrels(spark, sf):
+    base = fresh_path(spark, "corpus")
+    qrels = part_qrels(spark, sf)
+    tables.write_qrels(qrels.withColumn("split", F.lit("train")), base)
+    rows = spark.read.parquet(f"{base}/qrels")
+    return rows.select(F.col("split").cast("string").alias("split"), "qid", "pid", "rel")
+
+
+def q_write_neighbors(spark, sf):
+    base = fresh_path(spark, "corpus")
+    tables.write_neighbors(neighbors(spark, sf), base, "given")
+    rows = spark.read.parquet(f"{base}/neighbors/given")
+    return rows.select(F.col("split").cast("string").alias("split"), "qid", "rank", "pid", r6("score").alias("score"))
+
+
+def q_write_fit_history(spark, sf):
+    base = fresh_path(spark, "models")
+    losses = M.epoch_losses(terms(spark, sf)).select(F.lit(0).alias("epoch"), "mse", "kld")
+    tables.write_fit_history(losses.unpivot("epoch", ["mse", "kld"], "name", "value"), base, "given")
+    return tables.scan_fit_history(spark, base, "given").select("epoch", "name", r6("value").alias("value"))
+
+
 def part_weights(spark, sf):
     """Start weights with one feature per part."""
     parts = table(spark, sf, "part")
@@ -606,7 +628,7 @@ def q_fit_gradients(spark, sf):
 
 def q_fit_adam_step(spark, sf):
     snapshot = T.snapshot_of(*start_weights(spark, sf), width(spark, sf))
-    moved = T.fit_adam_step(snapshot, materialize(gradients(spark, sf), "gradients"), 0.001, 1)
+    moved = T.fit_adam_step(snapshot, materialize(gradients(spark, sf), "gradients"), oracles.RATE, 1)
     entries = F.posexplode(F.arrays_zip("w_dec", "w_enc")).alias("dim", "w")
     return moved.select("feature", r6("b_enc").alias("b_enc"), entries).select(
         "feature", "b_enc", "dim", r6("w.w_dec").alias("w_dec"), r6("w.w_enc").alias("w_enc")
@@ -617,7 +639,7 @@ def q_fit(spark, sf):
     base = fresh_path(spark, "models")
     train = materialize(pairs(spark, sf), "pairs")
     history = T.fit(base, "given", train, train, *start_weights(spark, sf), LATENT_K,
-                    epochs=2, batch_size=1024, rate=0.001, seed=SEED)
+                    epochs=2, batch_size=1024, rate=oracles.RATE, seed=SEED)
     return history.select("epoch", "name", r6("value").alias("value"))
 
 
@@ -701,7 +723,7 @@ def q_rank_run(spark, sf):
 
 
 def q_judge_run(spark, sf):
-    return V.judge_run(part_run(spark, sf), part_qrels(spark, sf))
+    return V.judge_run(*stored_run(spark, sf))
 
 
 def stored_run(spark, sf):

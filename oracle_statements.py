@@ -8,6 +8,7 @@ from sparsight.plans.retrieval import config_name, feedback_grid
 
 LATENT_SIZE, LATENT_K, SEED = 128, 8, 7
 TOP_K, PAIR_K, BATCH = 10, 4, 64
+RATE = 0.001
 # Hits, features and delta of the single feedback setting.
 FEEDBACK = (4, 2, 0.16)
 
@@ -207,6 +208,21 @@ GRADIENTS = [
             (SELECT dim, sum(delta * w_enc[dim + 1]) AS s FROM active, dims GROUP BY dim) a USING (dim))""",
 ]
 
+
+
+def _first_step(value: str, gradient: str) -> str:
+    """Adam's first step from zero moments, unsimplified."""
+    mean = f"0.1e0 * coalesce({gradient}, 0) / (1 - 0.9e0)"
+    square = f"0.001e0 * coalesce({gradient}, 0) * coalesce({gradient}, 0) / (1 - 0.999e0)"
+    return f"{value} - {_num(RATE)} * ({mean}) / (sqrt({square}) + 1.0e-8)"
+
+
+ADAM = [
+    *GRADIENTS,
+    """rows AS (SELECT feature, b_enc, w_dec, w_enc FROM w UNION ALL
+        SELECT -1, 0.0e0, b_dec, list_transform(b_dec, lambda b: 0.0e0) FROM bd)""",
+]
+
 # --- postings and rankings -------------------------------------------------
 
 ORDER_POSTINGS = "SELECT l_orderkey AS pid, l_partkey AS feature, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL"
@@ -385,6 +401,10 @@ def statements() -> dict[str, str]:
             FROM (SELECT row_number() OVER () - 1 AS vec_row FROM embeddings) GROUP BY ALL""",
         "scan_relevance": _with(QRELS) + "SELECT 'dev' AS split, qid, pid, rel FROM qrels",
         "scan_neighbors": near_rows,
+        "write_qrels": _with(QRELS) + "SELECT 'train' AS split, qid, pid, rel FROM qrels",
+        "write_neighbors": near_rows,
+        "write_fit_history": _with(*PAIRS) + f"""SELECT 0 AS epoch, 'mse' AS name, {_r6('avg(mse)')} AS value FROM losses
+            UNION ALL SELECT 0, 'kld', {_r6('avg(kld)')} FROM losses""",
         "write_model": _with(*PART_MODEL) + f"""SELECT feature, {_r6('b_enc')} AS b_enc, {_r6('w_enc[1]')} AS w_enc_first,
             {_r6('w_dec[1]')} AS w_dec_first, len(w_dec)::INT AS width FROM w
             UNION ALL SELECT -1, 0.0e0, 0.0e0, {_r6('b_dec[1]')}, len(b_dec)::INT FROM bd""",
@@ -404,6 +424,8 @@ def statements() -> dict[str, str]:
         "zip_ids_vectors": f"""SELECT v.row_idx, d.pid, dim, value FROM ({_rows(f'({INDEXED_VECTORS})', 'row_idx')}) v
             JOIN ({INDEXED_DOCUMENTS}) d USING (row_idx)""",
         "assign_batches": f"SELECT o_orderkey, row_idx // 512 AS batch_id FROM ({INDEXED_ORDERS})",
+        "assign_batches_shuffled": f"""SELECT o_orderkey, (row_number() OVER
+            (ORDER BY md5('{SEED}:' || row_idx), row_idx) - 1) // 512 AS batch_id FROM ({INDEXED_ORDERS})""",
         "head_batch": f"SELECT * FROM ({INDEXED_DOCUMENTS}) ORDER BY row_idx LIMIT 8",
         "positive_only": """SELECT c_custkey AS id, c_nationkey AS feature, c_acctbal AS weight FROM customer
             WHERE c_acctbal > 0""",
@@ -465,6 +487,9 @@ def statements() -> dict[str, str]:
         "validate": _with(*PAIRS) + f"""SELECT {_r6('avg(mse)')} AS mse, {_r6('avg(kld)')} AS kld,
             {_r6('avg(mse) + avg(kld)')} AS total FROM losses""",
         "fit_gradients": _with(*GRADIENTS) + gradient_rows,
+        "fit_adam_step": _with(*ADAM) + f"""SELECT feature, {_r6(_first_step('b_enc', 'd_bias'))} AS b_enc, dim,
+            {_r6(_first_step('w_dec[dim + 1]', 'd_dec'))} AS w_dec, {_r6(_first_step('w_enc[dim + 1]', 'd_enc'))} AS w_enc
+            FROM rows CROSS JOIN dims LEFT JOIN grads USING (feature, dim)""",
         # pipelines
         "retrieve_reconstructed": _with(*RECONSTRUCTED, _search("hat", "hat", "hits", TOP_K)) + hit_rows,
         "retrieve_latent": _with(*LATENT) + hit_rows,

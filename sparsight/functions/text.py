@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
@@ -65,19 +66,22 @@ class HashedWords:
         self.size = size
 
     def inputs(self, text: Column) -> Column:
-        def bucket(token):
-            return F.pmod(F.conv(F.substring(F.md5(token), 1, 6), 16, 10).cast("int"), F.lit(self.size))
-
-        return F.transform(tokens(text), bucket)
+        return tokens(text)
 
     def load(self):
         size = self.size
 
-        def encode(buckets: pa.Array) -> np.ndarray:
-            lengths = buckets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(buckets)), lengths)
-            place = row * size + buckets.flatten().to_numpy(zero_copy_only=False)
-            counts = np.bincount(place, minlength=len(buckets) * size).reshape(-1, size).astype(float)
+        def bucket(token: str) -> int:
+            return int(md5(token.encode()).hexdigest()[:6], 16) % size
+
+        def encode(texts: pa.Array) -> np.ndarray:
+            lengths = texts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), lengths)
+            words = texts.flatten().dictionary_encode()
+            # Each distinct word of the batch is hashed once.
+            buckets = np.array([bucket(w) for w in words.dictionary.to_pylist()], np.int64)
+            place = row * size + buckets[words.indices.to_numpy()]
+            counts = np.bincount(place, minlength=len(texts) * size).reshape(-1, size).astype(float)
             norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return counts / np.maximum(norm, NORM_FLOOR)
 

@@ -76,7 +76,7 @@ def assign_batches(
     """
     if not shuffle:
         return df.withColumn("batch_id", F.call_function("div", F.col(position), F.lit(size)).cast("bigint"))
-    order = [F.xxhash64(F.col(position), F.lit(seed)), F.col(position)]
+    order = [F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(position).cast("string"))), F.col(position)]
     placed = with_ordered_index(df, order, "_turn")
     return placed.withColumn(
         "batch_id", F.call_function("div", F.col("_turn"), F.lit(size)).cast("bigint")

@@ -8,6 +8,7 @@ shuffled; a larger one is cut into feature blocks that meet the vectors in cells
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,10 +23,10 @@ from sparsight.operators.blocks import (
     cogroup_cells,
     group_starts,
     inner_topk,
+    left_blocks_for,
     list_array,
     matrix,
     row_block,
-    spread,
     top_products,
 )
 
@@ -64,7 +65,8 @@ class SparseModel:
     def fits_broadcast(self) -> bool:
         return self.bytes <= self.broadcast_bytes
 
-    def broadcast(self):
+    @functools.cached_property
+    def arrays(self):
         """The ``ModelArrays`` fields, in feature order, as one size-checked broadcast."""
         if not self.fits_broadcast():
             raise ValueError(f"model of {self.bytes} bytes is over the broadcast bound")
@@ -163,9 +165,8 @@ def encode(vectors: DataFrame, model: SparseModel, keys: Sequence[str]) -> DataF
     feature_blocks = blocks_for(model.size, 8 * model.dim)
     lhs = vectors.select(*keys, "vec")
     rows = lhs.count()
-    row_blocks = spread(
-        blocks_for(rows, 8 * model.dim),
-        float(rows) * model.size * model.dim / feature_blocks,
+    row_blocks = left_blocks_for(
+        rows, 8 * model.dim, feature_blocks, float(rows) * model.size * model.dim,
         vectors.sparkSession.sparkContext.defaultParallelism,
     )
 
@@ -196,7 +197,7 @@ def _postings(vectors: DataFrame, model: SparseModel, k: int, keys: Sequence[str
         source = center(vectors, model) if centred else vectors
         hits = inner_topk(source, model.weights, k, keys, "feature", "vec", "w_enc", bias="b_enc")
         return hits.filter(F.col("score") > 0).select(*keys, "feature", F.col("score").alias("weight"))
-    arrays = model.broadcast()
+    arrays = model.arrays
     names = list(keys)
 
     def batches(stream):
@@ -231,9 +232,8 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
     rhs = model.weights.select(F.col("feature").alias("w_feature"), "w_dec")
     feature_blocks = blocks_for(model.size, 8 * model.dim)
     rows = ids.count()
-    row_blocks = spread(
-        blocks_for(rows, 8 * model.dim),
-        64.0 * rows * model.dim,
+    row_blocks = left_blocks_for(
+        rows, 8 * model.dim, feature_blocks, 64.0 * rows * model.dim,
         ids.sparkSession.sparkContext.defaultParallelism,
     )
     bias = np.array(model.b_dec)
@@ -287,7 +287,7 @@ def reconstruct(vectors: DataFrame, model: SparseModel, k: int, keys: Sequence[s
     names = list(keys)
     if not model.fits_broadcast():
         return decode(ksparse_features(vectors, model, k, names), model, vectors, names)
-    arrays = model.broadcast()
+    arrays = model.arrays
 
     def batches(stream):
         for batch in stream:

@@ -30,9 +30,14 @@ def blocks_for(rows: int, row_bytes: int) -> int:
     return max(1, math.ceil(rows * max(row_bytes, 1) / BLOCK_BYTES))
 
 
-def spread(blocks: int, work: float, parallelism: int) -> int:
-    """At least ``blocks``, more while the work fills further tasks."""
-    return max(blocks, min(parallelism, math.ceil(work / TASK_WORK)))
+def left_blocks_for(rows: int, row_bytes: int, right_blocks: int, work: float, parallelism: int) -> int:
+    """Left blocks that bound the bytes of a cell and, for enough work, keep all cores busy.
+
+    Every further left block copies the right side once more, so cells are added
+    only up to the number of cores.
+    """
+    tasks = min(parallelism, math.ceil(work / TASK_WORK))
+    return max(blocks_for(rows, row_bytes), math.ceil(tasks / right_blocks))
 
 
 def row_block(keys: Sequence[str], blocks: int):
@@ -196,9 +201,8 @@ def inner_topk(
         n_right, dim = rhs.agg(F.count("*"), F.max(F.size("_y"))).first()
         row_bytes = 8 * (dim or 1)
         right_blocks = right_blocks or blocks_for(n_right, row_bytes)
-        left_blocks = left_blocks or spread(
-            blocks_for(n_left, row_bytes),
-            float(n_left) * n_right * (dim or 1) / right_blocks,
+        left_blocks = left_blocks or left_blocks_for(
+            n_left, row_bytes, right_blocks, float(n_left) * n_right * (dim or 1),
             spark.sparkContext.defaultParallelism,
         )
 

@@ -25,6 +25,10 @@ GEOMETRIC_FLOOR = 1e-5
 INFERRED_SMOOTHING = 1e-5
 SHARE_ROUNDING = 0.9
 
+# Measures that are added up, and those reported as a geometric mean too.
+SUMMED = ("num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret")
+GEOMETRIC = {"map": "gm_map", "bpref": "gm_bpref"}
+
 # Ranks per running-count bucket, and ideal ranks summed in one row.
 BUCKET = 1024
 IDEAL_CHUNK = 4096
@@ -72,18 +76,14 @@ def judge_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return _with_running_counts(judged).select("config", "qid", "pid", "rank", "rel", "rel_so_far")
 
 
-def _share(of: Column | str, x: float) -> Column:
-    """int(x·R + 0.9)."""
-    return F.floor(F.lit(x) * F.col(of) + F.lit(SHARE_ROUNDING)).cast("bigint")
-
+def _share(x: float) -> str:
+    """int(x·R + 0.9) as SQL."""
+    return f"cast(floor({x}D * num_rel + {SHARE_ROUNDING}D) AS bigint)"
 
-def _safe(numerator: Column, denominator: Column) -> Column:
-    return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
-
-def _total(condition: Column, value: Column | float = 1.0) -> Column:
-    value = value if isinstance(value, Column) else F.lit(value)
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
+def _safe(numerator: str, denominator: str) -> str:
+    """A quotient that is 0 where there is nothing to divide by."""
+    return f"CASE WHEN {denominator} > 0 THEN ({numerator}) / ({denominator}) ELSE 0D END"
 
 
 def ideal_gains(qrels: DataFrame, cutoffs: Iterable[int]) -> DataFrame:
@@ -133,98 +133,87 @@ def per_query(run: DataFrame, qrels: DataFrame, complete: bool = False) -> DataF
         returned = every.join(returned, ["config", "qid"], "left").fillna(0, ["num_ret"])
     queries = returned.join(judgments, "qid").join(ideal_gains(qrels, CUTOFFS), "qid", "left")
 
-    hits = _with_running_counts(_judged(run, qrels))
-    # The per-query counts that the sums over hits refer to.
-    hits = hits.join(judgments, "qid")
-    rank, rel = F.col("rank"), F.col("rel")
-    is_rel, so_far = rel >= 1, F.col("rel_so_far").cast("double")
-    n_rel, n_nonrel = F.col("num_rel"), F.col("num_nonrel")
-    precision = so_far / rank
-    gain = rel / F.log2(rank + 1.0)
-    above = rank - 1
-    r, n, u = so_far - 1, F.col("nonrel_so_far"), F.col("unjudged_so_far")
-    eps = F.lit(INFERRED_SMOOTHING)
-    inferred = F.when(rank == 1, F.lit(1.0)).otherwise(
-        F.lit(1.0) / rank
-        + (above / rank) * ((r + n + u) / F.greatest(above, F.lit(1))) * ((r + eps) / (r + n + 2 * eps))
-    )
-    preferred = F.when(n > 0, 1 - F.least(n, n_rel) / F.least(n_nonrel, n_rel)).otherwise(F.lit(1.0))
-    sums = hits.groupBy("config", "qid").agg(
-        _total(is_rel).alias("num_rel_ret"),
-        _total(rel == 0).alias("num_nonrel_judged_ret"),
-        _total(is_rel, precision).alias("ap"),
-        *[_total(is_rel & (rank <= k), precision).alias(f"ap_{k}") for k in CUTOFFS],
-        F.min(F.when(is_rel, rank)).alias("first_rel"),
-        *[_total(is_rel & (rank <= k)).alias(f"rel_{k}") for k in sorted({*CUTOFFS, *SUCCESS_CUTOFFS})],
-        _total(is_rel, gain).alias("dcg"),
-        *[_total(is_rel & (rank <= k), gain).alias(f"dcg_{k}") for k in CUTOFFS],
-        *[_total(is_rel & (rank <= _share("num_rel", x))).alias(f"rel_{i}x") for i, x in enumerate(R_MULTIPLES)],
-        *[
-            F.max(F.when(is_rel & (so_far >= _share("num_rel", x)), precision)).alias(f"iprec_{i}")
-            for i, x in enumerate(RECALL_LEVELS)
-        ],
-        _total(is_rel, preferred).alias("bpref_sum"),
-        _total(is_rel, inferred).alias("inf_sum"),
+    # What each judged hit adds, once the counts of its query are at hand.
+    eps = f"{INFERRED_SMOOTHING}D"
+    hits = _with_running_counts(_judged(run, qrels)).join(judgments, "qid").selectExpr(
+        "config", "qid", "rank", "rel", "num_rel",
+        "rel >= 1 AS hit",
+        "rel_so_far",
+        "rel_so_far / rank AS precision",
+        "rel / log2(rank + 1D) AS gain",
+        """CASE WHEN rel < 1 THEN NULL WHEN nonrel_so_far > 0
+            THEN 1 - least(nonrel_so_far, num_rel) / least(num_nonrel, num_rel) ELSE 1D END AS preferred""",
+        f"""CASE WHEN rel < 1 THEN NULL WHEN rank = 1 THEN 1D ELSE 1D / rank + (rank - 1) / rank
+            * ((rel_so_far - 1 + nonrel_so_far + unjudged_so_far) / (rank - 1))
+            * ((rel_so_far - 1 + {eps}) / (rel_so_far - 1 + nonrel_so_far + 2 * {eps})) END AS inferred""",
     )
-    numbers = [c for c in sums.columns if c not in ("config", "qid", "first_rel")]
-    table = queries.join(sums, ["config", "qid"], "left").fillna(0.0, [*numbers, "ideal", *[f"ideal_{k}" for k in CUTOFFS]])
-
-    ret, found = F.col("num_ret"), F.col("num_rel_ret")
-    set_p, set_recall = _safe(found, ret), _safe(found, n_rel)
+    sums = {
+        "num_rel_ret": "count_if(hit)",
+        "num_nonrel_judged_ret": "count_if(rel = 0)",
+        "ap": "sum(precision) FILTER (WHERE hit)",
+        "dcg": "sum(gain) FILTER (WHERE hit)",
+        "first_rel": "min(rank) FILTER (WHERE hit)",
+        "bpref_sum": "sum(preferred)",
+        "inf_sum": "sum(inferred)",
+    }
+    for k in CUTOFFS:
+        sums[f"ap_{k}"] = f"sum(precision) FILTER (WHERE hit AND rank <= {k})"
+        sums[f"dcg_{k}"] = f"sum(gain) FILTER (WHERE hit AND rank <= {k})"
+    for k in sorted({*CUTOFFS, *SUCCESS_CUTOFFS}):
+        sums[f"rel_{k}"] = f"count_if(hit AND rank <= {k})"
+    for i, x in enumerate(R_MULTIPLES):
+        sums[f"rel_{i}x"] = f"count_if(hit AND rank <= {_share(x)})"
+    for i, x in enumerate(RECALL_LEVELS):
+        sums[f"iprec_{i}"] = f"max(precision) FILTER (WHERE hit AND rel_so_far >= {_share(x)})"
+    summed = hits.groupBy("config", "qid").agg(*[F.expr(e).alias(name) for name, e in sums.items()])
+    table = queries.join(summed, ["config", "qid"], "left")
+    # A judged query without judged hits has no sums: they are zero.
+    zeros = [c for c in table.columns if c not in ("config", "qid", "first_rel")]
+    table = table.selectExpr("config", "qid", "first_rel", *[f"coalesce({c}, 0) AS {c}" for c in zeros])
+
+    set_p, set_recall = _safe("num_rel_ret", "num_ret"), _safe("num_rel_ret", "num_rel")
     measures = {
-        "num_ret": ret.cast("double"),
-        "num_rel": n_rel.cast("double"),
-        "num_rel_ret": found,
-        "num_nonrel_judged_ret": F.col("num_nonrel_judged_ret"),
-        "map": _safe(F.col("ap"), n_rel),
-        "recip_rank": F.coalesce(F.lit(1.0) / F.col("first_rel"), F.lit(0.0)),
-        "ndcg": _safe(F.col("dcg"), F.col("ideal")),
-        "Rprec": _safe(F.col(f"rel_{R_MULTIPLES.index(1.0)}x"), n_rel),
-        "bpref": _safe(F.col("bpref_sum"), n_rel),
-        "infAP": _safe(F.col("inf_sum"), n_rel),
-        "utility": found - (ret - found),
+        **{name: name for name in SUMMED},
+        "map": _safe("ap", "num_rel"),
+        "recip_rank": "coalesce(1D / first_rel, 0D)",
+        "ndcg": _safe("dcg", "ideal"),
+        "Rprec": _safe(f"rel_{R_MULTIPLES.index(1.0)}x", "num_rel"),
+        "bpref": _safe("bpref_sum", "num_rel"),
+        "infAP": _safe("inf_sum", "num_rel"),
+        "utility": "num_rel_ret - (num_ret - num_rel_ret)",
         "set_P": set_p,
         "set_recall": set_recall,
-        "set_F": _safe(2 * set_p * set_recall, set_p + set_recall),
-        "set_map": set_p * set_recall,
-        "set_relative_P": _safe(found, F.least(ret, n_rel)),
+        "set_F": _safe("2D * num_rel_ret", "num_ret + num_rel"),
+        "set_map": f"({set_p}) * ({set_recall})",
+        "set_relative_P": _safe("num_rel_ret", "least(num_ret, num_rel)"),
     }
     for k in CUTOFFS:
-        rel_k = F.col(f"rel_{k}")
-        measures[f"map_cut_{k}"] = _safe(F.col(f"ap_{k}"), n_rel)
-        measures[f"P_{k}"] = rel_k / k
-        measures[f"recall_{k}"] = _safe(rel_k, n_rel)
-        measures[f"relative_P_{k}"] = _safe(rel_k, F.least(F.lit(k), n_rel))
-        measures[f"ndcg_cut_{k}"] = _safe(F.col(f"dcg_{k}"), F.col(f"ideal_{k}"))
+        measures[f"map_cut_{k}"] = _safe(f"ap_{k}", "num_rel")
+        measures[f"P_{k}"] = f"rel_{k} / {k}"
+        measures[f"recall_{k}"] = _safe(f"rel_{k}", "num_rel")
+        measures[f"relative_P_{k}"] = _safe(f"rel_{k}", f"least({k}, num_rel)")
+        measures[f"ndcg_cut_{k}"] = _safe(f"dcg_{k}", f"ideal_{k}")
     for k in SUCCESS_CUTOFFS:
-        measures[f"success_{k}"] = (F.col(f"rel_{k}") > 0).cast("double")
+        measures[f"success_{k}"] = f"if(rel_{k} > 0, 1D, 0D)"
     for i, x in enumerate(R_MULTIPLES):
-        measures[f"Rprec_mult_{x:.2f}"] = _safe(F.col(f"rel_{i}x"), _share("num_rel", x))
-    levels = [F.coalesce(F.col(f"iprec_{i}"), F.lit(0.0)) for i in range(len(RECALL_LEVELS))]
-    for x, level in zip(RECALL_LEVELS, levels):
-        measures[f"iprec_at_recall_{x:.2f}"] = level
-    measures["11pt_avg"] = sum(levels[1:], levels[0]) / len(levels)
-    return table.select("config", "qid", *[c.cast("double").alias(name) for name, c in measures.items()])
-
-
-# Measures that are added up, and those reported as a geometric mean too.
-SUMMED = ("num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret")
-GEOMETRIC = {"map": "gm_map", "bpref": "gm_bpref"}
+        measures[f"Rprec_mult_{x:.2f}"] = _safe(f"rel_{i}x", _share(x))
+    for i, x in enumerate(RECALL_LEVELS):
+        measures[f"iprec_at_recall_{x:.2f}"] = f"iprec_{i}"
+    levels = " + ".join(f"iprec_{i}" for i in range(len(RECALL_LEVELS)))
+    measures["11pt_avg"] = f"({levels}) / {len(RECALL_LEVELS)}"
+    return table.selectExpr("config", "qid", *[f"cast({e} AS double) AS `{n}`" for n, e in measures.items()])
 
 
 def summarize(queries: DataFrame) -> DataFrame:
     """``config, measure, value`` from the per-query columns."""
     names = [c for c in queries.columns if c not in ("config", "qid")]
-    totals = {"num_q": F.count("*").cast("double")}
+    totals = {"num_q": "cast(count(*) AS double)"}
     for name in names:
-        column = F.col(f"`{name}`")
-        totals[name] = F.sum(column) if name in SUMMED else F.avg(column)
+        totals[name] = f"{'sum' if name in SUMMED else 'avg'}(`{name}`)"
         if name in GEOMETRIC:
-            floor = F.greatest(column, F.lit(GEOMETRIC_FLOOR))
-            totals[GEOMETRIC[name]] = F.exp(F.avg(F.log(floor)))
-    wide = queries.groupBy("config").agg(*[c.alias(name) for name, c in totals.items()])
-    entries = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(f"`{n}`").alias("value")) for n in totals])
-    return wide.select("config", F.explode(entries).alias("e")).select("config", "e.measure", "e.value")
+            totals[GEOMETRIC[name]] = f"exp(avg(ln(greatest(`{name}`, {GEOMETRIC_FLOOR}D))))"
+    wide = queries.groupBy("config").agg(*[F.expr(e).alias(name) for name, e in totals.items()])
+    return wide.unpivot("config", [f"`{name}`" for name in totals], "measure", "value")
 
 
 def evaluate(

@@ -10,6 +10,7 @@ import io
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +24,12 @@ MAX_HEADER = 65_536 + 10
 
 
 def _open(path: str):
-    filesystem, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return filesystem, inner
-
-
-def _as_uri(path: str) -> str:
-    """Hadoop prints local paths as ``file:/x``; Arrow wants ``file:///x``."""
-    return "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+    """File system and inner path of a path as Hadoop prints it."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
+    elif path.startswith("/"):
+        path = f"file://{path}"
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def _header(stream) -> tuple[tuple[int, ...], np.dtype, int]:
@@ -58,7 +58,7 @@ def import_vector_shards(spark: SparkSession, folder: str) -> DataFrame:
         for batch in stream:
             rows = []
             for path in batch.column("path").to_pylist():
-                filesystem, inner = _open(_as_uri(path))
+                filesystem, inner = _open(path)
                 with filesystem.open_input_file(inner) as file:
                     rows.append(_header(file)[0][0])
             yield pa.RecordBatch.from_arrays(
@@ -78,7 +78,7 @@ def import_vector_shards(spark: SparkSession, folder: str) -> DataFrame:
     def read_ranges(stream):
         for batch in stream:
             for row in batch.to_pylist():
-                filesystem, inner = _open(_as_uri(row["path"]))
+                filesystem, inner = _open(row["path"])
                 with filesystem.open_input_file(inner) as file:
                     (_, width), dtype, begin = _header(file)
                     count = min(ROWS_PER_RANGE, row["rows"] - row["start"])
@@ -109,9 +109,9 @@ def export_vector_shards(vectors: DataFrame, shards: int, folder: str) -> DataFr
     ordered = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", "off")
 
     def write(stream):
-        filesystem, inner = _open(_as_uri(folder))
+        filesystem, inner = _open(folder)
         filesystem.create_dir(inner, recursive=True)
-        sink, shard, rows = None, None, 0
+        sink, shard, attempt, rows = None, None, None, 0
         for batch in stream:
             if batch.num_rows == 0:
                 continue
@@ -123,12 +123,15 @@ def export_vector_shards(vectors: DataFrame, shards: int, folder: str) -> DataFr
                 np.lib.format.write_array_header_1_0(
                     head, {"descr": "<f4", "fortran_order": False, "shape": shape}
                 )
-                sink = filesystem.open_output_stream(f"{inner}/{shard:08d}.npy")
+                # Another attempt of this task writes elsewhere; the last move wins, whole.
+                attempt = f"{inner}/_{shard:08d}.{TaskContext.get().taskAttemptId()}"
+                sink = filesystem.open_output_stream(attempt)
                 sink.write(head.getvalue())
             sink.write(values.astype("<f4").tobytes())
             rows += len(values)
         if sink is not None:
             sink.close()
+            filesystem.move(attempt, f"{inner}/{shard:08d}.npy")
             yield pa.RecordBatch.from_pydict({"file": [f"{shard:08d}.npy"], "rows": [rows]})
 
     return ordered.mapInArrow(write, "file string, rows bigint")

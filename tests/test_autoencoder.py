@@ -75,7 +75,7 @@ def test_large_models_give_the_same_result(spark, monkeypatch, block_bytes):
     large = small_model(spark, 40, broadcast_bytes=0)
     assert small.fits_broadcast() and not large.fits_broadcast()
     with pytest.raises(ValueError):
-        large.broadcast()
+        large.arrays
     one = sorted(ae.ksparse_features(frame, small, 6, ["id"]).collect())
     hat = vec_of(ae.reconstruct(frame, small, 6, ["id"]))
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)

@@ -50,9 +50,9 @@ def test_by_hand(spark):
     assert got["Rprec"] == pytest.approx(1 / 3)
     # int(0.2·3+0.9) = 1 and int(1.4·3+0.9) = 5
     assert got["Rprec_mult_0.20"] == 0 and got["Rprec_mult_1.40"] == pytest.approx(2 / 5)
-    # int(0.7·3+0.9) = 3 relevant hits are never reached, 2 are at rank 4.
-    assert got["iprec_at_recall_0.00"] == 0.5 and got["iprec_at_recall_0.60"] == 0.5
-    assert got["iprec_at_recall_0.70"] == 0.0 and got["iprec_at_recall_1.00"] == 0.0
+    # int(0.8·3+0.9) = 3 relevant hits are never reached.  0.7·3+0.9 is just below 3 in doubles.
+    assert got["iprec_at_recall_0.00"] == 0.5 and got["iprec_at_recall_0.70"] == 0.5
+    assert got["iprec_at_recall_0.80"] == 0.0 and got["iprec_at_recall_1.00"] == 0.0
     # Both relevant hits have one judged non-relevant above; min(1, 3) / min(2, 3).
     assert got["bpref"] == pytest.approx(2 * (1 - 1 / 2) / 3)
     assert got["set_P"] == pytest.approx(2 / 6) and got["set_recall"] == pytest.approx(2 / 3)
