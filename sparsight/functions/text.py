@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,14 @@ def apply_instruction(query: Column | str, embedding: Column | str) -> Column:
     return F.concat(prefix, query)
 
 
+# Fixed value: what separates words, letters and digits being the words.
+SEPARATOR = r"[^\p{L}\p{N}]+"
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), SEPARATOR, -1), lambda t: t != "")
 
 
 def truncate_tokens(token_list: Column | str, n: int = MAX_TOKENS) -> Column:
@@ -66,22 +71,26 @@ class HashedWords:
         self.size = size
 
     def inputs(self, text: Column) -> Column:
-        return tokens(text)
+        return text
 
     def load(self):
         size = self.size
 
-        def bucket(token: str) -> int:
-            return int(md5(token.encode()).hexdigest()[:6], 16) % size
+        def bucket(word: str) -> int:
+            return int(md5(word.encode()).hexdigest()[:6], 16) % size
 
         def encode(texts: pa.Array) -> np.ndarray:
-            lengths = texts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            split = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=SEPARATOR)
+            lengths = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(texts)), lengths)
-            words = texts.flatten().dictionary_encode()
-            # Each distinct word of the batch is hashed once.
-            buckets = np.array([bucket(w) for w in words.dictionary.to_pylist()], np.int64)
-            place = row * size + buckets[words.indices.to_numpy()]
-            counts = np.bincount(place, minlength=len(texts) * size).reshape(-1, size).astype(float)
+            words = split.flatten().dictionary_encode()
+            # Each distinct word of the batch is hashed once; empty ends are no words.
+            distinct = words.dictionary.to_pylist()
+            buckets = np.array([bucket(w) for w in distinct], np.int64)
+            real = np.array([w != "" for w in distinct], float)
+            at = words.indices.to_numpy()
+            counts = np.bincount(row * size + buckets[at], weights=real[at], minlength=len(texts) * size)
+            counts = counts.reshape(-1, size)
             norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return counts / np.maximum(norm, NORM_FLOOR)
 

@@ -21,7 +21,7 @@ from sparsight.functions.columns import as_doubles, subtract
 from sparsight.operators.blocks import (
     blocks_for,
     cogroup_cells,
-    group_starts,
+    key_codes,
     inner_topk,
     left_blocks_for,
     list_array,
@@ -226,9 +226,10 @@ def latent_postings(vectors: DataFrame, model: SparseModel, k: int, keys: Sequen
 def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``W_d f + b_d`` for every row of ``ids``; an id without features gives ``b_d``."""
     names = list(keys)
-    lhs = ids.select(*names).withColumn("feature", F.lit(None).cast("int")).withColumn(
-        "weight", F.lit(0.0)
-    ).unionByName(postings.select(*names, F.col("feature").cast("int"), "weight"))
+    # Every id gets a row without a feature, so that it has at least one partial sum.
+    lhs = ids.select(*names, F.lit(-1).alias("feature"), F.lit(0.0).alias("weight")).unionByName(
+        postings.select(*names, F.col("feature").cast("int").alias("feature"), "weight")
+    )
     rhs = model.weights.select(F.col("feature").alias("w_feature"), "w_dec")
     feature_blocks = blocks_for(model.size, 8 * model.dim)
     rows = ids.count()
@@ -240,38 +241,33 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
 
     def cell(lhs: pa.Table, rhs: pa.Table) -> pa.Table:
         if lhs.num_rows == 0:
-            return pa.table({**{n: lhs[n] for n in names}, "part": pa.array([], pa.int32()),
-                             "vec": pa.array([], pa.list_(pa.float64()))})
-        lhs = lhs.sort_by([(n, "ascending") for n in [*names, "feature"]])
-        starts = group_starts(lhs, names)
-        counts = np.diff(np.r_[starts, lhs.num_rows])
-        groups = lhs.select(names).take(pa.array(starts))
-        rows = np.repeat(np.arange(len(counts)), counts)
+            return pa.table([*lhs.select(names).columns, pa.array([], pa.list_(pa.float64()))], names=[*names, "vec"])
+        # Rows in (id, feature) order; the row that only names an id comes first.
+        key = key_codes(lhs, names)
+        feature = lhs["feature"].to_numpy()
+        order = np.lexsort((feature, key))
+        key, feature, weight = key[order], feature[order], lhs["weight"].to_numpy()[order]
+        first = np.r_[True, key[1:] != key[:-1]]
+        rows = np.cumsum(first) - 1
+        groups = lhs.select(names).take(pa.array(order[first]))
+        count = groups.num_rows
         rhs = rhs.sort_by("w_feature")
-        w_feature = rhs["w_feature"].to_numpy()
-        feature = lhs["feature"].to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
-        real = np.flatnonzero(~np.isnan(feature))
-        cols = np.searchsorted(w_feature, feature[real].astype(np.int64))
-        values = lhs["weight"].to_numpy()[real]
-        out = decode_rows(len(counts), rows[real], cols, values, matrix(rhs["w_dec"]).reshape(-1, len(bias)))
+        real = np.flatnonzero(feature >= 0)
+        cols = np.searchsorted(rhs["w_feature"].to_numpy(), feature[real])
+        out = decode_rows(count, rows[real], cols, weight[real], matrix(rhs["w_dec"]).reshape(-1, len(bias)))
         if feature_blocks == 1:
             out = out + bias
-        part = np.zeros(len(counts), np.int32)
-        return pa.table([*[groups[n] for n in names], pa.array(part), list_array(out)],
-                        names=[*names, "part", "vec"])
-
-    schema = ", ".join([*_key_fields(ids, names), "part int", "vec array<double>"])
-    own_block = F.coalesce(row_block(["feature"], feature_blocks), F.lit(0))
-    # An id row (null feature) goes to block 0, so each id has at least one partial sum.
-    feature_block = F.when(F.col("feature").isNull(), F.lit(0)).otherwise(own_block)
+        return pa.table([*groups.columns, list_array(out)], names=[*names, "vec"])
+
+    schema = ", ".join([*_key_fields(ids, names), "vec array<double>"])
     partial = cogroup_cells(
         lhs, rhs,
-        (row_block(names, row_blocks), feature_block),
-        F.pmod(F.xxhash64(F.col("w_feature")), F.lit(feature_blocks)).cast("int"),
+        (row_block(names, row_blocks), row_block(["feature"], feature_blocks)),
+        row_block(["w_feature"], feature_blocks),
         row_blocks, feature_blocks, cell, schema, replicate_left=False,
     )
     if feature_blocks == 1:
-        return partial.drop("part")
+        return partial
     # At most one partial vector per feature block and id.
     total = F.aggregate(
         F.collect_list("vec"),

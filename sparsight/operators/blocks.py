@@ -96,15 +96,13 @@ def list_array(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
-def group_starts(table: pa.Table, names: Sequence[str]) -> np.ndarray:
-    """First row of each run of equal keys in a table sorted by ``names``."""
-    if table.num_rows == 0:
-        return np.empty(0, np.int64)
-    change = np.zeros(table.num_rows - 1, bool)
+def key_codes(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """One number per row, equal where all key columns are equal."""
+    codes = np.zeros(table.num_rows, np.int64)
     for name in names:
-        codes = table[name].combine_chunks().dictionary_encode().indices.to_numpy()
-        change |= codes[1:] != codes[:-1]
-    return np.flatnonzero(np.r_[True, change])
+        encoded = table[name].combine_chunks().dictionary_encode()
+        codes = codes * max(len(encoded.dictionary), 1) + encoded.indices.to_numpy()
+    return codes
 
 
 def exact_dots(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:

@@ -153,35 +153,49 @@ def feedback_sweep(
     """``retrieve_feedback`` for every setting of a grid: ``config, qid, pid, score, rank``.
 
     The first round runs once with the most hits and features any setting asks for.
-    Each (query, feature) keeps the places where it occurred; a setting picks the
-    feature when one of them is within its bounds.
+    Each (query, feature) keeps, for every number of hits in the grid, the best place
+    it had among them; a setting picks the feature when that place is within its bound.
     """
     grid = feedback_grid() if grid is None else grid
     tables = FeedbackTables(queries, passages, model, latent_k)
-    hits = feedback_hits(tables.q_hat, tables.p_hat, max(g[0] for g in grid))
-    found = feedback_features(hits, tables.p_codes, max(g[1] for g in grid))
-    # At most one entry per hit, so the array is bounded by the largest setting.
-    places = found.groupBy("qid", "feature").agg(
-        F.collect_list(F.struct("rank", "place")).alias("places")
-    )
+    levels = sorted({hits for hits, _, _ in grid})
+    hits = feedback_hits(tables.q_hat, tables.p_hat, levels[-1])
+    found = feedback_features(hits, tables.p_codes, max(features for _, features, _ in grid))
+    best = [F.min(F.when(F.col("rank") <= level, F.col("place"))) for level in levels]
+    places = found.groupBy("qid", "feature").agg(F.array(*best).alias("places"))
     both = tables.q_codes.select("qid", "feature", "weight").join(places, ["qid", "feature"], "full_outer")
-    settings = F.array(
+
+    # Settings with the same bounds pick the same features and differ in delta only.
+    deltas: dict[tuple[int, int], list[float]] = {}
+    for level, features, delta in grid:
+        deltas.setdefault((level, features), []).append(delta)
+    bounds = F.array(
         *[
             F.struct(
-                F.lit(config_name(*g)).alias("config"), F.lit(g[0]).alias("hits"),
-                F.lit(g[1]).alias("features"), F.lit(float(g[2])).alias("delta"),
+                F.lit(levels.index(level)).alias("level"),
+                F.lit(features).alias("features"),
+                F.array(
+                    *[
+                        F.struct(F.lit(config_name(level, features, d)).alias("config"), F.lit(float(d)).alias("delta"))
+                        for d in of
+                    ]
+                ).alias("settings"),
             )
-            for g in grid
+            for (level, features), of in deltas.items()
         ]
     )
-    each = both.withColumn("s", F.explode(settings))
-    picked = F.coalesce(
-        F.exists("places", lambda p: (p["rank"] <= F.col("s.hits")) & (p["place"] <= F.col("s.features"))),
-        F.lit(False),
+    place = F.col("places")[F.col("b.level")]
+    picked = F.coalesce(place <= F.col("b.features"), F.lit(False))
+    each = (
+        both.withColumn("b", F.explode(bounds))
+        .select("qid", "feature", "weight", picked.alias("picked"), "b.settings")
+        .filter(F.col("weight").isNotNull() | F.col("picked"))
+        .withColumn("s", F.explode("settings"))
     )
-    weight = F.coalesce("weight", F.lit(0.0)) + F.when(picked, F.col("s.delta")).otherwise(F.lit(0.0))
-    expanded = each.filter(F.col("weight").isNotNull() | picked).select(
-        F.col("s.config").alias("config"), "qid", "feature", weight.alias("weight")
+    added = F.when(F.col("picked"), F.col("s.delta")).otherwise(F.lit(0.0))
+    expanded = each.select(
+        F.col("s.config").alias("config"), "qid", "feature",
+        (F.coalesce("weight", F.lit(0.0)) + added).alias("weight"),
     )
     names = F.array(*[F.lit(config_name(*g)) for g in grid])
     ids = tables.q_hat.select("qid", F.explode(names).alias("config"))
