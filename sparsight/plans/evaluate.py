@@ -45,8 +45,12 @@ def _judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"])
 
 
-def _with_running_counts(hits: DataFrame) -> DataFrame:
-    """Relevant, judged non-relevant and pooled unjudged hits up to and including each rank."""
+def _with_running_counts(hits: DataFrame, of_query: DataFrame | None = None) -> DataFrame:
+    """Relevant, judged non-relevant and pooled unjudged hits up to and including each rank.
+
+    The columns of ``of_query`` (one row per qid) are added too.  They travel with the
+    bucket totals, so that hits are only ever joined by (config, qid, bucket).
+    """
     key, bucket = ["config", "qid"], ["config", "qid", "_bucket"]
     flags = hits.withColumn("_bucket", F.call_function("div", F.col("rank") - 1, F.lit(BUCKET)))
     flags = flags.select(
@@ -61,11 +65,15 @@ def _with_running_counts(hits: DataFrame) -> DataFrame:
     offsets = totals.select(
         *bucket, *[F.coalesce(F.sum(f"_{c}s").over(before), F.lit(0)).alias(f"_{c}0") for c in "rnu"]
     )
+    extra = []
+    if of_query is not None:
+        extra = [c for c in of_query.columns if c != "qid"]
+        offsets = offsets.join(of_query, "qid")
     inside = Window.partitionBy(*bucket).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     named = {"r": "rel_so_far", "n": "nonrel_so_far", "u": "unjudged_so_far"}
     numbered = flags.select("*", *[F.sum(f"_{c}").over(inside).alias(f"_{c}i") for c in "rnu"])
     return numbered.join(offsets, bucket).select(
-        *hits.columns, *[(F.col(f"_{c}i") + F.col(f"_{c}0")).alias(name) for c, name in named.items()]
+        *hits.columns, *extra, *[(F.col(f"_{c}i") + F.col(f"_{c}0")).alias(name) for c, name in named.items()]
     )
 
 
@@ -135,7 +143,7 @@ def per_query(run: DataFrame, qrels: DataFrame, complete: bool = False) -> DataF
 
     # What each judged hit adds, once the counts of its query are at hand.
     eps = f"{INFERRED_SMOOTHING}D"
-    hits = _with_running_counts(_judged(run, qrels)).join(judgments, "qid").selectExpr(
+    hits = _with_running_counts(_judged(run, qrels), judgments).selectExpr(
         "config", "qid", "rank", "rel", "num_rel",
         "rel >= 1 AS hit",
         "rel_so_far",

@@ -18,7 +18,7 @@ from sparsight.functions.columns import offset_of, row_of, shard_of
 from sparsight.operators.blocks import list_array, matrix
 
 # Rows read by one task step.
-ROWS_PER_RANGE = 65_536
+ROWS_PER_RANGE = 8_192
 # Fixed value: no array header of this format version is longer.
 MAX_HEADER = 65_536 + 10
 

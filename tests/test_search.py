@@ -113,6 +113,21 @@ def test_sparse_equals_brute_force(spark, monkeypatch, grid, scratch, features):
     assert hits_of(sparse.sparse_topk(asked, index, 3, *grid)) == brute_sparse(q, d, 3)
 
 
+@pytest.mark.parametrize("limit", [3, 4, 5])
+def test_heavy_ids_are_scored_by_a_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(sparse, "HEAVY_POSTINGS", limit)
+    rng = np.random.default_rng(limit)
+    q, d = random_postings(rng, "qid", 20, 12, 0.4), random_postings(rng, "pid", 60, 12, 0.4)
+    heavy = {i for i, _, _ in d if sum(j == i for j, _, _ in d) > limit}
+    assert 0 < len(heavy) < 60
+    asked = spark.createDataFrame(q, "qid long, feature int, weight double")
+    index = spark.createDataFrame(d, "pid long, feature int, weight double")
+    got = hits_of(sparse.sparse_topk(asked, index, 5))
+    wanted = brute_sparse(q, d, 5)
+    assert [h[:3] for h in got] == [h[:3] for h in wanted]
+    np.testing.assert_allclose([h[3] for h in got], [h[3] for h in wanted])
+
+
 def test_sparse_query_without_shared_feature_has_no_rows(spark):
     index = spark.createDataFrame([(1, 7, 1.0)], "pid long, feature int, weight double")
     asked = spark.createDataFrame([(5, 8, 1.0), (6, 7, -2.0)], "qid long, feature int, weight double")
