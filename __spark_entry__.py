@@ -47,6 +47,11 @@ def r6(column: Column | str) -> Column:
     return F.round(column.cast("double"), 6) + F.lit(0.0)
 
 
+def r9(column: str) -> Column:
+    """Nine digits, for means: at six, a mean of P@200 may lie exactly between two values."""
+    return F.round(column, 9) + F.lit(0.0)
+
+
 def rows6(df: DataFrame, *keys: str) -> DataFrame:
     return A.vectors_as_rows(df, keys).select(*keys, "dim", r6("value").alias("value"))
 
@@ -339,7 +344,7 @@ def q_write_metrics(spark, sf):
     run, qrels = stored_run(spark, sf)
     for config in ("spend", "quantity"):
         tables.write_metrics(V.evaluate(run.filter(F.col("config") == config), qrels, ("num_", "recip_rank")), base)
-    return tables.scan_metrics(spark, base).select("config", "measure", r6("value").alias("value"))
+    return tables.scan_metrics(spark, base).select("config", "measure", r9("value").alias("value"))
 
 
 # --- addressing ------------------------------------------------------------
@@ -707,7 +712,7 @@ def evaluated(config: str, retrieve):
     def query(spark, sf):
         run = materialize(retrieve(spark, sf), "run").withColumn("config", F.lit(config))
         metrics = V.evaluate(run, materialize(neighbor_qrels(spark, sf), "qrels"))
-        return metrics.select("config", "measure", r6("value").alias("value"))
+        return metrics.select("config", "measure", r9("value").alias("value"))
 
     return query
 
@@ -734,7 +739,7 @@ def stored_run(spark, sf):
 def measured(*names: str):
     def query(spark, sf):
         metrics = V.evaluate(*stored_run(spark, sf), names)
-        return metrics.select("config", "measure", r6("value").alias("value"))
+        return metrics.select("config", "measure", r9("value").alias("value"))
 
     return query
 
@@ -742,7 +747,7 @@ def measured(*names: str):
 def q_compare_configs(spark, sf):
     metrics = V.evaluate(*stored_run(spark, sf), oracles.COMPARED)
     wide = V.compare_configs(metrics, ["spend", "quantity"])
-    return wide.select("measure", r6("spend").alias("spend"), r6("quantity").alias("quantity"))
+    return wide.select("measure", r9("spend").alias("spend"), r9("quantity").alias("quantity"))
 
 
 MEASURES = {name: measured(*families) for name, families in oracles.MEASURE_QUERIES.items()}

@@ -37,6 +37,10 @@ def _r6(expression: str) -> str:
     return f"round({expression}, 6) + 0.0::DOUBLE"
 
 
+def _r9(expression: str) -> str:
+    return f"round({expression}, 9) + 0.0::DOUBLE"
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -332,7 +336,7 @@ JUDGED = [RUN, QRELS, *_measures()]
 
 
 def _report(families: tuple[str, ...]) -> str:
-    return _with(*JUDGED) + f"SELECT config, measure, {_r6('value')} AS value FROM metrics WHERE {_chosen(families)}"
+    return _with(*JUDGED) + f"SELECT config, measure, {_r9('value')} AS value FROM metrics WHERE {_chosen(families)}"
 
 
 def _evaluated(config: str, hits: str, parts: list[str]) -> str:
@@ -342,7 +346,7 @@ def _evaluated(config: str, hits: str, parts: list[str]) -> str:
         f"run AS MATERIALIZED (SELECT '{config}' AS config, qid, pid, rank FROM {hits})",
         f"qrels AS MATERIALIZED (SELECT qid, pid, {TOP_K + 1} - rank AS rel FROM near)",
         *_measures(),
-    ) + f"SELECT config, measure, {_r6('value')} AS value FROM metrics"
+    ) + f"SELECT config, measure, {_r9('value')} AS value FROM metrics"
 
 
 LATENT = [*MODEL, VECTORS, _codes("v", "idx", LATENT_K), _sparse("idx", "idx", "hits", 100)]
@@ -509,8 +513,8 @@ def statements() -> dict[str, str]:
             sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY config, run.qid ORDER BY rank
                 ROWS UNBOUNDED PRECEDING)::BIGINT AS rel_so_far
             FROM run LEFT JOIN qrels USING (qid, pid) WHERE run.qid IN (SELECT qid FROM qrels)""",
-        "compare_configs": _with(*JUDGED) + f"""SELECT measure, {_r6("max(value) FILTER (config = 'spend')")} AS spend,
-            {_r6("max(value) FILTER (config = 'quantity')")} AS quantity FROM metrics
+        "compare_configs": _with(*JUDGED) + f"""SELECT measure, {_r9("max(value) FILTER (config = 'spend')")} AS spend,
+            {_r9("max(value) FILTER (config = 'quantity')")} AS quantity FROM metrics
             WHERE {_chosen(COMPARED)} GROUP BY measure""",
         "evaluate_reconstructed": _evaluated(
             "reconstructed", "hits", [*RECONSTRUCTED, _search("hat", "hat", "hits", TOP_K)]
