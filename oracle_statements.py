@@ -117,19 +117,25 @@ def _rows(source: str, keys: str = "id") -> str:
     return f"""SELECT {keys}, (unnest(range(len(x))))::INT AS dim, {_r6('unnest(x)')} AS value FROM {source}"""
 
 
+def _stored(source: str, name: str, keys: str = "id") -> str:
+    """Vectors as they are at rest, in float32."""
+    return f"{name} AS MATERIALIZED (SELECT {keys}, x::FLOAT[]::DOUBLE[] AS x FROM {source})"
+
+
 HITS = f"SELECT qid, pid, {_r6('score')} AS score, rank FROM "
 RECONSTRUCTED = [
     *MODEL, VECTORS, DIMS, _centred("v", "c"), _codes("c", "codes", LATENT_K), _decoded("v", "codes", "hat"),
 ]
 # The codes of the reconstruction, from which expansion starts.
-SECOND_PASS = [*RECONSTRUCTED, _centred("hat", "c2"), _codes("c2", "codes2", LATENT_K)]
+SEARCHED = [*RECONSTRUCTED, _stored("hat", "kept")]
+SECOND_PASS = [*SEARCHED, _centred("kept", "c2"), _codes("c2", "codes2", LATENT_K)]
 NEAREST = [VECTORS, _search("v", "v", "near", TOP_K)]
 
 
 def _feedback(hits: int, features: int) -> list[str]:
     return [
         *SECOND_PASS,
-        _search("hat", "hat", "first", hits),
+        _search("kept", "kept", "first", hits),
         f"""best AS MATERIALIZED (SELECT * FROM (SELECT id AS pid, feature, weight,
             row_number() OVER (PARTITION BY id ORDER BY weight DESC, feature)::INT AS place FROM codes)
             WHERE place <= {features})""",
@@ -160,8 +166,9 @@ SWEEP = [
         SELECT config, id, feature, weight FROM codes2, grid
         UNION ALL SELECT config, id, feature, delta FROM picked) GROUP BY ALL)""",
     "ids AS (SELECT config, id FROM v, grid)",
-    _decoded("ids", "swept", "asked", "config, id"),
-    _search("asked", "hat", "final", TOP_K, "config, id"),
+    _decoded("ids", "swept", "decoded", "config, id"),
+    _stored("decoded", "asked", "config, id"),
+    _search("asked", "kept", "final", TOP_K, "config, id"),
 ]
 
 
@@ -350,7 +357,8 @@ def _evaluated(config: str, hits: str, parts: list[str]) -> str:
 
 
 LATENT = [*MODEL, VECTORS, _codes("v", "idx", LATENT_K), _sparse("idx", "idx", "hits", 100)]
-FEEDBACK_SEARCH = [*EXPANDED, _decoded("v", "expanded", "asked"), _search("asked", "hat", "hits", TOP_K)]
+FEEDBACK_SEARCH = [*EXPANDED, _decoded("v", "expanded", "decoded"), _stored("decoded", "asked"),
+    _search("asked", "kept", "hits", TOP_K)]
 INDEXED_DOCUMENTS = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id::VARCHAR AS pid, text AS passage FROM documents"
 INDEXED_VECTORS = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_idx, vec_id::VARCHAR AS pid, embedding::DOUBLE[] AS x FROM embeddings"
 INDEXED_ORDERS = "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders"
@@ -495,12 +503,12 @@ def statements() -> dict[str, str]:
             {_r6(_first_step('w_dec[dim + 1]', 'd_dec'))} AS w_dec, {_r6(_first_step('w_enc[dim + 1]', 'd_enc'))} AS w_enc
             FROM rows CROSS JOIN dims LEFT JOIN grads USING (feature, dim)""",
         # pipelines
-        "retrieve_reconstructed": _with(*RECONSTRUCTED, _search("hat", "hat", "hits", TOP_K)) + hit_rows,
+        "retrieve_reconstructed": _with(*SEARCHED, _search("kept", "kept", "hits", TOP_K)) + hit_rows,
         "retrieve_latent": _with(*LATENT) + hit_rows,
         "retrieve_latent_wide": _with(
             *MODEL, VECTORS, _codes("v", "idx", LATENT_K), _codes("v", "asked", 50), _sparse("asked", "idx", "hits", 50)
         ) + hit_rows,
-        "feedback_hits": _with(*RECONSTRUCTED, _search("hat", "hat", "hits", FEEDBACK[0])) + hit_rows,
+        "feedback_hits": _with(*SEARCHED, _search("kept", "kept", "hits", FEEDBACK[0])) + hit_rows,
         "feedback_features": _with(*_feedback(*FEEDBACK[:2])) + f"""SELECT qid, pid, rank, feature, place,
             {_r6('weight')} AS weight FROM found""",
         "feedback_union": _with(*_feedback(*FEEDBACK[:2])) + "SELECT DISTINCT qid, feature FROM found",
@@ -517,7 +525,7 @@ def statements() -> dict[str, str]:
             {_r9("max(value) FILTER (config = 'quantity')")} AS quantity FROM metrics
             WHERE {_chosen(COMPARED)} GROUP BY measure""",
         "evaluate_reconstructed": _evaluated(
-            "reconstructed", "hits", [*RECONSTRUCTED, _search("hat", "hat", "hits", TOP_K)]
+            "reconstructed", "hits", [*SEARCHED, _search("kept", "kept", "hits", TOP_K)]
         ),
         "evaluate_latent": _evaluated("latent", "hits", LATENT),
         "evaluate_feedback": _evaluated("feedback", "hits", FEEDBACK_SEARCH),

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsight.functions.columns import shard_of
+from sparsight.functions.columns import offset_of, shard_of
 
 SPLITS = ("train", "dev", "eval")
 
@@ -27,18 +27,20 @@ def _check_split(split: str) -> str:
     return split
 
 
-def _write_sharded(df: DataFrame, shards: int, path: str, *outer: str) -> None:
-    """Row i goes to shard i mod n; a shard is one file, sorted by row."""
-    sharded = df.withColumn("shard", shard_of("row_idx", shards))
-    placed = sharded.repartitionById(shards, "shard").sortWithinPartitions(*outer, "shard", "row_idx")
-    placed.write.mode("overwrite").partitionBy(*outer, "shard").parquet(path)
+def _write_sharded(df: DataFrame, shards: int, path: str, outer: tuple[str, ...] = (), files: int = 1) -> None:
+    """Row i goes to shard i mod n.  A shard is one sorted file, or several for large tables."""
+    shard, file = shard_of("row_idx", shards), F.pmod(offset_of("row_idx", shards), F.lit(files)).cast("int")
+    sharded = df.withColumn("shard", shard).withColumn("_task", shard * F.lit(files) + file)
+    placed = sharded.repartitionById(shards * files, "_task").drop("_task")
+    placed.sortWithinPartitions(*outer, "shard", "row_idx").write.mode("overwrite").partitionBy(*outer, "shard").parquet(path)
 
 
 # --- passages, queries, vectors --------------------------------------------
 
 
-def write_passages(passages: DataFrame, shards: int, base: str) -> None:
-    _write_sharded(passages.select("row_idx", "pid", "passage"), shards, f"{base}/passages")
+def write_passages(passages: DataFrame, shards: int, base: str, files_per_shard: int = 1) -> None:
+    rows = passages.select("row_idx", "pid", "passage")
+    _write_sharded(rows, shards, f"{base}/passages", files=files_per_shard)
 
 
 def scan_passages(spark: SparkSession, base: str) -> DataFrame:
@@ -56,10 +58,12 @@ def scan_queries(spark: SparkSession, base: str, split: str) -> DataFrame:
     return rows.select("split", "row_idx", "qid", "query")
 
 
-def write_vectors(vectors: DataFrame, shards: int, base: str, embedding: str) -> None:
+def write_vectors(
+    vectors: DataFrame, shards: int, base: str, embedding: str, files_per_shard: int = 1
+) -> None:
     """Passage vectors (``row_idx, pid, vec``) as float32 shards."""
     floats = vectors.select("row_idx", "pid", F.col("vec").cast("array<float>").alias("vec"))
-    _write_sharded(floats, shards, f"{base}/passage_vectors/{embedding}")
+    _write_sharded(floats, shards, f"{base}/passage_vectors/{embedding}", files=files_per_shard)
 
 
 def scan_vectors(spark: SparkSession, base: str, embedding: str) -> DataFrame:
@@ -67,10 +71,12 @@ def scan_vectors(spark: SparkSession, base: str, embedding: str) -> DataFrame:
     return rows.select("row_idx", "pid", "vec")
 
 
-def write_query_vectors(vectors: DataFrame, shards: int, base: str, embedding: str) -> None:
+def write_query_vectors(
+    vectors: DataFrame, shards: int, base: str, embedding: str, files_per_shard: int = 1
+) -> None:
     """Query vectors (``split, row_idx, qid, vec``) as float32 shards per split."""
     floats = vectors.select("split", "row_idx", "qid", F.col("vec").cast("array<float>").alias("vec"))
-    _write_sharded(floats, shards, f"{base}/query_vectors/{embedding}", "split")
+    _write_sharded(floats, shards, f"{base}/query_vectors/{embedding}", ("split",), files_per_shard)
 
 
 def scan_query_vectors(spark: SparkSession, base: str, embedding: str, split: str) -> DataFrame:

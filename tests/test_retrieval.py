@@ -21,11 +21,15 @@ def rows(df):
     return sorted((r.qid, r["rank"], r.pid, round(r.score, 9)) for r in df.collect())
 
 
+def float32(df):
+    return df.withColumn("vec", F.col("vec").cast("array<float>"))
+
+
 def test_delta_zero_is_a_search_with_the_double_reconstruction(setup):
     queries, passages, model = setup
-    once = ae.reconstruct(queries, model, 6, ["qid"])
-    twice = ae.reconstruct(once, model, 6, ["qid"])
-    p_hat = ae.reconstruct(passages, model, 6, ["pid"])
+    once = float32(ae.reconstruct(queries, model, 6, ["qid"]))
+    twice = float32(ae.reconstruct(once, model, 6, ["qid"]))
+    p_hat = float32(ae.reconstruct(passages, model, 6, ["pid"]))
     assert rows(B.retrieve_feedback(queries, passages, model, 6, 3, 2, 0.0, 5)) == rows(dense_topk(twice, p_hat, 5))
 
 
@@ -68,5 +72,6 @@ def test_latent_search_scores(setup):
 
 def test_reconstructed_search(setup):
     queries, passages, model = setup
-    q_hat, p_hat = ae.reconstruct(queries, model, 6, ["qid"]), ae.reconstruct(passages, model, 6, ["pid"])
+    q_hat = float32(ae.reconstruct(queries, model, 6, ["qid"]))
+    p_hat = float32(ae.reconstruct(passages, model, 6, ["pid"]))
     assert rows(B.retrieve_reconstructed(queries, passages, model, 6, 4)) == rows(dense_topk(q_hat, p_hat, 4))

@@ -114,6 +114,15 @@ def test_passages_come_back_in_round_robin_shards(spark, base):
     assert sorted((r["shard"], r["count"]) for r in shards) == [(0, 3), (1, 3), (2, 2), (3, 2)]
 
 
+def test_a_shard_may_be_several_files(spark, base):
+    rows = spark.range(100).select(F.col("id").alias("row_idx"), F.col("id").cast("string").alias("pid"), F.lit("p").alias("passage"))
+    tables.write_passages(rows, 3, base, files_per_shard=4)
+    assert sorted(tables.scan_passages(spark, base).collect()) == sorted(rows.collect())
+    stored = spark.read.parquet(f"{base}/passages")
+    assert stored.filter("row_idx % 3 <> shard").count() == 0
+    assert stored.select("_metadata.file_path").distinct().count() == 12
+
+
 def test_splits_are_pruned_and_checked(spark, base):
     rows = spark.createDataFrame([("train", 0, "1", "x"), ("dev", 0, "2", "y")], "split string, row_idx long, qid string, query string")
     tables.write_queries(rows, base)
