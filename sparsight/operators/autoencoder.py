@@ -29,6 +29,7 @@ from sparsight.operators.blocks import (
     row_block,
     top_products,
 )
+from sparsight.storage import materialize
 
 # Largest model, in bytes of encoder plus decoder, that is broadcast by default.
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -297,6 +298,40 @@ def reconstruct(vectors: DataFrame, model: SparseModel, k: int, keys: Sequence[s
     return vectors.select(*names, "vec").mapInArrow(batches, schema)
 
 
+def codes_and_reconstruction(
+    vectors: DataFrame, model: SparseModel, k: int, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Centred codes and float32 reconstruction as written tables, each vector encoded once."""
+    names = list(keys)
+    if not model.fits_broadcast():
+        codes = materialize(ksparse_features(vectors, model, k, names), "codes")
+        hats = decode(codes, model, vectors, names)
+        return codes, materialize(hats.withColumn("vec", F.col("vec").cast("array<float>")), "hats")
+    arrays = model.arrays
+
+    def batches(stream):
+        for batch in stream:
+            x = matrix(batch.column("vec"))
+            held = ModelArrays(*arrays.value)
+            rows, cols, values = held.codes(x, k, centred=True)
+            hats = held.decode(len(x), rows, cols, values).astype(np.float32)
+            offsets = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(x)))].astype(np.int32)
+            kept = batch.select(names)
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.ListArray.from_arrays(offsets, pa.array(held.feature[cols])),
+                 pa.ListArray.from_arrays(offsets, pa.array(values)), list_array(hats)],
+                names=[*names, "features", "weights", "vec"],
+            )
+
+    fields = [*_key_fields(vectors, names), "features array<int>", "weights array<double>", "vec array<float>"]
+    both = materialize(vectors.select(*names, "vec").mapInArrow(batches, ", ".join(fields)), "codes-and-hats")
+    codes = both.select(*names, F.explode(F.arrays_zip("features", "weights")).alias("c"))
+    return (
+        codes.select(*names, F.col("c.features").alias("feature"), F.col("c.weights").alias("weight")),
+        both.select(*names, "vec"),
+    )
+
+
 def vectors_as_rows(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per component: ``keys, dim, value``."""
     return vectors.select(*keys, F.posexplode(as_doubles("vec")).alias("dim", "value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparsight.operators.autoencoder import (
     SparseModel,
+    codes_and_reconstruction,
     decode,
     ksparse_features,
     latent_postings,
@@ -106,8 +107,7 @@ class FeedbackTables:
     def __init__(self, queries: DataFrame, passages: DataFrame, model: SparseModel, latent_k: int):
         self.model = model
         self.q_hat = _stored(reconstruct(queries, model, latent_k, ["qid"]), "q-hat")
-        self.p_hat = _stored(reconstruct(passages, model, latent_k, ["pid"]), "p-hat")
-        self.p_codes = materialize(ksparse_features(passages, model, latent_k, ["pid"]), "p-codes")
+        self.p_codes, self.p_hat = codes_and_reconstruction(passages, model, latent_k, ["pid"])
         self.q_codes = materialize(ksparse_features(self.q_hat, model, latent_k, ["qid"]), "q-codes")
 
 

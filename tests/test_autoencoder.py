@@ -92,6 +92,17 @@ def test_reconstruct_is_decode_of_codes(spark):
     )
 
 
+@pytest.mark.parametrize("limit", [ae.BROADCAST_BYTES, 0])
+def test_codes_and_reconstruction_in_one_pass(spark, limit):
+    x = np.random.default_rng(6).normal(size=(20, 32))
+    frame, model = vectors(spark, x), small_model(spark, broadcast_bytes=limit)
+    codes, hats = ae.codes_and_reconstruction(frame, model, 3, ["id"])
+    assert sorted(codes.collect()) == sorted(ae.ksparse_features(frame, model, 3, ["id"]).collect())
+    np.testing.assert_array_equal(
+        vec_of(hats).astype(np.float32), vec_of(ae.reconstruct(frame, model, 3, ["id"])).astype(np.float32)
+    )
+
+
 @pytest.mark.parametrize("block_bytes", [blocks.BLOCK_BYTES, 900])
 def test_all_negative_activations_decode_to_the_bias(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
