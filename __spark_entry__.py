@@ -35,6 +35,8 @@ from sparsight.plans import retrieval as B
 from sparsight.sources import tables, text_files, vector_shards
 from sparsight.storage import fresh_path, materialize
 
+# Hits of each customer in the part rankings.
+RUN_DEPTH = 20
 # Parameters shared with the SQL side.
 LATENT_SIZE, LATENT_K, SEED = oracles.LATENT_SIZE, oracles.LATENT_K, oracles.SEED
 TOP_K, PAIR_K, BATCH = oracles.TOP_K, oracles.PAIR_K, oracles.BATCH
@@ -107,7 +109,7 @@ def part_run(spark: SparkSession, sf: str) -> DataFrame:
     entries = F.explode(F.create_map(F.lit("spend"), "spend", F.lit("quantity"), "quantity"))
     order = Window.partitionBy("config", "qid").orderBy(F.col("score").desc(), "pid")
     ranked = scored.select("qid", "pid", entries.alias("config", "score"))
-    return ranked.withColumn("rank", F.row_number().over(order)).filter("rank <= 20").select(
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= RUN_DEPTH).select(
         "config", "qid", "pid", "rank", "score"
     )
 
@@ -706,12 +708,12 @@ def q_feedback_sweep(spark, sf):
     return scored(hits)
 
 
-def evaluated(config: str, retrieve):
+def evaluated(config: str, retrieve, depth: int):
     """A retrieval pipeline scored against the exact neighbours."""
 
     def query(spark, sf):
         run = materialize(retrieve(spark, sf), "run").withColumn("config", F.lit(config))
-        metrics = V.evaluate(run, materialize(neighbor_qrels(spark, sf), "qrels"))
+        metrics = V.evaluate(run, materialize(neighbor_qrels(spark, sf), "qrels"), depth=depth)
         return metrics.select("config", "measure", r9("value").alias("value"))
 
     return query
@@ -738,14 +740,14 @@ def stored_run(spark, sf):
 
 def measured(*names: str):
     def query(spark, sf):
-        metrics = V.evaluate(*stored_run(spark, sf), names)
+        metrics = V.evaluate(*stored_run(spark, sf), names, depth=RUN_DEPTH)
         return metrics.select("config", "measure", r9("value").alias("value"))
 
     return query
 
 
 def q_compare_configs(spark, sf):
-    metrics = V.evaluate(*stored_run(spark, sf), oracles.COMPARED)
+    metrics = V.evaluate(*stored_run(spark, sf), oracles.COMPARED, depth=RUN_DEPTH)
     wide = V.compare_configs(metrics, ["spend", "quantity"])
     return wide.select("measure", r9("spend").alias("spend"), r9("quantity").alias("quantity"))
 
@@ -764,9 +766,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **named,
         **MEASURES,
-        "evaluate_reconstructed": evaluated("reconstructed", q_retrieve_reconstructed),
-        "evaluate_latent": evaluated("latent", q_retrieve_latent),
-        "evaluate_feedback": evaluated("feedback", q_retrieve_feedback),
+        "evaluate_reconstructed": evaluated("reconstructed", q_retrieve_reconstructed, TOP_K),
+        "evaluate_latent": evaluated("latent", q_retrieve_latent, 100),
+        "evaluate_feedback": evaluated("feedback", q_retrieve_feedback, TOP_K),
     }
 
 

@@ -45,43 +45,47 @@ def _judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"])
 
 
-def _with_running_counts(hits: DataFrame, of_query: DataFrame | None = None) -> DataFrame:
+def _with_running_counts(
+    hits: DataFrame, of_query: DataFrame | None = None, depth: int | None = None
+) -> DataFrame:
     """Relevant, judged non-relevant and pooled unjudged hits up to and including each rank.
 
-    The columns of ``of_query`` (one row per qid) are added too.  They travel with the
-    bucket totals, so that hits are only ever joined by (config, qid, bucket).
+    The columns of ``of_query`` (one row per qid) are added too.  A run known to be at
+    most one bucket deep is counted per query at once.  Otherwise counts inside a
+    bucket get those of the buckets above it, and ``of_query`` travels with these, so
+    that hits are only ever joined by (config, qid, bucket).
     """
     key, bucket = ["config", "qid"], ["config", "qid", "_bucket"]
-    flags = hits.withColumn("_bucket", F.call_function("div", F.col("rank") - 1, F.lit(BUCKET)))
-    flags = flags.select(
-        "*",
-        *[
-            F.coalesce(flag.cast("bigint"), F.lit(0)).alias(name)
-            for name, flag in (("_r", F.col("rel") >= 1), ("_n", F.col("rel") == 0), ("_u", F.col("rel") < 0))
-        ],
-    )
-    totals = flags.groupBy(*bucket).agg(*[F.sum(f"_{c}").alias(f"_{c}s") for c in "rnu"])
+    names = {"_r": "rel_so_far", "_n": "nonrel_so_far", "_u": "unjudged_so_far"}
+    kinds = {"_r": F.col("rel") >= 1, "_n": F.col("rel") == 0, "_u": F.col("rel") < 0}
+    flags = hits.select("*", *[F.coalesce(f.cast("bigint"), F.lit(0)).alias(c) for c, f in kinds.items()])
+    if depth is not None and depth <= BUCKET:
+        above = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        counted = flags.select(*hits.columns, *[F.sum(c).over(above).alias(n) for c, n in names.items()])
+        return counted if of_query is None else counted.join(of_query, "qid")
+
+    flags = flags.withColumn("_bucket", F.call_function("div", F.col("rank") - 1, F.lit(BUCKET)))
+    totals = flags.groupBy(*bucket).agg(*[F.sum(c).alias(c) for c in names])
     before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *bucket, *[F.coalesce(F.sum(f"_{c}s").over(before), F.lit(0)).alias(f"_{c}0") for c in "rnu"]
+        *bucket, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_above") for c in names]
     )
     extra = []
     if of_query is not None:
         extra = [c for c in of_query.columns if c != "qid"]
         offsets = offsets.join(of_query, "qid")
     inside = Window.partitionBy(*bucket).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    named = {"r": "rel_so_far", "n": "nonrel_so_far", "u": "unjudged_so_far"}
-    numbered = flags.select("*", *[F.sum(f"_{c}").over(inside).alias(f"_{c}i") for c in "rnu"])
+    numbered = flags.select(*hits.columns, "_bucket", *[F.sum(c).over(inside).alias(c) for c in names])
     return numbered.join(offsets, bucket).select(
-        *hits.columns, *extra, *[(F.col(f"_{c}i") + F.col(f"_{c}0")).alias(name) for c, name in named.items()]
+        *hits.columns, *extra, *[(F.col(c) + F.col(f"{c}_above")).alias(n) for c, n in names.items()]
     )
 
 
-def judge_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
+def judge_run(run: DataFrame, qrels: DataFrame, depth: int | None = None) -> DataFrame:
     """Every hit of a judged query with its judgment (null if unjudged) and ``rel_so_far``."""
     kept = run.join(qrels.select("qid").distinct(), "qid", "left_semi")
     judged = kept.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"], "left")
-    return _with_running_counts(judged).select("config", "qid", "pid", "rank", "rel", "rel_so_far")
+    return _with_running_counts(judged, depth=depth).select("config", "qid", "pid", "rank", "rel", "rel_so_far")
 
 
 def _share(x: float) -> str:
@@ -122,7 +126,9 @@ def ideal_gains(qrels: DataFrame, cutoffs: Iterable[int]) -> DataFrame:
     )
 
 
-def per_query(run: DataFrame, qrels: DataFrame, complete: bool = False) -> DataFrame:
+def per_query(
+    run: DataFrame, qrels: DataFrame, complete: bool = False, depth: int | None = None
+) -> DataFrame:
     """All measures of each (config, qid) as columns.
 
     Queries count when they are in both tables.  With ``complete`` judged queries
@@ -143,7 +149,7 @@ def per_query(run: DataFrame, qrels: DataFrame, complete: bool = False) -> DataF
 
     # What each judged hit adds, once the counts of its query are at hand.
     eps = f"{INFERRED_SMOOTHING}D"
-    hits = _with_running_counts(_judged(run, qrels), judgments).selectExpr(
+    hits = _with_running_counts(_judged(run, qrels), judgments, depth).selectExpr(
         "config", "qid", "rank", "rel", "num_rel",
         "rel >= 1 AS hit",
         "rel_so_far",
@@ -225,14 +231,18 @@ def summarize(queries: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    run: DataFrame, qrels: DataFrame, measures: tuple[str, ...] = (), complete: bool = False
+    run: DataFrame,
+    qrels: DataFrame,
+    measures: tuple[str, ...] = (),
+    complete: bool = False,
+    depth: int | None = None,
 ) -> DataFrame:
     """The measure set of every configuration: ``config, measure, value``.
 
     ``measures`` narrows it to names, or to families given as ``"P_"``; what is left
-    out is not computed.
+    out is not computed.  ``depth`` is the most hits a query has, where that is known.
     """
-    queries = per_query(run, qrels, complete)
+    queries = per_query(run, qrels, complete, depth)
     if not measures:
         return summarize(queries)
 

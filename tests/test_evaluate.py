@@ -84,7 +84,7 @@ def test_buckets_and_chunks_do_not_show(spark, monkeypatch):
     pids = [str(i) for i in range(60)]
     lists = {"hot": rng.sample(pids, 50), "small": rng.sample(pids, 5)}
     qrels = {q: {p: rng.choice([-1, 0, 0, 1, 2]) for p in rng.sample(pids, 40)} for q in lists}
-    plain = measures(spark, lists, qrels)
+    plain = measures(spark, lists, qrels, depth=50)
     judged = sorted(V.judge_run(run_frame(spark, lists), qrel_frame(spark, qrels)).collect(), key=str)
     monkeypatch.setattr(V, "BUCKET", 4)
     monkeypatch.setattr(V, "IDEAL_CHUNK", 3)
