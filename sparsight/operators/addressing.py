@@ -20,7 +20,10 @@ def _with_split_offsets(rows: DataFrame, column: str) -> DataFrame:
     split = ["_file", "_start"]
     summary = rows.groupBy(*split).agg(F.count("*").alias("_rows"), F.min("_pos").alias("_first"))
     splits = materialize(summary, "splits")
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    # Spark numbers the files it writes without a fixed width beyond part-99999.
+    folder = F.regexp_extract("_file", r"^(.*)/[^/]*$", 1)
+    number = F.regexp_extract("_file", r"/part-([0-9]+)[^/]*$", 1).try_cast("bigint")
+    before = Window.orderBy(folder, number, *split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         *split, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
@@ -33,6 +36,7 @@ def _with_split_offsets(rows: DataFrame, column: str) -> DataFrame:
 def with_row_index(scan: DataFrame, column: str = "row_idx") -> DataFrame:
     """Dense 0-based index in source order: sorted file name, then place in the file.
 
+    Names of files that Spark wrote are compared by their part number.
     ``scan`` must read files (parquet, text, …).  The data is not sorted and not
     moved; one extra pass counts the rows of each file split.
     """

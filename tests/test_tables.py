@@ -34,6 +34,13 @@ def test_row_index_follows_files_and_splits(spark, base):
         spark.conf.set(setting, before)
 
 
+def test_row_index_compares_part_numbers(spark, base):
+    for name, line in (("part-99999-x.txt", "a"), ("part-100000-x.txt", "b"), ("part-00007-x.txt", "z")):
+        write_lines(base, name, [line])
+    rows = R.with_row_index(spark.read.text(base)).orderBy("row_idx").collect()
+    assert [r.value for r in rows] == ["z", "a", "b"]
+
+
 def test_row_index_counts_rows_after_a_filter(spark, base):
     spark.range(100).write.parquet(f"{base}/t")
     rows = R.with_row_index(spark.read.parquet(f"{base}/t").filter("id % 3 = 0"))
