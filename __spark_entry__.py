@@ -35,6 +35,11 @@ from sparsight.plans import retrieval as B
 from sparsight.sources import tables, text_files, vector_shards
 from sparsight.storage import fresh_path, materialize
 
+try:
+    from sparsight.llm import queries as corpus
+except ImportError:  # the subpackage may be left out
+    corpus = None
+
 # Hits of each customer in the part rankings.
 RUN_DEPTH = 20
 # Parameters shared with the SQL side.
@@ -769,9 +774,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "evaluate_reconstructed": evaluated("reconstructed", q_retrieve_reconstructed, TOP_K),
         "evaluate_latent": evaluated("latent", q_retrieve_latent, 100),
         "evaluate_feedback": evaluated("feedback", q_retrieve_feedback, TOP_K),
+        **(corpus.QUERIES if corpus else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL; queries without an entry are checked by rows only."""
-    return oracles.statements()
+    return {**oracles.statements(), **(corpus.SQL if corpus else {})}
