@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sparsight.llm import line_dedup, packing, quality_rules, sharding
+from sparsight.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, warc
 
 QUERIES = {
+    "op1_simhash_pivots": simhash.op1_simhash_pivots,
+    "op2_suffix_automaton": decontamination.op2_suffix_automaton,
+    "op4_warc": warc.op4_warc,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_hilbert_shards": sharding.op7_hilbert_shards,
     "op8_pattern_packing": packing.op8_pattern_packing,
@@ -12,6 +15,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_suffix_automaton": decontamination.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_line_first": quality_rules.OP9_SQL,
 }
