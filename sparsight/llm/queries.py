@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparsight.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, warc
+from sparsight.llm import decontamination, html_text, line_dedup, packing, quality_rules, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1_simhash_pivots,
     "op2_suffix_automaton": decontamination.op2_suffix_automaton,
+    "op3_site_templates": html_text.op3_site_templates,
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_hilbert_shards": sharding.op7_hilbert_shards,
