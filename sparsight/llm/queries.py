@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from sparsight.llm import decontamination, html_text, line_dedup, packing, quality_rules, sharding, simhash, warc
+import corpus_pipeline
+
+from sparsight.llm import (
+    context_tree, decontamination, html_text, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc,
+)
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1_simhash_pivots,
@@ -10,9 +14,12 @@ QUERIES = {
     "op3_site_templates": html_text.op3_site_templates,
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_context_tree": context_tree.op6_context_tree,
     "op7_hilbert_shards": sharding.op7_hilbert_shards,
     "op8_pattern_packing": packing.op8_pattern_packing,
     "op9_line_first": quality_rules.op9_line_first,
+    "op10_additive_model": quality_model.op10_additive_model,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
