@@ -37,7 +37,9 @@ from sparsight.storage import fresh_path, materialize
 
 try:
     from sparsight.llm import queries as corpus
-except ImportError:  # the subpackage may be left out
+except ModuleNotFoundError as missing:  # the subpackage and its pipeline may be left out; other errors count
+    if not (missing.name or "").startswith(("sparsight.llm", "corpus_pipeline")):
+        raise
     corpus = None
 
 # Hits of each customer in the part rankings.
