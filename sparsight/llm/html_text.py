@@ -61,13 +61,17 @@ NOISE_NAMES = re.compile(
     r"|comments?|commentlist|respond|replies|discussion|related|recommend\w*|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+NOISE_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|reply|response|teaser|related|promo|advert|ad)(?:$|[\s_-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-title)(?:$|[\s_-])", re.I)
 
 
+CUT_OFF = re.compile("<[A-Za-z/!?]")
+
+
 class Element:
     """A node: children are elements and strings."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "subtree", "size", "links", "linked")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "subtree", "size", "links", "linked", "holds")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag = tag
@@ -76,6 +80,7 @@ class Element:
         self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
         self.children: list = []
         self.subtree = self.size = self.links = self.linked = 0
+        self.holds = False
 
 
 class Tree(HTMLParser):
@@ -128,6 +133,8 @@ def parse(html: str) -> Element:
     tree = Tree()
     try:
         tree.feed(html)
+        if CUT_OFF.match(tree.rawdata):  # markup that never ends is no text
+            tree.rawdata = ""
         tree.close()
     except AssertionError:  # the parser's word for a declaration that it can't read
         tree.handle_data(tree.rawdata)
@@ -143,7 +150,7 @@ def elements(root: Element) -> list[Element]:
 
 
 def hash_subtrees(root: Element) -> None:
-    """Sets each element's subtree hash, the size of its text (without white space at borders) and of its links."""
+    """Sets each element's subtree hash, the size of its text and of its links, and whether it holds an article."""
     from xxhash import xxh64_intdigest
 
     for element in reversed(elements(root)):
@@ -161,20 +168,29 @@ def hash_subtrees(root: Element) -> None:
                 size += child.size
                 element.links += child.links
                 element.linked += child.linked
+                element.holds = element.holds or child.holds or child.tag in ("article", "main")
         element.size = size
         if element.tag == "a":
             element.links, element.linked = 1, size
         element.subtree = xxh64_intdigest("\n".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def is_noise(element: Element, in_article: bool) -> bool:
+def is_noise(element: Element, in_article: bool, page: Element) -> bool:
+    """Whether an element is no main text by its tag, its role or its names.
+
+    Names don't count for what holds the article, nor, on a page without one, for most of the text.
+    """
     if element.tag in NOISE or element.hidden or element.role in NOISE_ROLES:
         return True
-    if element.tag in ("html", "body", "#root", "article", "main") and not (element.tag == "article" and in_article):
+    if element.tag in ("html", "body", "#root", "main"):
         return False
-    if not in_article and (element.tag == "header" or HEADER_NAMES.search(element.names)):
+    if element.tag == "article" and not in_article:
+        return bool(NOISE_ARTICLE.search(element.names))
+    if not in_article and element.tag == "header" and not element.holds:
         return True
-    return bool(element.names.strip() and NOISE_NAMES.search(element.names))
+    if not element.names.strip() or element.holds or (not page.holds and 2 * element.size > page.size):
+        return False
+    return bool(NOISE_NAMES.search(element.names) or (not in_article and HEADER_NAMES.search(element.names)))
 
 
 def is_menu(element: Element) -> bool:
@@ -188,7 +204,7 @@ def content_root(root: Element, template: frozenset | set) -> Element:
     waiting = [(root, False)]
     while waiting:
         element, in_article = waiting.pop()
-        if element.tag in NO_TEXT or is_noise(element, in_article) or gone(element, template, root.size):
+        if element.tag in NO_TEXT or is_noise(element, in_article, root) or gone(element, template, root.size):
             continue
         kind = "main" if element.role == "main" else element.tag
         if kind in ("article", "main") and (kind not in best or element.size > best[kind].size):
@@ -236,7 +252,7 @@ def main_text(html: str, template=frozenset()) -> str:
     def leaves(element: Element) -> bool:
         return (
             element.tag in NO_TEXT
-            or is_noise(element, article)
+            or is_noise(element, article, root)
             or (element.tag not in INLINE and not (article and element.tag in PARAGRAPH) and gone(element, template, root.size))
             or (not article and is_menu(element))
         )

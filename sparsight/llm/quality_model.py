@@ -29,7 +29,7 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: The bound of the sample that the model is fitted on.
 SAMPLE_ROWS = 50_000
 BINS, COARSE_BINS = 64, 8
-MAIN_ROUNDS, PAIR_ROUNDS, PAIRS = 60, 30, 10
+MAIN_ROUNDS, PAIR_ROUNDS, PAIRS = 40, 60, 10
 RATE, PENALTY, SPLITS = 0.2, 2.0, 3
 
 #: Classes of bytes whose share is a feature.
