@@ -6,8 +6,8 @@ result as SQL.  How the tables play their parts:
 * vectors: every row of ``embeddings`` is both a query and a passage;
 * texts: ``documents`` are passages, ``benchmark`` items are queries;
 * postings: an order (or a customer) with the summed quantity of each of its parts;
-* rankings: customers as queries, the parts they ordered as passages; a line that was
-  accepted is relevant, one that was returned is judged non-relevant.
+* rankings: customers (or nations, for deep rankings) as queries, all the parts they ordered as
+  passages; a line that was accepted is relevant, one that was returned is judged non-relevant.
 """
 
 from __future__ import annotations
@@ -42,8 +42,6 @@ except ModuleNotFoundError as missing:  # the subpackage and its pipeline may be
         raise
     corpus = None
 
-# Hits of each customer in the part rankings.
-RUN_DEPTH = 20
 # Parameters shared with the SQL side.
 LATENT_SIZE, LATENT_K, SEED = oracles.LATENT_SIZE, oracles.LATENT_K, oracles.SEED
 TOP_K, PAIR_K, BATCH = oracles.TOP_K, oracles.PAIR_K, oracles.BATCH
@@ -100,6 +98,15 @@ def customer_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+def asked_lines(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    """Lines with the query they belong to: a customer, or the nation of the customer."""
+    lines = customer_lines(spark, sf)
+    if by == "customer":
+        return lines.withColumn("qid", F.col("o_custkey"))
+    nations = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("qid"))
+    return lines.join(nations, "o_custkey")
+
+
 def customer_postings(spark: SparkSession, sf: str) -> DataFrame:
     lines = customer_lines(spark, sf).groupBy("o_custkey", "l_partkey")
     return lines.agg(F.sum("l_quantity").alias("weight")).select(
@@ -107,21 +114,19 @@ def customer_postings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def part_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Two rankings of the parts of each customer, the first 20 of each."""
-    lines = customer_lines(spark, sf).groupBy(F.col("o_custkey").alias("qid"), F.col("l_partkey").alias("pid"))
+def part_run(spark: SparkSession, sf: str, by: str = "customer") -> DataFrame:
+    """Two rankings of all the parts of each query."""
+    lines = asked_lines(spark, sf, by).groupBy("qid", F.col("l_partkey").alias("pid"))
     scored = lines.agg(
         F.round(F.sum("l_extendedprice"), 2).alias("spend"), F.sum("l_quantity").alias("quantity")
     )
     entries = F.explode(F.create_map(F.lit("spend"), "spend", F.lit("quantity"), "quantity"))
     order = Window.partitionBy("config", "qid").orderBy(F.col("score").desc(), "pid")
     ranked = scored.select("qid", "pid", entries.alias("config", "score"))
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= RUN_DEPTH).select(
-        "config", "qid", "pid", "rank", "score"
-    )
+    return ranked.withColumn("rank", F.row_number().over(order)).select("config", "qid", "pid", "rank", "score")
 
 
-def part_qrels(spark: SparkSession, sf: str) -> DataFrame:
+def part_qrels(spark: SparkSession, sf: str, by: str = "customer") -> DataFrame:
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     rel = (
         F.when((flag == "A") & (F.col("l_quantity") >= 25), 2)
@@ -129,10 +134,8 @@ def part_qrels(spark: SparkSession, sf: str) -> DataFrame:
         .when(flag == "R", 0)
         .when((flag == "N") & (status == "F"), -1)
     )
-    lines = customer_lines(spark, sf).withColumn("rel", rel).filter("rel IS NOT NULL")
-    return lines.groupBy(F.col("o_custkey").alias("qid"), F.col("l_partkey").alias("pid")).agg(
-        F.max("rel").alias("rel")
-    )
+    lines = asked_lines(spark, sf, by).withColumn("rel", rel).filter("rel IS NOT NULL")
+    return lines.groupBy("qid", F.col("l_partkey").alias("pid")).agg(F.max("rel").alias("rel"))
 
 
 def neighbors(spark: SparkSession, sf: str, k: int = TOP_K) -> DataFrame:
@@ -740,21 +743,31 @@ def q_judge_run(spark, sf):
     return V.judge_run(*stored_run(spark, sf))
 
 
-def stored_run(spark, sf):
+def stored_run(spark, sf, by="customer"):
     """The run and its judgments, each written once, as a scorer reads them."""
-    return materialize(part_run(spark, sf), "run"), materialize(part_qrels(spark, sf), "qrels")
+    return materialize(part_run(spark, sf, by), "run"), materialize(part_qrels(spark, sf, by), "qrels")
+
+
+def q_evaluate_deep(spark, sf):
+    """All measures of rankings that go thousands of ranks deep: a query is a nation."""
+    metrics = V.evaluate(*stored_run(spark, sf, "nation"))
+    return metrics.select("config", "measure", r9("value").alias("value"))
+
+
+def q_judge_run_deep(spark, sf):
+    return V.judge_run(*stored_run(spark, sf, "nation"))
 
 
 def measured(*names: str):
     def query(spark, sf):
-        metrics = V.evaluate(*stored_run(spark, sf), names, depth=RUN_DEPTH)
+        metrics = V.evaluate(*stored_run(spark, sf), names)
         return metrics.select("config", "measure", r9("value").alias("value"))
 
     return query
 
 
 def q_compare_configs(spark, sf):
-    metrics = V.evaluate(*stored_run(spark, sf), oracles.COMPARED, depth=RUN_DEPTH)
+    metrics = V.evaluate(*stored_run(spark, sf), oracles.COMPARED)
     wide = V.compare_configs(metrics, ["spend", "quantity"])
     return wide.select("measure", r9("spend").alias("spend"), r9("quantity").alias("quantity"))
 

@@ -247,18 +247,32 @@ PURCHASES = [
 URGENT = f"""SELECT pid, feature, weight * 2 AS weight FROM ({ORDER_POSTINGS})
     WHERE pid IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
-RUN = """run AS MATERIALIZED (SELECT config, qid, pid, rank::INT AS rank FROM (
+LINES = {
+    "customer": "(SELECT *, o_custkey AS qid FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "nation": """(SELECT *, c_nationkey AS qid FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey)""",
+}
+
+
+def _run(by: str) -> str:
+    return f"""run AS MATERIALIZED (SELECT config, qid, pid, rank::INT AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, pid) AS rank FROM (
-        SELECT 'spend' AS config, o_custkey AS qid, l_partkey AS pid, round(sum(l_extendedprice), 2) AS score
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+        SELECT 'spend' AS config, qid, l_partkey AS pid, round(sum(l_extendedprice), 2) AS score
+        FROM {LINES[by]} GROUP BY ALL
         UNION ALL
-        SELECT 'quantity', o_custkey, l_partkey, sum(l_quantity)
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)) WHERE rank <= 20)"""
-QRELS = """qrels AS MATERIALIZED (SELECT qid, pid, max(rel)::INT AS rel FROM (
-    SELECT o_custkey AS qid, l_partkey AS pid, CASE WHEN l_returnflag = 'A' AND l_quantity >= 25 THEN 2
+        SELECT 'quantity', qid, l_partkey, sum(l_quantity) FROM {LINES[by]} GROUP BY ALL)))"""
+
+
+def _qrels(by: str) -> str:
+    return f"""qrels AS MATERIALIZED (SELECT qid, pid, max(rel)::INT AS rel FROM (
+    SELECT qid, l_partkey AS pid, CASE WHEN l_returnflag = 'A' AND l_quantity >= 25 THEN 2
         WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 0
         WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN -1 END AS rel
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE rel IS NOT NULL GROUP BY qid, pid)"""
+    FROM {LINES[by]}) WHERE rel IS NOT NULL GROUP BY qid, pid)"""
+
+
+RUN, QRELS = _run("customer"), _qrels("customer")
+DEEP = [_run("nation"), _qrels("nation")]
 
 
 def _measures() -> list[str]:
@@ -378,6 +392,10 @@ def _hashed_words(source: str, key: str, text: str) -> str:
 
 def statements() -> dict[str, str]:
     hit_rows = HITS + "hits"
+    judged_rows = """SELECT config, run.qid, run.pid, rank, rel,
+        sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY config, run.qid ORDER BY rank
+            ROWS UNBOUNDED PRECEDING)::BIGINT AS rel_so_far
+        FROM run LEFT JOIN qrels USING (qid, pid) WHERE run.qid IN (SELECT qid FROM qrels)"""
     split_rows = """SELECT 'train' AS split, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx,
             conv_id || '-' || turn AS qid, text AS query FROM conversations
         UNION ALL SELECT 'dev', row_number() OVER (ORDER BY item_id) - 1, item_id::VARCHAR, text FROM benchmark
@@ -517,10 +535,10 @@ def statements() -> dict[str, str]:
         "feedback_sweep": _with(*SWEEP) + f"SELECT config, qid, pid, {_r6('score')} AS score, rank FROM final",
         # rankings
         "rank_run": _with(RUN) + "SELECT config, qid, pid, rank FROM run",
-        "judge_run": _with(RUN, QRELS) + """SELECT config, run.qid, run.pid, rank, rel,
-            sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY config, run.qid ORDER BY rank
-                ROWS UNBOUNDED PRECEDING)::BIGINT AS rel_so_far
-            FROM run LEFT JOIN qrels USING (qid, pid) WHERE run.qid IN (SELECT qid FROM qrels)""",
+        "judge_run": _with(RUN, QRELS) + judged_rows,
+        "judge_run_deep": _with(*DEEP) + judged_rows,
+        "evaluate_deep": _with(*DEEP, *_measures())
+            + f"SELECT config, measure, {_r9('value')} AS value FROM metrics",
         "compare_configs": _with(*JUDGED) + f"""SELECT measure, {_r9("max(value) FILTER (config = 'spend')")} AS spend,
             {_r9("max(value) FILTER (config = 'quantity')")} AS quantity FROM metrics
             WHERE {_chosen(COMPARED)} GROUP BY measure""",

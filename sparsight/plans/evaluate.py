@@ -41,6 +41,11 @@ def rank_run(lists: DataFrame) -> DataFrame:
     )
 
 
+def one_judgment(qrels: DataFrame) -> DataFrame:
+    """``qid, pid, rel``: of several judgments of a pair the highest counts; null grades are none."""
+    return qrels.filter("rel IS NOT NULL").groupBy("qid", "pid").agg(F.max("rel").alias("rel"))
+
+
 def _judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"])
 
@@ -83,6 +88,7 @@ def _with_running_counts(
 
 def judge_run(run: DataFrame, qrels: DataFrame, depth: int | None = None) -> DataFrame:
     """Every hit of a judged query with its judgment (null if unjudged) and ``rel_so_far``."""
+    qrels = one_judgment(qrels)
     kept = run.join(qrels.select("qid").distinct(), "qid", "left_semi")
     judged = kept.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"], "left")
     return _with_running_counts(judged, depth=depth).select("config", "qid", "pid", "rank", "rel", "rel_so_far")
@@ -134,16 +140,14 @@ def per_query(
     Queries count when they are in both tables.  With ``complete`` judged queries
     without hits count too, with zeros.
     """
+    qrels = one_judgment(qrels)
     judgments = qrels.groupBy("qid").agg(
         F.sum((F.col("rel") >= 1).cast("bigint")).alias("num_rel"),
         F.sum((F.col("rel") == 0).cast("bigint")).alias("num_nonrel"),
     )
     returned = run.groupBy("config", "qid").agg(F.count("*").alias("num_ret"))
     if complete:
-        configs = [r.config for r in run.select("config").distinct().collect()]
-        every = judgments.select(
-            "qid", F.explode(F.array(*[F.lit(c) for c in configs])).alias("config")
-        )
+        every = judgments.select("qid").crossJoin(run.select("config").distinct())
         returned = every.join(returned, ["config", "qid"], "left").fillna(0, ["num_ret"])
     queries = returned.join(judgments, "qid").join(ideal_gains(qrels, CUTOFFS), "qid", "left")
 
