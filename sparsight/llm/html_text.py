@@ -7,8 +7,8 @@ page share their content and don't make it a template.  Menus, notices, adverts
 with few pages are recognised by their elements, roles and class names.  Paragraphs of an article are
 never taken for template.
 
-The list of a page's template subtrees is found by a join on (host, subtree) and comes back by page;
-counts are summed up before they move, so that a host with a third of all pages is no hot group.
+Counts are summed up before they move, so that a host with a third of all pages is no hot group.  The
+recurring subtrees are sent to the tasks up to a checked number, and beyond it joined to their pages.
 
 Defined results: a null or empty html gives an empty text; broken or cut markup is read as far as it
 goes; a null url is a host of its own; repeated rows give equal results; an empty table gives no rows;
@@ -30,6 +30,8 @@ from sparsight.storage import materialize
 
 #: Different contents beside which a subtree must recur on its host.
 MIN_CONTENTS = 5
+#: Recurring subtrees (a host and a number each) that are sent to the tasks, at most.
+MOST_SENT = 500_000
 
 # Fixed by HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -298,8 +300,8 @@ def page_key(html: Column) -> Column:
     return F.xxhash64(F.coalesce(html, F.lit("")))
 
 
-def template_lists(pages: DataFrame, min_contents: int = MIN_CONTENTS) -> DataFrame:
-    """host, page_key, template: the recurring subtrees of each page that has any."""
+def page_candidates(pages: DataFrame) -> DataFrame:
+    """host, page_key, content, subtree: a row for each candidate of each page, as a written table."""
 
     def subtrees(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -317,34 +319,51 @@ def template_lists(pages: DataFrame, min_contents: int = MIN_CONTENTS) -> DataFr
 
     rows = pages.select(host_of(F.col("url")).alias("host"), page_key(F.col("html")).alias("page_key"), F.coalesce("html", F.lit("")).alias("html"))
     found = rows.mapInArrow(subtrees, "host string, page_key bigint, content bigint, subtrees array<bigint>")
-    found = materialize(found.select("host", "page_key", "content", F.explode("subtrees").alias("subtree")), "subtrees")
+    return materialize(found.select("host", "page_key", "content", F.explode("subtrees").alias("subtree")), "subtrees")
+
+
+def recurring_subtrees(found: DataFrame, min_contents: int = MIN_CONTENTS) -> DataFrame:
+    """host, subtree of those beside ``min_contents`` different contents or more."""
     beside = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    recurring = beside.filter(F.col("n") >= min_contents).select("host", "subtree")
-    return found.join(recurring, ["host", "subtree"]).groupBy("host", "page_key").agg(F.collect_set("subtree").alias("template"))
+    return materialize(beside.filter(F.col("n") >= min_contents).select("host", "subtree"), "recurring")
 
 
-def extract_text(pages: DataFrame, min_contents: int = MIN_CONTENTS) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    lists = materialize(template_lists(pages, min_contents), "templates").withColumnsRenamed({"host": "at_host", "page_key": "at_page"})
-    rows = pages.select("page_id", "url", "html")
-    same = (host_of(F.col("url")) == F.col("at_host")) & (page_key(F.col("html")) == F.col("at_page"))
-    joined = rows.join(lists, same, "left").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "template")
+def extract_text(pages: DataFrame, min_contents: int = MIN_CONTENTS, most_sent: int = MOST_SENT) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    Up to ``most_sent`` recurring subtrees are sent to the tasks and no page is moved.  Beyond that,
+    each page meets the list of its own ones in a join; the texts are the same.
+    """
+    found = page_candidates(pages)
+    recurring = recurring_subtrees(found, min_contents)
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    if recurring.count() <= most_sent:
+        by_host = recurring.groupBy("host").agg(F.collect_list("subtree").alias("list")).collect()
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["list"]) for r in by_host})
+        rows = rows.withColumn("template", F.lit(None).cast("array<bigint>"))
+    else:
+        sent = None
+        lists = found.join(recurring, ["host", "subtree"]).groupBy("host", "page_key").agg(F.collect_set("subtree").alias("template"))
+        lists = materialize(lists, "templates").withColumnsRenamed({"host": "at_host", "page_key": "at_page"})
+        same = (F.col("host") == F.col("at_host")) & (page_key(F.col("html")) == F.col("at_page"))
+        rows = rows.join(lists, same, "left").select("page_id", "url", "html", "host", "template")
     key = pages.schema["page_id"].dataType.simpleString()
 
     def texts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        none: frozenset = frozenset()
         for batch in batches:
-            found = [
-                main_text(html.as_py(), frozenset(template.as_py() or ()))
-                for html, template in zip(batch.column(2), batch.column(3))
-            ]
+            done = []
+            for html, host, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                template = frozenset(template or ()) if sent is None else sent.value.get(host, none)
+                done.append(main_text(html.as_py(), template))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"]
+                [batch.column(0), batch.column(1), pa.array(done, pa.string())], names=["page_id", "url", "text"]
             )
 
-    done = joined.mapInArrow(texts, f"page_id {key}, url string, text string")
-    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+    extracted = rows.mapInArrow(texts, f"page_id {key}, url string, text string")
+    return extracted.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op3_site_templates(spark: SparkSession, sf: str) -> DataFrame:

@@ -39,6 +39,8 @@ def test_templates_go_and_copies_stay(spark):
     rows += [(100 + i, f"https://USER@b.org:80/{i}", f"<body>{story}") for i in range(9)]
     rows += [(200, "http://c.org", f"<body>{box.format(1)}<p>Another site.</p>"), (300, None, None), (301, "http://a.org/9", "")]
     got = {r.page_id: (r.text, r.n_chars) for r in X.extract_text(site(spark, rows)).collect()}
+    joined = X.extract_text(site(spark, rows), most_sent=0)
+    assert {r.page_id: (r.text, r.n_chars) for r in joined.collect()} == got
     for i in range(8):
         assert got[i][0] == f"Page {i} says something of its own, {i}."
     for i in range(9):
