@@ -579,6 +579,16 @@ def q_sparse_index_create(spark, sf):
     return P.sparse_index_open(spark, base, "parts").select("pid", "feature", "weight")
 
 
+def q_sparse_index_search(spark, sf):
+    """An index is stored, updated from itself, stored again under its name, and searched."""
+    base = fresh_path(spark, "index")
+    index = P.sparse_index_create(spark, base, "parts", order_postings(spark, sf))
+    P.sparse_index_create(spark, base, "parts", P.sparse_index_upsert(index, urgent_batch(spark, sf)))
+    known = P.sparse_index_statistics(spark, base, "parts")
+    asked = materialize(customer_postings(spark, sf), "asked")
+    return P.sparse_topk(asked, P.sparse_index_open(spark, base, "parts"), TOP_K, statistics=known)
+
+
 def stored_postings(spark, sf):
     """Query postings and the index, each written once."""
     return materialize(customer_postings(spark, sf), "asked"), materialize(order_postings(spark, sf), "index")

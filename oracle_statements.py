@@ -247,6 +247,13 @@ PURCHASES = [
 URGENT = f"""SELECT pid, feature, weight * 2 AS weight FROM ({ORDER_POSTINGS})
     WHERE pid IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
+UPDATED = [
+    f"asked AS MATERIALIZED (SELECT qid AS id, feature, weight FROM ({CUSTOMER_POSTINGS}))",
+    f"""idx AS MATERIALIZED (SELECT pid AS id, feature, weight FROM ({ORDER_POSTINGS})
+        WHERE pid NOT IN (SELECT pid FROM ({URGENT})) UNION ALL SELECT * FROM ({URGENT}))""",
+    _sparse("asked", "idx", "hits", TOP_K),
+]
+
 LINES = {
     "customer": "(SELECT *, o_custkey AS qid FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "nation": """(SELECT *, c_nationkey AS qid FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -501,6 +508,7 @@ def statements() -> dict[str, str]:
         "sparse_index_upsert": f"""SELECT * FROM ({ORDER_POSTINGS}) WHERE pid NOT IN (SELECT pid FROM ({URGENT}))
             UNION ALL SELECT * FROM ({URGENT})""",
         "sparse_index_create": ORDER_POSTINGS,
+        "sparse_index_search": _with(*UPDATED) + "SELECT qid, pid, score, rank FROM hits",
         "sparse_topk": _with(*PURCHASES) + "SELECT qid, pid, score, rank FROM hits",
         "sparse_topk_batch": _with(*PURCHASES) + """SELECT qid, pid, score, rank, row_idx FROM hits JOIN
             (SELECT c_custkey AS qid, row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx FROM customer) USING (qid)""",

@@ -2,52 +2,55 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsight.storage import materialize
 
 
-# Most file splits whose offsets are broadcast (about 200 bytes each).
-BROADCAST_SPLITS = 2_000_000
+def _numbered(rows: DataFrame, pieces: list[str], column: str) -> DataFrame | None:
+    """Dense index from the place ``_pos`` in each file (or piece of a file); None if places have gaps.
 
-
-def _with_split_offsets(rows: DataFrame, column: str) -> DataFrame:
-    """Dense index from (file, split start, increasing position inside the split).
-
-    Only one summary row per file split is ordered in one place.
+    Pieces follow each other by folder, part number and name.  One summary row per piece is
+    ordered in one place.
     """
-    split = ["_file", "_start"]
-    summary = rows.groupBy(*split).agg(F.count("*").alias("_rows"), F.min("_pos").alias("_first"))
-    splits = materialize(summary, "splits")
+    counts = rows.groupBy(*pieces).agg(
+        F.count("*").alias("_rows"), F.min("_pos").alias("_first"), F.max("_pos").alias("_last")
+    )
+    counts = materialize(counts, "files")
+    if not counts.filter("_last - _first + 1 <> _rows").isEmpty():
+        return None
     # Spark numbers the files it writes without a fixed width beyond part-99999.
     folder = F.regexp_extract("_file", r"^(.*)/[^/]*$", 1)
     number = F.regexp_extract("_file", r"/part-([0-9]+)[^/]*$", 1).try_cast("bigint")
-    before = Window.orderBy(folder, number, *split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        *split, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
-    )
-    if splits.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    before = Window.orderBy(folder, number, *pieces).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*pieces, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     index = F.col("_before") + F.col("_pos") - F.col("_first")
-    return rows.join(offsets, split).withColumn(column, index).drop(*split, "_pos", "_first", "_before")
+    return rows.join(starts, pieces).withColumn(column, index).drop(*pieces, "_pos", "_first", "_before")
 
 
 def with_row_index(scan: DataFrame, column: str = "row_idx") -> DataFrame:
     """Dense 0-based index in source order: sorted file name, then place in the file.
 
-    Names of files that Spark wrote are compared by their part number.
-    ``scan`` must read files (parquet, text, …).  The data is not sorted and not
-    moved; one extra pass counts the rows of each file split.
+    Names of files that Spark wrote are compared by their part number.  ``scan`` must read
+    files.  For whole parquet files the place is the row number that the reader knows, so
+    neither the data nor the index depends on how files are cut into tasks; one extra pass
+    over the metadata columns counts the rows of each file.  Rows of other formats, or what
+    a filter has left, are written once with their place in the split they came from, and
+    numbered from that table.
     """
     meta = F.col("_metadata")
-    placed = scan.select(
-        "*",
-        meta["file_path"].alias("_file"),
-        meta["file_block_start"].alias("_start"),
-        F.monotonically_increasing_id().alias("_pos"),
-    )
-    return _with_split_offsets(placed, column)
+    file = meta["file_path"].alias("_file")
+    try:
+        placed = scan.select("*", file, meta["row_index"].alias("_pos"))
+    except AnalysisException:
+        placed = None
+    found = _numbered(placed, ["_file"], column) if placed is not None else None
+    if found is None:
+        start, turn = meta["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_pos")
+        found = _numbered(materialize(scan.select("*", file, start, turn), "lines"), ["_file", "_start"], column)
+    return found
 
 
 def with_ordered_index(df: DataFrame, order: list, column: str = "row_idx") -> DataFrame:

@@ -81,6 +81,12 @@ class SparseModel:
         )
         return self.weights.sparkSession.sparkContext.broadcast(parts)
 
+    def release(self) -> None:
+        """Removes the broadcast, if there is one; nothing that uses it may still run."""
+        sent = self.__dict__.pop("arrays", None)
+        if sent is not None:
+            sent.destroy()
+
 
 @dataclass(frozen=True)
 class ModelArrays:

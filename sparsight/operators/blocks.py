@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 128 * 1024 * 1024
 # Multiply-adds that justify a task of their own.
 TASK_WORK = 2e8
-# Above this many cells they are hashed onto partitions instead of owning one each.
-MAX_DIRECT_CELLS = 20_000
+# Up to this many cells each has a partition of its own; above, so many share one on average.
+DIRECT_CELLS, CELLS_A_PARTITION = 20_000, 2
 # Array elements of one scratch buffer inside a task.
 SCRATCH = 4_000_000
 
@@ -72,20 +72,26 @@ def cogroup_cells(
     cell = (F.col("_lb") * F.lit(right_blocks) + F.col("_rb")).cast("int")
     lhs = lhs.withColumn("_cell", cell).drop("_lb", "_rb")
     rhs = rhs.withColumn("_cell", cell).drop("_lb", "_rb")
-    if cells <= MAX_DIRECT_CELLS:
+    if cells <= DIRECT_CELLS:
         lhs, rhs = lhs.repartitionById(cells, "_cell"), rhs.repartitionById(cells, "_cell")
     else:
-        lhs, rhs = (x.repartition(MAX_DIRECT_CELLS, "_cell") for x in (lhs, rhs))
+        lhs, rhs = (x.repartition(math.ceil(cells / CELLS_A_PARTITION), "_cell") for x in (lhs, rhs))
     return lhs.groupBy("_cell").cogroup(rhs.groupBy("_cell")).applyInArrow(function, schema)
 
 
 def matrix(column, dtype=np.float64) -> np.ndarray:
-    """An Arrow column of equally long lists as a 2-d array."""
+    """An Arrow column of equally long lists as a 2-d array; nulls and unequal lengths raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.empty((0, 0), dtype)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("a vector is null or has a null in it")
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes != sizes[0]).any():
+        raise ValueError(f"vectors differ in width: {sizes.min()} to {sizes.max()}")
+    flat = flat.to_numpy(zero_copy_only=False)
     return flat.astype(dtype, copy=False).reshape(len(column), -1)
 
 
@@ -143,9 +149,22 @@ def ranked(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int):
 
 
 def top_products(x: np.ndarray, y: np.ndarray, bias: np.ndarray | None, k: int):
-    """Exact k best columns of ``x @ y.T + bias`` per row: rows, columns, scores, ranks."""
+    """Exact k best columns of ``x @ y.T + bias`` per row: rows, columns, scores, ranks.
+
+    Rows and columns with a NaN or an infinity have no hits and are none.
+    """
+    usable = np.isfinite(y).all(axis=1) if len(y) else np.empty(0, bool)
+    if bias is not None:
+        usable &= np.isfinite(bias)
+    askable = np.isfinite(x).all(axis=1) if len(x) else np.empty(0, bool)
+    if not (usable.all() and askable.all()):
+        columns, queries = np.flatnonzero(usable), np.flatnonzero(askable)
+        rows, cols, scores, ranks = top_products(x[queries], y[columns], None if bias is None else bias[columns], k)
+        return queries[rows], columns[cols], scores, ranks
     found = []
     if len(x) and len(y):
+        if x.shape[1] != y.shape[1]:
+            raise ValueError(f"vectors of width {x.shape[1]} are compared with vectors of width {y.shape[1]}")
         # A product of d terms computed in any order is off by less than this.
         error = 4.0 * x.shape[1] * np.finfo(np.float64).eps
         longest = np.sqrt((y * y).sum(axis=1).max())
@@ -169,6 +188,19 @@ def top_products(x: np.ndarray, y: np.ndarray, bias: np.ndarray | None, k: int):
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+def vector_shape(df: DataFrame, column: str, what: str) -> tuple[int, int]:
+    """Number of vectors and their width; raises on nulls and unequal widths."""
+    size = F.size(F.col(column))
+    rows, known, least, most = df.agg(
+        F.count("*"), F.count(column), F.min(size), F.max(size)
+    ).first()
+    if rows != known:
+        raise ValueError(f"{rows - known} {what} have no vector")
+    if least != most:
+        raise ValueError(f"vectors of {what} differ in width: {least} to {most}")
+    return rows, most or 0
+
+
 def inner_topk(
     left: DataFrame,
     right: DataFrame,
@@ -183,7 +215,8 @@ def inner_topk(
 ) -> DataFrame:
     """The k right rows with the largest inner product (plus ``bias``) for each left row.
 
-    Exact.  Ties go to the smaller right key.  Returns the left keys, the right
+    Exact.  Ties go to the smaller right key.  Vectors must be of one width and not null; one with
+    a NaN or an infinity is never a hit and has none.  Returns the left keys, the right
     key, ``score`` and ``rank`` from 1; fewer than k rows when ``right`` is smaller.
     """
     spark = left.sparkSession
@@ -195,8 +228,10 @@ def inner_topk(
         *([F.col(bias).cast("double").alias("_y_bias")] if bias else []),
     )
     if left_blocks is None or right_blocks is None:
-        n_left = lhs.count()
-        n_right, dim = rhs.agg(F.count("*"), F.max(F.size("_y"))).first()
+        n_left, left_dim = vector_shape(lhs, "_x", "queries")
+        n_right, dim = vector_shape(rhs, "_y", "passages")
+        if n_left and n_right and left_dim != dim:
+            raise ValueError(f"queries of width {left_dim} are compared with passages of width {dim}")
         row_bytes = 8 * (dim or 1)
         right_blocks = right_blocks or blocks_for(n_right, row_bytes)
         left_blocks = left_blocks or left_blocks_for(

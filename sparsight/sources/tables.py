@@ -113,21 +113,29 @@ def scan_neighbors(spark: SparkSession, base: str, embedding: str, split: str) -
 
 
 def write_metrics(metrics: DataFrame, base: str) -> None:
-    """Append ``config, measure, value`` rows."""
-    metrics.select("config", "measure", "value").write.mode("append").parquet(f"{base}/metrics")
+    """Save ``config, measure, value`` rows; those of a configuration replace what it had."""
+    placed = metrics.select("config", "measure", "value").repartition("config")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config").parquet(
+        f"{base}/metrics"
+    )
 
 
 def write_fit_history(history: DataFrame, base: str, name: str) -> None:
-    """Append ``epoch, name, value`` rows of one model."""
-    history.select("epoch", "name", "value").write.mode("append").parquet(f"{base}/fit_history/{name}")
+    """Save ``epoch, name, value`` rows of one model; those of an epoch replace what it had."""
+    placed = history.select("epoch", "name", "value").repartition("epoch")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(
+        f"{base}/fit_history/{name}"
+    )
 
 
 def scan_metrics(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/metrics")
+    rows = spark.read.schema("config string, measure string, value double").parquet(f"{base}/metrics")
+    return rows.select("config", "measure", "value")
 
 
 def scan_fit_history(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/fit_history/{name}")
+    rows = spark.read.schema("epoch int, name string, value double").parquet(f"{base}/fit_history/{name}")
+    return rows.select("epoch", "name", "value")
 
 
 # --- snapshots -------------------------------------------------------------

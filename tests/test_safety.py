@@ -1,0 +1,139 @@
+"""Row numbers that don't depend on tasks, input that must raise, updates that must not destroy."""
+
+import math
+
+import pytest
+
+from sparsight.operators import dense, sparse
+from sparsight.operators import fit as T
+from sparsight.operators.addressing import with_row_index
+from sparsight.plans import evaluate as V
+from sparsight.sources import tables, text_files
+
+
+@pytest.fixture
+def packing(spark):
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes")
+    yield lambda parts, size: [spark.conf.set(k, v) for k, v in zip(keys, (parts, size))]
+    for key in keys:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("kind", ["parquet", "text"])
+def test_index_survives_other_packing(spark, base, packing, kind):
+    rows = spark.range(20_000).selectExpr("lpad(cast(id AS string), 8, '0') AS value").repartitionByRange(12, "value")
+    rows = rows.sortWithinPartitions("value")
+    getattr(rows.write, kind)(f"{base}/rows")
+    scan = getattr(spark.read, kind)(f"{base}/rows")
+    packing(1, "1g")
+    indexed = with_row_index(scan.select("value"))
+    for parts, size in ((40, "4k"), (1, "1g"), (7, "16k")):
+        packing(parts, size)
+        got = indexed.orderBy("row_idx").collect()
+        assert [r.row_idx for r in got] == list(range(20_000))
+        assert [int(r.value) for r in got] == list(range(20_000))
+
+
+def test_lines_keep_their_order_when_packing_changes(spark, base, packing):
+    with open(f"{base}/passages.tsv", "w") as f:
+        f.writelines(f"p{i}\ttext {i}\n" for i in range(5000))
+    packing(1, "1g")
+    rows = text_files.scan_passages_tsv(spark, f"{base}/passages.tsv")
+    packing(16, "2k")
+    assert [(r.row_idx, r.pid) for r in rows.orderBy("row_idx").collect()] == [(i, f"p{i}") for i in range(5000)]
+
+
+def vectors(spark, key, rows):
+    return spark.createDataFrame(list(enumerate(rows)), f"{key} bigint, vec array<double>")
+
+
+def test_one_bad_vector_loses_no_hit(spark):
+    good = [[math.cos(i), math.sin(i)] for i in range(20)]
+    asked = vectors(spark, "qid", [[1.0, 0.0], [0.0, 1.0], [float("nan"), 1.0]])
+    clean = dense.dense_topk(asked, vectors(spark, "pid", good), 3).collect()
+    for bad in (float("nan"), float("inf"), -float("inf")):
+        found = dense.dense_topk(asked, vectors(spark, "pid", [*good, [bad, 0.0]]), 3).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, clean))
+    assert len(clean) == 6 and {r.qid for r in clean} == {0, 1}
+
+
+@pytest.mark.parametrize("bad", [[[1.0, 2.0, 3.0], [4.0]], [[1.0, 2.0], None], [[1.0, None]], [[1.0, 2.0, 3.0]]])
+def test_bad_shapes_raise(spark, bad):
+    asked = vectors(spark, "qid", [[1.0, 0.0]])
+    with pytest.raises(Exception, match="width|null|no vector"):
+        dense.dense_topk(asked, vectors(spark, "pid", bad), 2).collect()
+
+
+def test_repeated_judgments_count_once(spark):
+    run = spark.createDataFrame([("c", 1, p, p) for p in range(1, 5)], "config string, qid int, pid int, rank int")
+    once = [(1, 1, 1), (1, 2, 0), (1, 4, 2), (1, 9, 1)]
+    twice = [*once, (1, 1, 1), (1, 1, 0), (1, 4, 1), (1, 3, None)]
+    schema = "qid int, pid int, rel int"
+    reports = [
+        sorted(map(tuple, V.evaluate(run, spark.createDataFrame(j, schema)).collect())) for j in (once, twice)
+    ]
+    assert reports[0] == reports[1]
+
+
+def test_complete_counts_queries_without_hits(spark):
+    run = spark.createDataFrame([("a", 1, 1, 1), ("b", 1, 2, 1)], "config string, qid int, pid int, rank int")
+    qrels = spark.createDataFrame([(1, 1, 1), (2, 5, 1)], "qid int, pid int, rel int")
+    rows = V.evaluate(run, qrels, ("map", "num_q"), complete=True).collect()
+    assert {(r.config, r.measure): r.value for r in rows}["a", "map"] == 0.5
+    assert {r.config for r in rows} == {"a", "b"}
+
+
+def test_index_updated_from_itself(spark, base):
+    rows = [(p, f, float(p + f)) for p in range(60) for f in range(5)]
+    schema = "pid int, feature int, weight double"
+    index = sparse.sparse_index_create(spark, base, "m", spark.createDataFrame(rows, schema))
+    for turn in range(3):
+        batch = spark.createDataFrame([(turn, 1, 100.0 + turn)], schema)
+        index = sparse.sparse_index_create(spark, base, "m", sparse.sparse_index_upsert(index, batch))
+    got = sorted(map(tuple, sparse.sparse_index_open(spark, base, "m").collect()))
+    assert got == sorted([r for r in rows if r[0] > 2] + [(t, 1, 100.0 + t) for t in range(3)])
+    assert sparse.sparse_index_statistics(spark, base, "m") == (len(got), 5)
+
+
+def test_failed_index_write_leaves_the_old_one(spark, base):
+    schema = "pid int, feature int, weight double"
+    sparse.sparse_index_create(spark, base, "m", spark.createDataFrame([(1, 1, 1.0)], schema))
+    broken = spark.range(3).selectExpr("1 AS pid", "1 AS feature", "raise_error('stop') AS weight")
+    with pytest.raises(Exception, match="stop"):
+        sparse.sparse_index_create(spark, base, "m", broken)
+    assert sparse.sparse_index_open(spark, base, "m").count() == 1
+
+
+def test_reports_replace_their_own_rows(spark, base):
+    schema = "config string, measure string, value double"
+    for value in (1.0, 2.0):
+        tables.write_metrics(spark.createDataFrame([("10", "map", value)], schema), base)
+        tables.write_metrics(spark.createDataFrame([("b", "map", value)], schema), base)
+    assert sorted(map(tuple, tables.scan_metrics(spark, base).collect())) == [("10", "map", 2.0), ("b", "map", 2.0)]
+
+
+def test_a_stop_between_saves_loses_nothing(spark, base, monkeypatch):
+    from sparsight.operators import autoencoder as A
+
+    rows = [(i, i, [float(i % 3), 1.0, 0.5], [[1.0, float(i % 2), 0.0]]) for i in range(6)]
+    pairs = spark.createDataFrame(rows, "row_idx bigint, qid bigint, q_vec array<double>, p_vecs array<array<double>>")
+    start = A.init_weights(A.feature_ids(spark, 8), 3, 8, 1)
+
+    def run(where, epochs):
+        return T.fit(where, "m", pairs, pairs, *start, 4, epochs=epochs, batch_size=4, rate=0.05)
+
+    whole = sorted(map(tuple, run(f"{base}/whole", 2).collect()))
+    real = T.write_model
+
+    def stopping(snapshot, state, where, name, mode, epoch):
+        if mode == "last" and epoch == 1:
+            raise KeyboardInterrupt
+        real(snapshot, state, where, name, mode, epoch)
+
+    monkeypatch.setattr(T, "write_model", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        run(f"{base}/stopped", 2)
+    monkeypatch.setattr(T, "write_model", real)
+    assert sorted(map(tuple, run(f"{base}/stopped", 2).collect())) == whole
+    best = [tables.scan_model(spark, f"{base}/{w}", "m", "best")[1].first() for w in ("whole", "stopped")]
+    assert best[0] == best[1]
