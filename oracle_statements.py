@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from sparsight.functions.text import INSTRUCTIONS, MAX_TOKENS
 from sparsight.plans.evaluate import CUTOFFS, R_MULTIPLES, RECALL_LEVELS, SUCCESS_CUTOFFS
 from sparsight.plans.retrieval import config_name, feedback_grid
@@ -234,6 +237,66 @@ ADAM = [
         SELECT -1, 0.0e0, b_dec, list_transform(b_dec, lambda b: 0.0e0) FROM bd)""",
 ]
 
+# The tables of one pass over all pairs as one batch, and those that every pass shares.
+PASS_TABLES = (
+    "w bd c codes hat_sums hat pairs scores shares losses pull sizes outputs active grads".split()
+)
+PASS_SHARED = [VECTORS, DIMS, _search("v", "v", "near", PAIR_K)]
+
+
+def _pass(number: int) -> list[str]:
+    """Losses and gradients at the weights of pass ``number``, its tables named after it."""
+    parts = [
+        p.replace(f"n.qid // {BATCH} AS batch_id", "0 AS batch_id")
+        for p in GRADIENTS if p not in MODEL and p not in PASS_SHARED
+    ]
+    return [re.sub(rf"\b({'|'.join(PASS_TABLES)})\b", rf"\1_{number}", p) for p in parts]
+
+
+def _stepped(number: int, start: float) -> list[str]:
+    """Weights and moments after the Adam step that pass ``number`` leads to, counted from 0."""
+    t = number + 1
+    kinds = {"dec": ("w_dec[d.dim + 1]", "d_dec"), "enc": ("w_enc[d.dim + 1]", "d_enc"), "bias": ("b_enc", "d_bias")}
+    moments, moved = [], []
+    for kind, (value, gradient) in kinds.items():
+        mean, square = (f"h.{m}_{kind}" if number else "0.0e0" for m in "mv")
+        moments += [f"{value} AS old_{kind}",
+                    f"0.9e0 * {mean} + (1.0e0 - 0.9e0) * coalesce({gradient}, 0) AS m_{kind}",
+                    f"0.999e0 * {square} + (1.0e0 - 0.999e0) * coalesce({gradient}, 0) * coalesce({gradient}, 0) AS v_{kind}"]
+        moved.append(f"old_{kind} - {_num(start)} * (m_{kind} / {_num(1 - 0.9**t)})"
+                     f" / (sqrt(v_{kind} / {_num(1 - 0.999**t)}) + 1.0e-8) AS new_{kind}")
+    before = f"LEFT JOIN step_{number - 1} h ON h.feature = r.feature AND h.dim = d.dim" if number else ""
+    return [
+        f"""rows_{number} AS MATERIALIZED (SELECT feature, b_enc, w_dec, w_enc FROM w_{number} UNION ALL
+            SELECT -1, 0.0e0, b_dec, list_transform(b_dec, lambda b: 0.0e0) FROM bd_{number})""",
+        f"""step_{number} AS MATERIALIZED (SELECT feature, dim, {', '.join(f'm_{k}, v_{k}' for k in kinds)}, {', '.join(moved)}
+            FROM (SELECT r.feature, d.dim, {', '.join(moments)}
+                FROM rows_{number} r CROSS JOIN dims d LEFT JOIN grads_{number} g ON g.feature = r.feature AND g.dim = d.dim
+                {before}))""",
+        f"""w_{number + 1} AS MATERIALIZED (SELECT feature, list(new_enc ORDER BY dim) AS w_enc, min(new_bias) AS b_enc,
+            list(new_dec ORDER BY dim) AS w_dec FROM step_{number} WHERE feature >= 0 GROUP BY feature)""",
+        f"bd_{number + 1} AS MATERIALIZED (SELECT list(new_dec ORDER BY dim) AS b_dec FROM step_{number} WHERE feature = -1)",
+    ]
+
+
+def _fit() -> str:
+    """Two epochs of one batch each: the history."""
+    first = [re.sub(r"\b(w|bd)\b", r"\1_0", p) for p in MODEL]
+    last = [p for p in _pass(2) if not p.startswith(("pull_", "sizes ", "sizes_", "outputs_", "active_", "grads_"))]
+    rates = [RATE * (1 + math.cos(math.pi * e / 2)) / 2 for e in range(3)]
+    rows = [
+        f"SELECT {epoch} AS epoch, '{name}' AS name, {value} AS value{source}"
+        for epoch in range(2)
+        for name, value, source in (
+            ("tMSE", "mse", f" FROM losses_{epoch}"), ("tKLD", "kld", f" FROM losses_{epoch}"),
+            ("vMSE", "mse", f" FROM losses_{epoch + 1}"), ("vKLD", "kld", f" FROM losses_{epoch + 1}"),
+            ("lr", _num(rates[epoch + 1]), ""),
+        )
+    ]
+    parts = [*first, *PASS_SHARED, *_pass(0), *_stepped(0, rates[0]), *_pass(1), *_stepped(1, rates[1]), *last]
+    return _with(*parts) + f"SELECT epoch, name, {_r6('value')} AS value FROM ({' UNION ALL '.join(rows)})"
+
+
 # --- postings and rankings -------------------------------------------------
 
 ORDER_POSTINGS = "SELECT l_orderkey AS pid, l_partkey AS feature, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL"
@@ -528,6 +591,7 @@ def statements() -> dict[str, str]:
         "fit_adam_step": _with(*ADAM) + f"""SELECT feature, {_r6(_first_step('b_enc', 'd_bias'))} AS b_enc, dim,
             {_r6(_first_step('w_dec[dim + 1]', 'd_dec'))} AS w_dec, {_r6(_first_step('w_enc[dim + 1]', 'd_enc'))} AS w_enc
             FROM rows CROSS JOIN dims LEFT JOIN grads USING (feature, dim)""",
+        "fit": _fit(),
         # pipelines
         "retrieve_reconstructed": _with(*SEARCHED, _search("kept", "kept", "hits", TOP_K)) + hit_rows,
         "retrieve_latent": _with(*LATENT) + hit_rows,
