@@ -35,9 +35,9 @@ from sparsight.storage import materialize
 DEPTH = 4
 FOLDS, HELD_OUT = 7, 2
 #: Rows of the tables that are sent to tasks, at most.
-HEAD_RUNS, HEAD_WORDS = 2_000_000, 400_000
+HEAD_RUNS, HEAD_WORDS = 1_000_000, 200_000
 #: Distinct runs and words a task holds before it hands them on; runs in a task of the weighting.
-HOLD_RUNS, HOLD_WORDS, TASK_RUNS = 2_000_000, 300_000, 500_000
+HOLD_RUNS, HOLD_WORDS, TASK_RUNS = 1_000_000, 200_000, 250_000
 TEXT_SLICE = 1 << 20
 #: Ends a text and pads its first contexts; never part of UTF-8.
 END = 0xFF
@@ -393,7 +393,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     words = word_head.select("word", "n").toArrow()
     sent = context.broadcast((
         runs.column(0).to_numpy().view(np.uint64), runs.column(1).to_numpy(),
-        words.column(0).to_pylist(), np.log10(words.column(1).to_numpy() + 1.0),
+        b" ".join(words.column(0).to_pylist()), np.log10(words.column(1).to_numpy() + 1.0),
     ))
     key = docs.schema["doc_id"].dataType.simpleString()
 
@@ -405,7 +405,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if name not in _TABLES:
             _TABLES.clear()
             keys, values, known, logs = sent.value
-            _TABLES[name] = RunTable(keys, values), dict(zip(known, logs.tolist()))
+            _TABLES[name] = RunTable(keys, values), dict(zip(known.split(), logs.tolist()))
+            del keys, values, known, logs
         table, heads = _TABLES[name]
         get = heads.get
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
