@@ -9,6 +9,7 @@ shuffled; a larger one is cut into feature blocks that meet the vectors in cells
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sparsight.functions.columns import as_doubles, subtract
 from sparsight.operators.blocks import (
+    SCRATCH,
     blocks_for,
     cogroup_cells,
     key_codes,
@@ -33,6 +35,10 @@ from sparsight.storage import materialize
 
 # Largest model, in bytes of encoder plus decoder, that is broadcast by default.
 BROADCAST_BYTES = 256 * 1024 * 1024
+# Leaves of the tree in which decoded vectors are added up; a power of two.
+SUM_LEAVES = 16
+# Bytes of one activation, and of one code, in a cell.
+ACTIVATION_BYTES, CODE_BYTES = 24, 24
 
 
 @dataclass(frozen=True)
@@ -108,19 +114,39 @@ class ModelArrays:
         return rows[order], cols[order], values[order]
 
     def decode(self, n: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return decode_rows(n, rows, cols, values, self.w_dec) + self.b_dec
-
-
-def decode_rows(n: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, w_dec: np.ndarray) -> np.ndarray:
-    """Σ value · decoder column per row, added in the given (row, feature) order."""
-    out = np.zeros((n, w_dec.shape[1]))
-    if len(rows):
-        counts = np.bincount(rows, minlength=n)
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
-        turn = np.arange(len(rows)) - starts[rows]
-        for step in range(int(counts.max())):
-            now = np.flatnonzero(turn == step)
-            out[rows[now]] += values[now, None] * w_dec[cols[now]]
+        return decode_rows(n, rows, cols, values, self.w_dec, self.feature) + self.b_dec
+
+
+def decode_rows(
+    n: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, w_dec: np.ndarray, feature: np.ndarray,
+    first_leaf: int = 0, leaves: int = SUM_LEAVES,
+) -> np.ndarray:
+    """Σ value · decoder column per row, given in (row, feature) order.
+
+    A feature belongs to leaf ``feature mod SUM_LEAVES``.  Leaves are added up in feature order,
+    then two by two in a fixed tree, so a run of leaves gives the same bits wherever it is added.
+    """
+    dim = w_dec.shape[1]
+    out = np.zeros((n, dim))
+    leaf = feature[cols] % SUM_LEAVES - first_leaf
+    step = max(1, SCRATCH // max(leaves * dim, 1))
+    edges = np.searchsorted(rows, np.arange(0, n + step, step))
+    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        start = part * step
+        size = min(step, n - start)
+        place = (rows[a:b] - start) * leaves + leaf[a:b]
+        order = np.argsort(place, kind="stable")
+        place, now_cols, now_values = place[order], cols[a:b][order], values[a:b][order]
+        counts = np.bincount(place, minlength=size * leaves)
+        turn = np.arange(len(place)) - (np.cumsum(counts) - counts)[place]
+        sums = np.zeros((size * leaves, dim))
+        for t in range(int(counts.max()) if len(counts) else 0):
+            at = np.flatnonzero(turn == t)
+            sums[place[at]] += now_values[at, None] * w_dec[now_cols[at]]
+        sums = sums.reshape(size, leaves, dim)
+        while sums.shape[1] > 1:
+            sums = sums[:, 0::2] + sums[:, 1::2]
+        out[start : start + size] = sums[:, 0]
     return out
 
 
@@ -172,8 +198,10 @@ def encode(vectors: DataFrame, model: SparseModel, keys: Sequence[str]) -> DataF
     feature_blocks = blocks_for(model.size, 8 * model.dim)
     lhs = vectors.select(*keys, "vec")
     rows = lhs.count()
+    # A cell gives a key, a feature and a number for each of its pairs.
+    made = ACTIVATION_BYTES * math.ceil(model.size / feature_blocks)
     row_blocks = left_blocks_for(
-        rows, 8 * model.dim, feature_blocks, float(rows) * model.size * model.dim,
+        rows, max(8 * model.dim, made), feature_blocks, float(rows) * model.size * model.dim,
         vectors.sparkSession.sparkContext.defaultParallelism,
     )
 
@@ -238,17 +266,24 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
         postings.select(*names, F.col("feature").cast("int").alias("feature"), "weight")
     )
     rhs = model.weights.select(F.col("feature").alias("w_feature"), "w_dec")
-    feature_blocks = blocks_for(model.size, 8 * model.dim)
-    rows = ids.count()
-    row_blocks = left_blocks_for(
-        rows, 8 * model.dim, feature_blocks, 64.0 * rows * model.dim,
-        ids.sparkSession.sparkContext.defaultParallelism,
+    # Blocks are whole branches of the sum tree.
+    feature_blocks = 1 << (blocks_for(model.size, 8 * model.dim) - 1).bit_length()
+    feature_blocks = min(feature_blocks, SUM_LEAVES)
+    leaves = SUM_LEAVES // feature_blocks
+    rows, codes = lhs.agg(F.count_if(F.col("feature") < 0), F.count("*")).first()
+    row_blocks = max(
+        left_blocks_for(
+            rows, 8 * model.dim, feature_blocks, 64.0 * rows * model.dim,
+            ids.sparkSession.sparkContext.defaultParallelism,
+        ),
+        blocks_for(codes // feature_blocks, CODE_BYTES),
     )
     bias = np.array(model.b_dec)
 
     def cell(lhs: pa.Table, rhs: pa.Table) -> pa.Table:
         if lhs.num_rows == 0:
-            return pa.table([*lhs.select(names).columns, pa.array([], pa.list_(pa.float64()))], names=[*names, "vec"])
+            empty = [pa.array([], pa.list_(pa.float64())), pa.array([], pa.int32())][: 1 + (feature_blocks > 1)]
+            return pa.table([*lhs.select(names).columns, *empty], names=[*names, "vec", "block"][: len(names) + len(empty)])
         # Rows in (id, feature) order; the row that only names an id comes first.
         key = key_codes(lhs, names)
         feature = lhs["feature"].to_numpy()
@@ -261,28 +296,47 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
         rhs = rhs.sort_by("w_feature")
         real = np.flatnonzero(feature >= 0)
         cols = np.searchsorted(rhs["w_feature"].to_numpy(), feature[real])
-        out = decode_rows(count, rows[real], cols, weight[real], matrix(rhs["w_dec"]).reshape(-1, len(bias)))
+        held = rhs["w_feature"].to_numpy()
+        block = int(held[0] % SUM_LEAVES) // leaves if len(held) else 0
+        out = decode_rows(
+            count, rows[real], cols, weight[real], matrix(rhs["w_dec"]).reshape(-1, len(bias)), held, block * leaves, leaves
+        )
         if feature_blocks == 1:
-            out = out + bias
-        return pa.table([*groups.columns, list_array(out)], names=[*names, "vec"])
+            return pa.table([*groups.columns, list_array(out + bias)], names=[*names, "vec"])
+        number = pa.array(np.full(count, block, np.int32))
+        return pa.table([*groups.columns, list_array(out), number], names=[*names, "vec", "block"])
+
+    schema = ", ".join([*_key_fields(ids, names), "vec array<double>", *(["block int"] if feature_blocks > 1 else [])])
+
+    def branch(feature: str) -> Column:
+        leaf = F.pmod(F.col(feature), F.lit(SUM_LEAVES))
+        return F.when(F.col(feature) < 0, 0).otherwise(F.call_function("div", leaf, F.lit(leaves))).cast("int")
 
-    schema = ", ".join([*_key_fields(ids, names), "vec array<double>"])
     partial = cogroup_cells(
         lhs, rhs,
-        (row_block(names, row_blocks), row_block(["feature"], feature_blocks)),
-        row_block(["w_feature"], feature_blocks),
+        (row_block(names, row_blocks), branch("feature")),
+        branch("w_feature"),
         row_blocks, feature_blocks, cell, schema, replicate_left=False,
     )
     if feature_blocks == 1:
         return partial
-    # At most one partial vector per feature block and id.
-    total = F.aggregate(
-        F.collect_list("vec"),
-        F.array_repeat(F.lit(0.0), model.dim),
-        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
-        lambda acc: F.zip_with(acc, F.lit(list(model.b_dec)), lambda a, b: a + b),
+    # At most one partial vector per feature block and id; the upper branches of the tree are added here.
+    sums = partial.groupBy(*names).agg(
+        F.map_from_entries(F.collect_list(F.struct("block", "vec"))).alias("parts")
     )
-    return partial.groupBy(*names).agg(total.alias("vec"))
+    nothing = F.array_repeat(F.lit(0.0), model.dim)
+    sums = sums.select(*names, F.transform(
+        F.sequence(F.lit(0), F.lit(feature_blocks - 1)), lambda b: F.coalesce(F.try_element_at("parts", b), nothing)
+    ).alias("parts"))
+    parts = feature_blocks
+    while parts > 1:
+        parts //= 2
+        sums = sums.select(*names, F.transform(
+            F.sequence(F.lit(0), F.lit(parts - 1)),
+            lambda i: F.zip_with(F.get("parts", i * 2), F.get("parts", i * 2 + 1), lambda a, b: a + b),
+        ).alias("parts"))
+    total = F.zip_with(F.get("parts", F.lit(0)), F.lit(list(model.b_dec)), lambda a, b: a + b)
+    return sums.select(*names, total.alias("vec"))
 
 
 def reconstruct(vectors: DataFrame, model: SparseModel, k: int, keys: Sequence[str]) -> DataFrame:

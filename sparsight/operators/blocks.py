@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Bytes of one side of a cell.
 BLOCK_BYTES = 128 * 1024 * 1024
+# Bytes of one hit.
+HIT_BYTES = 32
 # Multiply-adds that justify a task of their own.
 TASK_WORK = 2e8
 # Up to this many cells each has a partition of its own; above, so many share one on average.
@@ -232,10 +234,11 @@ def inner_topk(
         n_right, dim = vector_shape(rhs, "_y", "passages")
         if n_left and n_right and left_dim != dim:
             raise ValueError(f"queries of width {left_dim} are compared with passages of width {dim}")
+        # A left row brings its vector and takes its hits.
         row_bytes = 8 * (dim or 1)
         right_blocks = right_blocks or blocks_for(n_right, row_bytes)
         left_blocks = left_blocks or left_blocks_for(
-            n_left, row_bytes, right_blocks, float(n_left) * n_right * (dim or 1),
+            n_left, max(row_bytes, HIT_BYTES * min(k, n_right)), right_blocks, float(n_left) * n_right * (dim or 1),
             spark.sparkContext.defaultParallelism,
         )
 

@@ -140,3 +140,22 @@ def test_start_weights_are_bounded_and_repeatable(spark):
     assert max(abs(v) for r in rows for v in r.w_dec) <= 1 / 5
     assert len({v for r in rows for v in r.w_enc}) > 200
     assert max(abs(v) for v in bias.first().b_dec) <= 1 / 5
+
+
+def test_decode_gives_the_same_bits_in_any_number_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    weights = spark.createDataFrame(
+        [(f, rng.normal(size=6).tolist(), float(rng.normal()), rng.normal(size=6).tolist()) for f in range(0, 120, 1)],
+        "feature int, w_enc array<double>, b_enc double, w_dec array<double>",
+    )
+    bias = spark.createDataFrame([(rng.normal(size=6).tolist(),)], "b_dec array<double>")
+    vectors = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(40)], "id int, vec array<double>")
+    sent = ae.SparseModel.of(weights, bias)
+    kept = sorted(map(tuple, ae.reconstruct(vectors, sent, 50, ["id"]).collect()))
+    codes = ae.ksparse_features(vectors, sent, 50, ["id"])
+    assert sorted(map(tuple, ae.decode(codes, sent, vectors, ["id"]).collect())) == kept
+    for block_bytes in (4000, 1500):
+        monkeypatch.setattr("sparsight.operators.blocks.BLOCK_BYTES", block_bytes)
+        cut = ae.SparseModel.of(weights, bias, 0)
+        assert sorted(map(tuple, ae.decode(codes, cut, vectors, ["id"]).collect())) == kept
+        assert sorted(map(tuple, ae.reconstruct(vectors, cut, 50, ["id"]).collect())) == kept
