@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The folder below the shared one in which intermediate tables are put.
+_FOLDER = contextvars.ContextVar("folder", default="sparsight")
+
 
 @functools.cache
 def _local_test_dir() -> str:
@@ -30,7 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/sparsight/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_FOLDER.get()}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside the block go when it ends.
+
+    What reads them must be done by then: results are to be written or collected inside.
+    """
+    folder = f"sparsight/run-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    path = f"{shared_dir(spark)}/{folder}"
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(token)
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -137,3 +137,15 @@ def test_a_stop_between_saves_loses_nothing(spark, base, monkeypatch):
     assert sorted(map(tuple, run(f"{base}/stopped", 2).collect())) == whole
     best = [tables.scan_model(spark, f"{base}/{w}", "m", "best")[1].first() for w in ("whole", "stopped")]
     assert best[0] == best[1]
+
+
+def test_intermediates_go_with_their_block(spark):
+    import os
+
+    from sparsight.storage import materialize, scratch
+
+    with scratch(spark) as folder:
+        assert materialize(spark.range(5), "t").count() == 5
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert materialize(spark.range(5), "t").count() == 5
