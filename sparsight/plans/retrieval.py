@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
@@ -161,6 +162,7 @@ def feedback_sweep(
     The first round runs once with the most hits and features any setting asks for.
     Each (query, feature) keeps, for every number of hits in the grid, the best place
     it had among them; a setting picks the feature when that place is within its bound.
+    Each query is decoded once, and once for each pair of bounds.
     """
     grid = feedback_grid() if grid is None else grid
     tables = FeedbackTables(queries, passages, model, latent_k)
@@ -169,41 +171,38 @@ def feedback_sweep(
     found = feedback_features(hits, tables.p_codes, max(features for _, features, _ in grid))
     best = [F.min(F.when(F.col("rank") <= level, F.col("place"))) for level in levels]
     places = found.groupBy("qid", "feature").agg(F.array(*best).alias("places"))
-    both = tables.q_codes.select("qid", "feature", "weight").join(places, ["qid", "feature"], "full_outer")
 
-    # Settings with the same bounds pick the same features and differ in delta only.
+    # Decoding is linear: a setting is the decoded query plus delta times its decoded union of features,
+    # and settings with the same bounds share the union.
     deltas: dict[tuple[int, int], list[float]] = {}
     for level, features, delta in grid:
         deltas.setdefault((level, features), []).append(delta)
     bounds = F.array(
         *[
             F.struct(
-                F.lit(levels.index(level)).alias("level"),
-                F.lit(features).alias("features"),
-                F.array(
-                    *[
-                        F.struct(F.lit(config_name(level, features, d)).alias("config"), F.lit(float(d)).alias("delta"))
-                        for d in of
-                    ]
-                ).alias("settings"),
+                F.lit(number).alias("number"), F.lit(levels.index(level)).alias("level"), F.lit(features).alias("features")
             )
-            for (level, features), of in deltas.items()
+            for number, (level, features) in enumerate(deltas)
         ]
     )
-    place = F.col("places")[F.col("b.level")]
-    picked = F.coalesce(place <= F.col("b.features"), F.lit(False))
-    each = (
-        both.withColumn("b", F.explode(bounds))
-        .select("qid", "feature", "weight", picked.alias("picked"), "b.settings")
-        .filter(F.col("weight").isNotNull() | F.col("picked"))
-        .withColumn("s", F.explode("settings"))
-    )
-    added = F.when(F.col("picked"), F.col("s.delta")).otherwise(F.lit(0.0))
-    expanded = each.select(
-        F.col("s.config").alias("config"), "qid", "feature",
-        (F.coalesce("weight", F.lit(0.0)) + added).alias("weight"),
+    settings = F.array(
+        *[
+            F.array(
+                *[
+                    F.struct(F.lit(config_name(level, features, d)).alias("config"), F.lit(float(d)).alias("delta"))
+                    for d in of
+                ]
+            )
+            for (level, features), of in deltas.items()
+        ]
     )
-    names = F.array(*[F.lit(config_name(*g)) for g in grid])
-    ids = tables.q_hat.select("qid", F.explode(names).alias("config"))
-    asked = _stored(decode(expanded, model, ids, ["config", "qid"]), "expanded")
+    picked = places.withColumn("b", F.explode(bounds)).filter(F.col("places")[F.col("b.level")] <= F.col("b.features"))
+    unions = picked.select(F.col("b.number").alias("number"), "qid", "feature", F.lit(1.0).alias("weight"))
+    ids = tables.q_hat.select("qid", F.explode(F.sequence(F.lit(0), F.lit(len(deltas) - 1))).alias("number"))
+    unbiased = replace(model, b_dec=(0.0,) * model.dim)
+    steps = decode(unions, unbiased, ids, ["number", "qid"]).withColumnRenamed("vec", "step")
+    starts = reconstruct(tables.q_hat, model, latent_k, ["qid"])
+    each = steps.join(starts, "qid").select("qid", "vec", "step", F.explode(settings[F.col("number")]).alias("s"))
+    moved = F.zip_with("vec", "step", lambda x, y: x + F.col("s.delta") * y)
+    asked = _stored(each.select(F.col("s.config").alias("config"), "qid", moved.alias("vec")), "expanded")
     return inner_topk(asked, tables.p_hat, k, ["config", "qid"], "pid", "vec", "vec")
