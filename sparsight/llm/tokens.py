@@ -7,7 +7,7 @@ import re
 #: Letters that stay one letter when lower-cased; a run of them is one piece for the tokenizer.
 PLAIN_WORD = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 #: Cached words in a worker; the cache starts anew when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 
 
 class WordTokens:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 128 * 1024 * 1024
 # Bytes of one hit.
 HIT_BYTES = 32
+# Most bytes of left vectors that are sent to the tasks of the right side, and of hits that such a task holds.
+SEND_BYTES = 64 * 1024 * 1024
 # Multiply-adds that justify a task of their own.
 TASK_WORK = 2e8
 # Up to this many cells each has a partition of its own; above, so many share one on average.
@@ -217,12 +219,15 @@ def inner_topk(
 ) -> DataFrame:
     """The k right rows with the largest inner product (plus ``bias``) for each left row.
 
-    Exact.  Ties go to the smaller right key.  Vectors must be of one width and not null; one with
+    Exact.  A left side of few bytes is sent to the tasks of the right side, which is not moved; others
+    meet in cells, always so when the numbers of blocks are given.  Both give the same hits.
+    Ties go to the smaller right key.  Vectors must be of one width and not null; one with
     a NaN or an infinity is never a hit and has none.  Returns the left keys, the right
     key, ``score`` and ``rank`` from 1; fewer than k rows when ``right`` is smaller.
     """
     spark = left.sparkSession
     left_keys = list(left_keys)
+    chosen = left_blocks is not None or right_blocks is not None
     lhs = left.select(*left_keys, F.col(left_vec).alias("_x"))
     rhs = right.select(
         F.col(right_key).alias("_y_key"),
@@ -246,6 +251,9 @@ def inner_topk(
     key_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in lhs.select(*left_keys).schema]
     schema = ", ".join([*key_fields, f"`{right_key}` {key_type}", "score double", "rank int"])
 
+    if not chosen and n_left * max(row_bytes, HIT_BYTES * min(k, n_right)) <= SEND_BYTES:
+        return keep_best(_sent_topk(lhs, rhs, k, left_keys, right_key, bool(bias), schema), left_keys, right_key, k)
+
     def cell(lhs: pa.Table, rhs: pa.Table) -> pa.Table:
         rhs = rhs.sort_by("_y_key")
         y_bias = rhs["_y_bias"].to_numpy() if bias else None
@@ -269,6 +277,38 @@ def inner_topk(
     return hits if right_blocks == 1 else keep_best(hits, left_keys, right_key, k)
 
 
+def _sent_topk(
+    lhs: DataFrame, rhs: DataFrame, k: int, left_keys: list[str], right_key: str, biased: bool, schema: str
+) -> DataFrame:
+    """Best hits of each left row within each task of the right side, which stays where it is.
+
+    The left side has been checked to be small.  A task keeps k hits per left row.
+    """
+    table = lhs.toArrow()
+    sent = lhs.sparkSession.sparkContext.broadcast((matrix(table["_x"]), table.select(left_keys)))
+
+    def best(stream):
+        x, keys = sent.value
+        held = None
+        for batch in stream:
+            part = pa.Table.from_batches([batch]).sort_by("_y_key")
+            y_bias = part["_y_bias"].to_numpy() if biased else None
+            rows, cols, scores, _ = top_products(x, matrix(part["_y"]), y_bias, k)
+            found = pa.table({"row": rows, "key": part["_y_key"].take(pa.array(cols)), "score": scores})
+            held = found if held is None else pa.concat_tables([held, found])
+            held = held.sort_by([("row", "ascending"), ("score", "descending"), ("key", "ascending")])
+            row = held["row"].to_numpy()
+            first = np.searchsorted(row, row)
+            held = held.filter(pa.array(np.arange(len(row)) - first < k))
+        if held is not None and held.num_rows:
+            names = [*left_keys, right_key, "score", "rank"]
+            rank = pa.array(np.zeros(held.num_rows, np.int32))  # given when the tasks' hits are merged
+            columns = [*keys.take(held["row"]).columns, held["key"], held["score"], rank]
+            yield from pa.table(columns, names=names).to_batches(max_chunksize=65536)
+
+    return rhs.mapInArrow(best, schema)
+
+
 def keep_best(hits: DataFrame, keys: Sequence[str], item: str, k: int) -> DataFrame:
     """Rank hits of each key by score, then item; keep the first k."""
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(item).asc())

@@ -64,6 +64,23 @@ def test_bad_shapes_raise(spark, bad):
         dense.dense_topk(asked, vectors(spark, "pid", bad), 2).collect()
 
 
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_small_and_large_left_sides_give_the_same_hits(spark, monkeypatch, key):
+    from sparsight.operators import blocks
+
+    rows = [(i, [float(i % 4), float(i % 3), -1.0]) for i in range(90)]
+    left = spark.createDataFrame(rows, "qid bigint, vec array<double>").selectExpr(f"cast(qid AS {key}) AS qid", "vec")
+    right = left.withColumnRenamed("qid", "pid").repartition(5)
+    sent = dense.dense_topk(left, right, 7)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    monkeypatch.setattr(blocks, "SEND_BYTES", 0)
+    grid = dense.dense_topk(left, right, 7)
+    assert "CoGroup" in grid._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, grid.collect()))
+    assert sent.count() == 630
+
+
 def test_repeated_judgments_count_once(spark):
     run = spark.createDataFrame([("c", 1, p, p) for p in range(1, 5)], "config string, qid int, pid int, rank int")
     once = [(1, 1, 1), (1, 2, 0), (1, 4, 2), (1, 9, 1)]
