@@ -238,8 +238,8 @@ def q_scan_queries(spark, sf):
 def q_write_queries(spark, sf):
     base = fresh_path(spark, "corpus")
     tables.write_queries(split_queries(spark, sf), base)
-    rows = spark.read.parquet(f"{base}/queries").groupBy(F.col("split").cast("string").alias("split"))
-    return rows.agg(F.count("*").alias("n"), F.max("row_idx").alias("last_row"))
+    rows = spark.read.parquet(f"{base}/queries")
+    return rows.select(F.col("split").cast("string").alias("split"), "row_idx", "qid", "query")
 
 
 def indexed_vectors(spark, sf):
@@ -324,9 +324,15 @@ def q_write_model(spark, sf):
     snapshot = T.snapshot_of(weights, bias, width(spark, sf))
     state = T.state_table(spark, T.FitState(epoch=0, rate=0.001))
     tables.write_model(snapshot, state, base, "parts", "last", 0)
-    saved, _ = tables.scan_model(spark, base, "parts", "last")
-    return saved.select("feature", r6("b_enc").alias("b_enc"), r6(F.col("w_enc")[0]).alias("w_enc_first"),
-                        r6(F.col("w_dec")[0]).alias("w_dec_first"), F.size("w_dec").alias("width"))
+    saved, fitted = tables.scan_model(spark, base, "parts", "last")
+    moments = [F.size(c) for c in ("m_enc", "m_dec", "v_enc", "v_dec")]
+    zero = F.forall(F.concat("m_enc", "m_dec", "v_enc", "v_dec"), lambda x: x == 0)
+    parts = F.posexplode(F.arrays_zip("w_enc", "w_dec")).alias("dim", "w")
+    rows = saved.select("feature", r6("b_enc").alias("b_enc"), parts, (zero & (sum(moments) == 4 * F.size("w_enc"))).alias("zero"))
+    said = fitted.select(F.col("epoch").alias("epoch"), F.col("step").alias("step"), r6("rate").alias("rate"))
+    return rows.select(
+        "feature", "b_enc", "dim", r6("w.w_enc").alias("w_enc"), r6("w.w_dec").alias("w_dec"), F.col("zero").alias("zero_moments")
+    ).crossJoin(F.broadcast(said))
 
 
 def q_scan_model(spark, sf):
@@ -335,8 +341,11 @@ def q_scan_model(spark, sf):
     snapshot = T.snapshot_of(weights, bias, width(spark, sf))
     tables.write_model(snapshot, T.state_table(spark, T.FitState(epoch=0)), base, "parts", "best", 0)
     loaded = T.model_of(tables.scan_model(spark, base, "parts", "best")[0])
-    return loaded.weights.select("feature", F.lit(loaded.size).cast("bigint").alias("size"),
-                                 F.lit(loaded.dim).alias("width"), r6("b_enc").alias("b_enc"))
+    parts = F.posexplode(F.arrays_zip("w_enc", "w_dec")).alias("dim", "w")
+    biases = F.array(*[F.lit(b) for b in loaded.b_dec])
+    rows = loaded.weights.select("feature", F.lit(loaded.size).cast("bigint").alias("size"), r6("b_enc").alias("b_enc"), parts)
+    return rows.select("feature", "size", "b_enc", "dim", r6("w.w_enc").alias("w_enc"), r6("w.w_dec").alias("w_dec"),
+                       r6(F.get(biases, F.col("dim"))).alias("b_dec"))
 
 
 def q_export_run_file(spark, sf):
@@ -556,8 +565,8 @@ def q_neighbor_join(spark, sf):
 
 def q_hits_as_arrays(spark, sf):
     packed = D.hits_as_arrays(D.dense_topk(vectors(spark, sf, "qid"), vectors(spark, sf, "pid"), TOP_K))
-    return packed.select("qid", F.array_join(F.col("pids").cast("array<string>"), ",").alias("pids"),
-                         r6(F.col("scores")[0]).alias("best"), F.size("scores").alias("n"))
+    entries = F.posexplode(F.arrays_zip("pids", "scores")).alias("place", "hit")
+    return packed.select("qid", entries).select("qid", "place", F.col("hit.pids").alias("pid"), r6("hit.scores").alias("score"))
 
 
 def urgent_batch(spark, sf):
@@ -656,9 +665,13 @@ def q_fit_gradients(spark, sf):
 def q_fit_adam_step(spark, sf):
     snapshot = T.snapshot_of(*start_weights(spark, sf), width(spark, sf))
     moved = T.fit_adam_step(snapshot, materialize(gradients(spark, sf), "gradients"), oracles.RATE, 1)
-    entries = F.posexplode(F.arrays_zip("w_dec", "w_enc")).alias("dim", "w")
-    return moved.select("feature", r6("b_enc").alias("b_enc"), entries).select(
-        "feature", "b_enc", "dim", r6("w.w_dec").alias("w_dec"), r6("w.w_enc").alias("w_enc")
+    vectors = ["w_dec", "w_enc", "m_dec", "m_enc", "v_dec", "v_enc"]
+    entries = F.posexplode(F.arrays_zip(*vectors)).alias("dim", "w")
+    biases = ["b_enc", "m_bias", "v_bias"]
+    # Second moments are small: nine digits.
+    digits = lambda c: r9(c) if c.split(".")[-1][0] == "v" else r6(c)
+    return moved.select("feature", *[digits(b).alias(b) for b in biases], entries).select(
+        "feature", *biases, "dim", *[digits(f"w.{c}").alias(c) for c in vectors]
     )
 
 

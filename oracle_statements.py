@@ -492,7 +492,7 @@ def statements() -> dict[str, str]:
         "write_passages": f"""SELECT row_idx, pid, (row_idx % 4)::INT AS shard, length(passage)::INT AS n_chars
             FROM ({INDEXED_DOCUMENTS})""",
         "scan_queries": f"SELECT * FROM ({split_rows}) WHERE split = 'dev'",
-        "write_queries": f"SELECT split, count(*) AS n, max(row_idx) AS last_row FROM ({split_rows}) GROUP BY split",
+        "write_queries": f"SELECT split, row_idx, qid, query FROM ({split_rows})",
         "scan_vectors": _rows(f"({INDEXED_VECTORS})", "row_idx, pid"),
         "scan_query_vectors": f"SELECT 'dev' AS split, pid AS qid, * EXCLUDE (pid) FROM ({_rows(f'({INDEXED_VECTORS})', 'row_idx, pid')})",
         "write_vectors": f"""SELECT row_idx, pid, (row_idx % 3)::INT AS shard, len(x)::INT AS width FROM ({INDEXED_VECTORS})""",
@@ -505,11 +505,14 @@ def statements() -> dict[str, str]:
         "write_neighbors": near_rows,
         "write_fit_history": _with(*PAIRS) + f"""SELECT 0 AS epoch, 'mse' AS name, {_r6('avg(mse)')} AS value FROM losses
             UNION ALL SELECT 0, 'kld', {_r6('avg(kld)')} FROM losses""",
-        "write_model": _with(*PART_MODEL) + f"""SELECT feature, {_r6('b_enc')} AS b_enc, {_r6('w_enc[1]')} AS w_enc_first,
-            {_r6('w_dec[1]')} AS w_dec_first, len(w_dec)::INT AS width FROM w
-            UNION ALL SELECT -1, 0.0e0, 0.0e0, {_r6('b_dec[1]')}, len(b_dec)::INT FROM bd""",
-        "scan_model": _with(*PART_MODEL) + f"""SELECT feature, (SELECT count(*) FROM part) AS size,
-            len(w_enc)::INT AS width, {_r6('b_enc')} AS b_enc FROM w""",
+        "write_model": _with(*PART_MODEL, DIMS) + f"""SELECT feature, {_r6('b_enc')} AS b_enc, dim,
+            {_r6('w_enc[dim + 1]')} AS w_enc, {_r6('w_dec[dim + 1]')} AS w_dec, true AS zero_moments,
+            0::INT AS epoch, 0::INT AS step, {_r6('0.001e0')} AS rate
+            FROM (SELECT feature, b_enc, w_enc, w_dec FROM w UNION ALL
+                SELECT -1, 0.0e0, list_transform(b_dec, lambda b: 0.0e0), b_dec FROM bd), dims""",
+        "scan_model": _with(*PART_MODEL, DIMS) + f"""SELECT feature, (SELECT count(*) FROM part) AS size,
+            {_r6('b_enc')} AS b_enc, dim, {_r6('w_enc[dim + 1]')} AS w_enc, {_r6('w_dec[dim + 1]')} AS w_dec,
+            {_r6('b_dec[dim + 1]')} AS b_dec FROM w, dims, bd""",
         "export_run_file": _with(RUN) + """SELECT qid || ' 0 ' || pid || ' 0 ' || (1 - rank) || ' 0' AS line
             FROM run WHERE config = 'spend'""",
         "export_qrel_file": _with(QRELS) + "SELECT qid || ' 0 ' || pid || ' ' || rel AS line FROM qrels",
@@ -566,8 +569,7 @@ def statements() -> dict[str, str]:
             SELECT row_idx + (SELECT count(*) FROM embeddings), '-' || pid, dim, -value + 0.0::DOUBLE
             FROM ({_rows(f'({INDEXED_VECTORS})', 'row_idx, pid')})""",
         "neighbor_join": near_rows,
-        "hits_as_arrays": _with(*NEAREST) + f"""SELECT qid, string_agg(pid::VARCHAR, ',' ORDER BY rank) AS pids,
-            {_r6('max(score)')} AS best, count(*)::INT AS n FROM near GROUP BY qid""",
+        "hits_as_arrays": _with(*NEAREST) + f"SELECT qid, rank - 1 AS place, pid, {_r6('score')} AS score FROM near",
         "sparse_index_upsert": f"""SELECT * FROM ({ORDER_POSTINGS}) WHERE pid NOT IN (SELECT pid FROM ({URGENT}))
             UNION ALL SELECT * FROM ({URGENT})""",
         "sparse_index_create": ORDER_POSTINGS,
@@ -588,8 +590,13 @@ def statements() -> dict[str, str]:
         "validate": _with(*PAIRS) + f"""SELECT {_r6('avg(mse)')} AS mse, {_r6('avg(kld)')} AS kld,
             {_r6('avg(mse) + avg(kld)')} AS total FROM losses""",
         "fit_gradients": _with(*GRADIENTS) + gradient_rows,
-        "fit_adam_step": _with(*ADAM) + f"""SELECT feature, {_r6(_first_step('b_enc', 'd_bias'))} AS b_enc, dim,
-            {_r6(_first_step('w_dec[dim + 1]', 'd_dec'))} AS w_dec, {_r6(_first_step('w_enc[dim + 1]', 'd_enc'))} AS w_enc
+        "fit_adam_step": _with(*ADAM) + f"""SELECT feature, dim,
+            {_r6(_first_step('b_enc', 'd_bias'))} AS b_enc, {_r6('0.1e0 * coalesce(d_bias, 0)')} AS m_bias,
+            {_r9('0.001e0 * coalesce(d_bias, 0) * coalesce(d_bias, 0)')} AS v_bias,
+            {_r6(_first_step('w_dec[dim + 1]', 'd_dec'))} AS w_dec, {_r6('0.1e0 * coalesce(d_dec, 0)')} AS m_dec,
+            {_r9('0.001e0 * coalesce(d_dec, 0) * coalesce(d_dec, 0)')} AS v_dec,
+            {_r6(_first_step('w_enc[dim + 1]', 'd_enc'))} AS w_enc, {_r6('0.1e0 * coalesce(d_enc, 0)')} AS m_enc,
+            {_r9('0.001e0 * coalesce(d_enc, 0) * coalesce(d_enc, 0)')} AS v_enc
             FROM rows CROSS JOIN dims LEFT JOIN grads USING (feature, dim)""",
         "fit": _fit(),
         # pipelines
