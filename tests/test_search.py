@@ -36,14 +36,15 @@ def test_dense_equals_brute_force_on_any_grid(spark, grid):
     assert hits_of(hits) == brute_dense(q.tolist(), p.tolist(), 4)
 
 
-def test_dense_shapes(spark):
+def test_hits_as_arrays_are_the_best_products(spark):
     rng = np.random.default_rng(2)
-    q, p = rng.random((5, 64)), rng.random((8, 64))
-    hits = dense.dense_topk(vector_frame(spark, "qid", q), vector_frame(spark, "pid", p), 2)
-    rows = dense.hits_as_arrays(hits).collect()
-    assert len(rows) == 5
-    assert all(len(r.pids) == len(r.scores) == 2 for r in rows)
-    assert all(r.scores[0] >= r.scores[1] for r in rows)
+    q, p = rng.normal(size=(7, 24)), rng.normal(size=(31, 24))
+    hits = dense.dense_topk(vector_frame(spark, "qid", q), vector_frame(spark, "pid", p), 4)
+    rows = dense.hits_as_arrays(hits).orderBy("qid").collect()
+    products = q @ p.T
+    best = np.argsort(-products, axis=1)[:, :4]
+    assert [r.pids for r in rows] == best.tolist()
+    np.testing.assert_allclose([r.scores for r in rows], np.take_along_axis(products, best, axis=1), rtol=1e-12)
 
 
 def test_dense_ties_go_to_the_smaller_id_even_past_k(spark):
@@ -66,6 +67,7 @@ def test_dense_add_continues_row_numbers(spark):
 
 
 def test_sparse_golden(spark):
+    # Documents, ids and scores that a sparse index must give.
     index = spark.createDataFrame(
         [("1", {"a": 1.0, "b": 2.0}), ("2", {"a": 2.0, "b": 3.0})], "pid string, features map<string,double>"
     )
