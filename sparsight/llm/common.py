@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters of ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
-#: A table up to this many bytes may be sent to every task.
-SEND_BYTES = 64 << 20
+#: A written table up to this many bytes may be sent to every task.
+SEND_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,11 +42,13 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def batch_rows(columns: Sequence[tuple[str, object]]):
-    """An Arrow batch from (name, values) with explicit types taken from the values."""
-    import pyarrow as pa
+def sent_if_small(written: DataFrame, row_bytes: Column) -> DataFrame:
+    """A written table, marked for broadcast where its bytes, summed up, are within the bound.
 
-    return pa.RecordBatch.from_arrays([v for _, v in columns], names=[n for n, _ in columns])
+    Beyond it Spark moves both sides of the join; the rows are the same.
+    """
+    total = written.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(written) if total <= SEND_BYTES else written
 
 
 def with_rank(sorted_by: DataFrame, keys: Sequence[Column | str], rank: str, label: str) -> tuple[DataFrame, int]:

@@ -265,6 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hit = find_spans(docs, benchmark, window).withColumn("n_hit", n_hit()).filter("n_hit > 0")
     names = [common.fresh_name(docs.columns, n) for n in ("hit_doc", "hit_key", "hit_spans", "hit_bad")]
     hit = materialize(hit.select("doc_id", "text_key", "spans", contaminated()).distinct().toDF(*names), "contaminated")
+    hit = common.sent_if_small(hit, 48 + 16 * F.size(names[2]))
 
     @F.pandas_udf("string")
     def cut(text, spans):

@@ -82,7 +82,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` with repeated lines taken out of ``text``; with ``report``, also n_lines and n_dropped."""
     bitmaps = materialize(drop_bitmaps(docs, min_chars, min_docs), "drop-bitmaps")
     names = [common.fresh_name(docs.columns, n) for n in ("drop_doc", "drop_key", "dropped")]
-    bitmaps = bitmaps.toDF(*names)
+    bitmaps = common.sent_if_small(bitmaps, 48 + 16 * F.size("dropped")).toDF(*names)
     same = docs["doc_id"].eqNullSafe(bitmaps[names[0]]) & (text_key(docs["text"]) == bitmaps[names[1]])
     joined = docs.join(bitmaps, same, "left")
     text, dropped = docs["text"], F.col(names[2])

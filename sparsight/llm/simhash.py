@@ -299,14 +299,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: floa
     if not repeated.isEmpty():
         later = own.join(repeated, own["component_id"].eqNullSafe(repeated["component_id"])).filter("text_key <> stays")
         gone = gone.unionByName(later.select("doc_id", "text_key"))
-    gone = materialize(gone.distinct().toDF(*keys), "near-dropped")
+    gone = common.sent_if_small(materialize(gone.distinct().toDF(*keys), "near-dropped"), F.lit(32))
     same = docs["doc_id"].eqNullSafe(gone[keys[0]]) & (text_key(docs["text"]) == gone[keys[1]])
     kept = docs.join(gone, same, "left_anti")
     if repeated.isEmpty():
         return kept
-    twice = F.broadcast(repeated.select(F.col("component_id").alias(keys[0]))) if repeated.count() < 100_000 else (
-        repeated.select(F.col("component_id").alias(keys[0]))
-    )
+    twice = common.sent_if_small(repeated.select(F.col("component_id").alias(keys[0])), F.lit(16))
     again = kept["doc_id"].eqNullSafe(twice[keys[0]])
     return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
 

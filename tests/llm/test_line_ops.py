@@ -106,3 +106,10 @@ def test_cleaning(spark, awkward_docs, no_docs):
     assert [tuple(r) for r in kept] == [(1, body)] or Q.judge(spark.createDataFrame(rows[:1], "doc_id bigint, text string")).first().judged.base_failed
     assert Q.clean(awkward_docs).columns == awkward_docs.columns
     assert Q.clean(no_docs).count() == 0
+
+
+def test_large_bitmap_tables_are_joined_alike(awkward, awkward_docs, monkeypatch):
+    from sparsight.llm import common
+
+    monkeypatch.setattr(common, "SEND_BYTES", -1)
+    assert digest(L.dedup_lines(awkward_docs, report=True)) == brute_dedup(awkward)
