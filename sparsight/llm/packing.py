@@ -34,7 +34,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_words: int = 600_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every text."""
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         import pyarrow as pa
         from sparsight.llm.tokens import word_tokens
 
-        tokens, last = word_tokens(path), end_id.to_bytes(4, "little")
+        tokens, last = word_tokens(path, cache_words), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for some in common.runs_of(rows, (len(t) for _, t in rows), TEXT_SLICE):
@@ -219,8 +219,8 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
-def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return pack(token_pieces(docs, path or tokenizer_path()))
+def packed_documents(docs: DataFrame, path: str | None = None, cache_words: int = 600_000) -> DataFrame:
+    return pack(token_pieces(docs, path or tokenizer_path(), cache_words=cache_words))
 
 
 def op8_pattern_packing(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 #: Letters that stay one letter when lower-cased; a run of them is one piece for the tokenizer.
 PLAIN_WORD = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 #: Cached words in a worker; the cache starts anew when it is full.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 600_000
 
 
 class WordTokens:
@@ -31,6 +31,7 @@ class WordTokens:
         for piece, at in vocab.items():
             self.ends[at] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.most = CACHE_WORDS
 
     def ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -73,7 +74,7 @@ class WordTokens:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         words = [t.lower().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > min(self.most, CACHE_WORDS):
             self.known.clear()
         unseen: set[bytes] = set()
         for some in words:
@@ -88,8 +89,9 @@ class WordTokens:
 _LOADED: dict[str, WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    """One tokenizer and cache per worker process."""
+def word_tokens(path: str, cache_words: int = CACHE_WORDS) -> WordTokens:
+    """One tokenizer and cache, of at most about ``cache_words``, per worker process."""
     if path not in _LOADED:
         _LOADED[path] = WordTokens(path)
+    _LOADED[path].most = cache_words
     return _LOADED[path]
