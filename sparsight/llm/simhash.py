@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found with tables of distances to reference fingerprints.
+"""Near-duplicates: SimHash, found with tables of distances to reference fingerprints; and exact Jaccard.
 
 A fingerprint has one or more 64-bit words; a bit is 1 if it is set in more than half of the hashes
 of a text's word shingles (repeats included).  Equal fingerprints are one node from the start.
@@ -6,13 +6,18 @@ of a text's word shingles (repeats included).  Equal fingerprints are one node f
 Different fingerprints meet in cells: rows that agree in some blocks of bits.  For one word and a
 radius r, blocks are chosen so that any two fingerprints within r agree in all blocks of some cell
 (pigeonhole).  For more words, every 16-bit block is a cell, and near copies share one with a
-probability that rises with their similarity.  In a cell each row has its table of distances to many
+probability that rises with their similarity; ``drop_near_duplicates`` does not rely on these.  In a cell each row has its table of distances to many
 fixed reference fingerprints.  By the triangle inequality two rows can be within r only if no
 coordinate differs by more than r; pairs that pass are verified by their exact distance.  A cell
 emits a spanning forest of its links, at most one row per member, never its pairs.  Cells of more
 than ``TILE_ROWS`` rows are cut into tiles that cover all their pairs.  The forests are joined into
 components by grouped minima.
 
+Whole documents are near copies if the sets of their shingles have a Jaccard similarity of at least
+``SIMILARITY``.  Sets that agree in some band of MinHash values are candidates, whose components are
+verified by the exact similarity of every pair.  A component beyond a tile's bounds is cut into tiles
+that cover all its pairs.
+
 Defined results: a null text or one without words has fingerprint zero and is linked like any other;
 repeated rows share a component; a null doc_id is never a component's id unless it has no other;
 an empty table gives no rows; further columns are ignored or carried along.
@@ -21,7 +26,6 @@ an empty table gives no rows; further columns are ignored or carried along.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +40,12 @@ REFERENCES = 16
 TILE_ROWS = 4096
 #: Cells up to this size are compared by shifts over many cells at once.
 SMALL_CELL = 32
-#: Of near copies of whole documents: shingle words, similarity, words of a fingerprint.
-SHINGLE, SIMILARITY, WORDS = 5, 0.8, 8
+#: Of near copies of whole documents: shingle words, similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bands and MinHash values of each: at a similarity of 0.8 all bands miss with a probability of 0.00006.
+BANDS, BAND_ROWS = 32, 6
+#: Bytes of shingle sets in a tile.
+TILE_BYTES = 16 << 20
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -280,14 +288,169 @@ def components(docs: DataFrame, width: int, words: int, radius: int) -> DataFram
     return rows.join(every, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def radius_of(similarity: float, words: int) -> int:
-    """Different bits to be expected of two texts whose shingle sets have this Jaccard similarity."""
-    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+# --- near copies of whole documents -----------------------------------------
+
+
+def shingle_set(text: bytes, width: int):
+    """The distinct shingle hashes, ascending."""
+    import numpy as np
+
+    return np.unique(shingle_hashes(text, width))
+
+
+def band_keys(hashes, multipliers):
+    """A key for every band: a hash of its number and of the least products of the hashes with its multipliers."""
+    import numpy as np
+
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (multipliers[:, None] * hashes[None, at : at + 256]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) ^ column)
+    return keys
+
+
+def minhash_multipliers():
+    """Fixed odd numbers; the shingle hashes are random, so that a product puts them in a random order."""
+    import numpy as np
+
+    return mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, node (a digest of the shingle set), bands of every row."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def sketch(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        multipliers = minhash_multipliers()
+        for batch in batches:
+            nodes, bands = [], []
+            for text in batch.column(2):
+                hashes = shingle_set(text.as_py(), width)
+                nodes.append(xxh3_128_digest(hashes.tobytes()))
+                bands.append(band_keys(hashes, multipliers).view("int64"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "node", "bands"],
+            )
+
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), common.text_bytes(F.col("text")).alias("text"))
+    return rows.mapInArrow(sketch, f"doc_id {key}, text_key bigint, node binary, bands array<bigint>")
+
+
+def with_roots(links: DataFrame) -> DataFrame:
+    """node, root of every linked node, the roots among them."""
+    roots = connected(links)
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def candidate_components(nodes: DataFrame) -> DataFrame:
+    """node, root of all nodes that share a band with another, by components of shared bands."""
+    cells = nodes.select("node", F.explode("bands").alias("key"))
+    ends = cells.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top"))
+    shared = materialize(ends.filter("b <> top").select("key", "b"), "shared-bands")
+    links = cells.join(common.sent_if_small(shared, F.lit(32)), "key").select(F.col("node").alias("a"), "b")
+    return with_roots(links)
+
+
+def similar_roots(sets, similarity: float):
+    """For each of some sets (ascending hashes) the first one that pairs of at least ``similarity`` lead to."""
+    import numpy as np
+
+    count = len(sets)
+    roots = np.arange(count)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(count), sizes)[np.argsort(ids, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    waiting = np.ones(count, dtype=bool)
+    for first in range(count):
+        if not waiting[first]:
+            continue
+        waiting[first], reached = False, [first]
+        while reached and waiting.any():
+            x = reached.pop()
+            held = [owners[starts[i] : starts[i + 1]] for i in own[x]]
+            common_of = np.bincount(np.concatenate(held), minlength=count) if held else np.zeros(count, dtype=np.int64)
+            either = np.maximum(sizes + sizes[x] - common_of, 1)
+            found = np.flatnonzero(waiting & (common_of / either >= similarity))
+            roots[found] = first
+            waiting[found] = False
+            reached.extend(found.tolist())
+    return roots
+
+
+def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that hold together all pairs of one candidate component (root) that are near copies."""
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("bytes") / TILE_BYTES))
+    hot = materialize(sizes.select("root", parts.alias("parts")).filter("parts > 1"), "hot-components")
+    cut = F.coalesce(F.col("parts"), F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64("node"), cut)
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), cut - 1), lambda k: F.least(own, k) * cut + F.greatest(own, k))
+    dealt = sets.join(common.sent_if_small(hot, F.lit(32)), "root", "left").select("root", F.explode(tiles).alias("tile"), "node", "shingles")
+    dealt = dealt.repartition("root", "tile").sortWithinPartitions("root", "tile", "node")
+
+    def link(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def links_of(held):
+            roots = similar_roots([np.frombuffer(x, dtype=np.uint64) for _, x in held], similarity)
+            child = np.flatnonzero(roots != np.arange(len(held)))
+            both = [pa.array([held[i][0] for i in some], pa.binary()) for some in (child, roots[child])]
+            return pa.RecordBatch.from_arrays(both, names=["a", "b"])
+
+        at, held = None, []
+        for batch in batches:
+            for root, tile, node, shingles in zip(*batch.columns):
+                here = (root.as_py(), tile.as_py())
+                if here != at and len(held) > 1:
+                    yield links_of(held)
+                if here != at:
+                    at, held = here, []
+                held.append((node.as_py(), shingles.as_py()))
+        if len(held) > 1:
+            yield links_of(held)
+
+    return dealt.mapInArrow(link, "a binary, b binary")
+
+
+def near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, text_key, node, root (the node that stands for its group of near copies) of every row."""
+    sketched = materialize(sketches(docs, width), "sketches")
+    nodes = materialize(sketched.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
+    rows = sketched.select("doc_id", "text_key", "node")
+    members = materialize(candidate_components(nodes), "candidates")
+    texts = rows.join(common.sent_if_small(members, F.lit(48)), "node").groupBy("node", "root").agg(F.min("text_key").alias("of_text"))
+    texts = common.sent_if_small(materialize(texts, "candidate-texts"), F.lit(56))
+    wanted = docs.select(text_key(F.col("text")).alias("of_text"), common.text_bytes(F.col("text")).alias("text")).join(texts, "of_text")
+
+    def gather(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), width).tobytes() for t in some.column(2)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(sets, pa.binary())], names=["node", "root", "shingles"])
+
+    sets = wanted.select("node", "root", "text").mapInArrow(gather, "node binary, root binary, shingles binary")
+    sets = materialize(sets.dropDuplicates(["node"]), "shingle-sets")
+    roots = common.sent_if_small(materialize(with_roots(verified_links(sets, similarity)), "groups"), F.lit(48))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of every group of near copies."""
-    found = components(docs, width, words, radius_of(similarity, words))
+    found = materialize(near_groups(docs, width, similarity), "groups")
+    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(smallest, "root")
     keys = [common.fresh_name(docs.columns, n) for n in ("near_doc", "near_key")]
     found = materialize(found.select("doc_id", "text_key", "component_id"), "near")
     # Of rows with the component's id (one, where ids are unique) the one with the least key stays.

@@ -98,6 +98,52 @@ def test_near_copies_by_similarity(spark):
     assert sum(i % 2 for i in kept) <= 3  # recall of at least 97 %
 
 
+def shingles_of(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("tile", [4096, 2])
+def test_near_copies_are_exactly_those_of_a_jaccard_of_0_8(spark, monkeypatch, tile):
+    monkeypatch.setattr(S, "TILE_ROWS", tile)
+    rng = np.random.default_rng(11)
+    rows, near = [], {}
+    for i in range(400):
+        size = int(rng.choice([5, 8, 9, 20, 60, 300]))
+        words = [f"a{i}x{x}" for x in rng.integers(0, 100_000, size)]
+        cut = max(1, int(size * rng.uniform(0.02, 0.24)))
+        other = [f"b{x}" for x in rng.integers(0, 100_000, cut)] + words[cut // 2 :] if i % 2 else words[cut:]
+        sets = [shingles_of(" ".join(w)) for w in (words, other)]
+        near[2 * i + 1] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    some = [j for j in near.values() if 0.75 <= j < 0.95]
+    assert len(some) > 100 and min(some) < 0.8 < 0.82 < max(some)
+    rows += [(5000 + i, rows[3][1]) for i in range(5)]  # exact copies
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {*range(0, 800, 2), *(i for i, j in near.items() if j < 0.8)}
+
+
+def test_a_group_in_tiles_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE_ROWS", 7)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        some = list(words)
+        for at in rng.integers(0, 80, int(rng.integers(0, 5))):
+            some[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(some)))
+    sets = [shingles_of(t) for _, t in rows]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(root) and len(kept) > 1
+
+
 def test_dropping_keeps_one_row(awkward_docs, no_docs):
     kept = S.drop_near_duplicates(awkward_docs)
     assert kept.columns == awkward_docs.columns
