@@ -447,29 +447,30 @@ def near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of every group of near copies."""
-    found = materialize(near_groups(docs, width, similarity), "groups")
-    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(smallest, "root")
+    """``docs`` with one row of every group of near copies: of the smallest doc_id (null last), then the least text_key.
+
+    Groups are told apart by their root, so that null or repeated ids bring no others together.
+    """
     keys = [common.fresh_name(docs.columns, n) for n in ("near_doc", "near_key")]
-    found = materialize(found.select("doc_id", "text_key", "component_id"), "near")
-    # Of rows with the component's id (one, where ids are unique) the one with the least key stays.
-    own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = own.groupBy("component_id").agg(F.min("text_key").alias("stays"), F.count(F.lit(1)).alias("n"))
-    other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    repeated = materialize(stays.filter("n > 1"), "repeated-ids")
-    gone = found.filter(other).select("doc_id", "text_key")
-    if not repeated.isEmpty():
-        later = own.join(repeated, own["component_id"].eqNullSafe(repeated["component_id"])).filter("text_key <> stays")
-        gone = gone.unionByName(later.select("doc_id", "text_key"))
-    gone = common.sent_if_small(materialize(gone.distinct().toDF(*keys), "near-dropped"), F.lit(32))
-    same = docs["doc_id"].eqNullSafe(gone[keys[0]]) & (text_key(docs["text"]) == gone[keys[1]])
-    kept = docs.join(gone, same, "left_anti")
+    found = materialize(near_groups(docs, width, similarity), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    counts = materialize(found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    first = counts.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = materialize(first.filter("rows > 1").select("root", "first"), "near-first")
+    gone = counts.join(common.sent_if_small(first, F.lit(48)), "root").filter(order != F.col("first"))
+    gone = common.sent_if_small(materialize(gone.select("doc_id", "text_key").toDF(*keys), "near-dropped"), F.lit(32))
+
+    def same(rows: DataFrame, listed: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(listed[keys[0]]) & (text_key(rows["text"]) == listed[keys[1]])
+
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    repeated = materialize(counts.filter("n > 1").select("doc_id", "text_key").toDF(*keys), "repeated-rows")
     if repeated.isEmpty():
         return kept
-    twice = common.sent_if_small(repeated.select(F.col("component_id").alias(keys[0])), F.lit(16))
-    again = kept["doc_id"].eqNullSafe(twice[keys[0]])
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    twice = common.sent_if_small(repeated, F.lit(32))
+    one = kept.join(twice, same(kept, twice), "left_semi").withColumn(keys[1], text_key(F.col("text")))
+    one = one.dropDuplicates(["doc_id", keys[1]]).drop(keys[1])
+    return kept.join(twice, same(kept, twice), "left_anti").unionByName(one)
 
 
 def op1_simhash_pivots(spark: SparkSession, sf: str) -> DataFrame:

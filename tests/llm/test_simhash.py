@@ -153,6 +153,19 @@ def test_dropping_keeps_one_row(awkward_docs, no_docs):
     assert S.components(no_docs, 3, 1, 3).count() == 0
 
 
+def test_null_and_repeated_ids_bring_no_rows_together(spark):
+    def story(i):
+        return " ".join(f"s{i}w{k}" for k in range(40 + i % 3))
+
+    rows = [(None, story(i)) for i in range(30)] + [(1, story(0)), (2, story(1)), (2, story(1)), (3, story(2) + " more")]
+    rows += [(7, story(100 + i)) for i in range(5)] + [(7, story(100))] * 3 + [(None, story(50))] * 4 + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text or "") for r in S.drop_near_duplicates(docs).collect()]
+    expected = [(None, story(i)) for i in range(3, 30)] + [(1, story(0)), (2, story(1)), (3, story(2) + " more")]
+    expected += [(7, story(100 + i)) for i in range(5)] + [(None, story(50)), (None, "")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
