@@ -1,9 +1,12 @@
 """Main text of web pages by removal of site templates.
 
 Every element's subtree is hashed (tags and text, not attributes).  Spark counts, for each host and
-subtree, the different contents it stands beside; subtrees that recur beside ``MIN_CONTENTS`` or more
-are template and are deleted, unless they hold more than half of their page's text.  Copies of one
-page share their content and don't make it a template.  Menus, notices, adverts and the like of hosts
+subtree, the different contents it stands beside; subtrees that recur beside ``MIN_CONTENTS`` or more,
+and beside ``MIN_SHARE`` of the host's contents, are template and are deleted, unless they hold more than
+half of their page's text.  A page's content stands for its longest block that is not on most of the host's
+pages, so that copies and edited versions of a page count once and don't make its blocks a template.
+Inside an article only what stands beside most of the host's contents is template, and lists, tables
+and figures never are.  Menus, notices, adverts and the like of hosts
 with few pages are recognised by their elements, roles and class names.  Paragraphs of an article are
 never taken for template.
 
@@ -30,6 +33,10 @@ from sparsight.storage import materialize
 
 #: Different contents beside which a subtree must recur on its host.
 MIN_CONTENTS = 5
+#: Share of the host's different contents beside which it must recur, too; inside an article, more than ``ARTICLE_SHARE``.
+MIN_SHARE, ARTICLE_SHARE = 0.02, 0.5
+#: Pages of which blocks on most pages of the host hold more than this share of the text count as copies.
+COPY_SHARE = 0.9
 #: Recurring subtrees (a host and a number each) that are sent to the tasks, at most.
 MOST_SENT = 500_000
 
@@ -51,7 +58,9 @@ CLOSE_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p"
     " pre section table ul".split()
 )
-PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption".split())
+PARAGRAPH = frozenset(
+    "p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption ul ol dl table thead tbody tfoot caption figure".split()
+)
 
 #: Elements, roles and words of class names that are no main text.
 NO_TEXT = frozenset("head script style noscript template iframe object svg canvas audio video".split())
@@ -200,15 +209,16 @@ def is_menu(element: Element) -> bool:
     return element.tag in ("ul", "ol", "div", "table", "section", "p") and element.links >= 3 and element.linked > 0.6 * element.size
 
 
-def content_root(root: Element, template: frozenset | set) -> Element:
+def content_root(root: Element, template: frozenset | set, everywhere: frozenset | set) -> Element:
     """The longest article outside of noise, else the longest main, else everything."""
     best: dict[str, Element] = {}
     waiting = [(root, False)]
     while waiting:
         element, in_article = waiting.pop()
-        if element.tag in NO_TEXT or is_noise(element, in_article, root) or gone(element, template, root.size):
-            continue
         kind = "main" if element.role == "main" else element.tag
+        listed = everywhere if in_article or kind in ("article", "main") else template
+        if element.tag in NO_TEXT or is_noise(element, in_article, root) or gone(element, listed, root.size):
+            continue
         if kind in ("article", "main") and (kind not in best or element.size > best[kind].size):
             best[kind] = element
         inside = in_article or kind == "article"
@@ -236,11 +246,29 @@ def candidates(root: Element) -> set[int]:
     return found
 
 
-def main_text(html: str, template=frozenset()) -> str:
-    """Blocks of the main content, in page order, joined by line ends."""
+def content_blocks(root: Element, content: Element) -> dict[int, int]:
+    """The subtrees and sizes of the content's innermost blocks outside of noise."""
+    found: dict[int, int] = {}
+    waiting = [content]
+    while waiting:
+        element = waiting.pop()
+        within = [c for c in element.children if not isinstance(c, str) and c.size]
+        if any(c.tag not in INLINE for c in within):
+            waiting.extend(c for c in within if not is_noise(c, content.tag == "article", root))
+        elif element.size:
+            found[element.subtree] = element.size
+    return found
+
+
+def main_text(html: str, template=frozenset(), everywhere=None) -> str:
+    """Blocks of the main content, in page order, joined by line ends.
+
+    ``template`` holds the subtrees that go; inside an article only those of ``everywhere`` (None: all) do.
+    """
     root = parse(html)
     hash_subtrees(root)
-    content = content_root(root, template)
+    everywhere = template if everywhere is None else everywhere
+    content = content_root(root, template, everywhere)
     article = content.tag in ("article", "main") or content.role == "main"
     blocks: list[str] = []
     held: list[str] = []
@@ -255,7 +283,7 @@ def main_text(html: str, template=frozenset()) -> str:
         return (
             element.tag in NO_TEXT
             or is_noise(element, article, root)
-            or (element.tag not in INLINE and not (article and element.tag in PARAGRAPH) and gone(element, template, root.size))
+            or (element.tag not in INLINE and not (article and element.tag in PARAGRAPH) and gone(element, everywhere if article else template, root.size))
             or (not article and is_menu(element))
         )
 
@@ -282,14 +310,16 @@ def main_text(html: str, template=frozenset()) -> str:
 # --- tables -----------------------------------------------------------------
 
 
-def page_subtrees(html: str) -> tuple[int, list[int]]:
-    """The hash of a page's content, and its candidates."""
+def page_subtrees(html: str) -> tuple[int, list[tuple[int, int, bool]]]:
+    """The hash of a page's content; its candidates and its content's blocks: subtree, size (0: no block), whether a candidate."""
     from xxhash import xxh64_intdigest
 
     root = parse(html)
     hash_subtrees(root)
-    content = content_root(root, frozenset())
-    return xxh64_intdigest(str(content.subtree)) - (1 << 63), sorted(candidates(root))
+    content = content_root(root, frozenset(), frozenset())
+    may_go, blocks = candidates(root), content_blocks(root, content)
+    found = [(subtree, blocks.get(subtree, 0), subtree in may_go) for subtree in sorted(may_go | blocks.keys())]
+    return xxh64_intdigest(str(content.subtree)) - (1 << 63), found
 
 
 def host_of(url: Column) -> Column:
@@ -301,31 +331,56 @@ def page_key(html: Column) -> Column:
 
 
 def page_candidates(pages: DataFrame) -> DataFrame:
-    """host, page_key, content, subtree: a row for each candidate of each page, as a written table."""
+    """host, page_key, content, subtree, size, may_go: a row for each candidate and block of each page, as a written table."""
 
     def subtrees(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        item = pa.struct([("subtree", pa.int64()), ("size", pa.int64()), ("may_go", pa.bool_())])
         for batch in batches:
             contents, lists = [], []
             for html in batch.column(2):
                 content, found = page_subtrees(html.as_py())
                 contents.append(content)
-                lists.append(found)
+                lists.append([{"subtree": s, "size": n, "may_go": g} for s, n, g in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(lists, pa.list_(item))],
                 names=["host", "page_key", "content", "subtrees"],
             )
 
     rows = pages.select(host_of(F.col("url")).alias("host"), page_key(F.col("html")).alias("page_key"), F.coalesce("html", F.lit("")).alias("html"))
-    found = rows.mapInArrow(subtrees, "host string, page_key bigint, content bigint, subtrees array<bigint>")
-    return materialize(found.select("host", "page_key", "content", F.explode("subtrees").alias("subtree")), "subtrees")
+    schema = "host string, page_key bigint, content bigint, subtrees array<struct<subtree:bigint,size:bigint,may_go:boolean>>"
+    found = rows.mapInArrow(subtrees, schema)
+    return materialize(found.select("host", "page_key", "content", F.inline("subtrees")), "subtrees")
 
 
 def recurring_subtrees(found: DataFrame, min_contents: int = MIN_CONTENTS) -> DataFrame:
-    """host, subtree of those beside ``min_contents`` different contents or more."""
-    beside = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    return materialize(beside.filter(F.col("n") >= min_contents).select("host", "subtree"), "recurring")
+    """host, subtree, everywhere of those beside enough different contents; everywhere: beside most of the host's."""
+
+    def beside(rows: DataFrame, pages: DataFrame, content: str) -> DataFrame:
+        """host, subtree, n (different contents), of_host (all the host's)."""
+        every = pages.select("host", content).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
+        counts = rows.select("host", "subtree", content).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.filter(F.col("n") >= min_contents)
+        return counts.join(common.sent_if_small(materialize(every, "host-contents"), F.length("host") + 16), "host")
+
+    first = materialize(beside(found, found, "content").filter(F.col("n") >= MIN_SHARE * F.col("of_host")), "often")
+    often = first.select("host", "subtree", (F.col("n") > ARTICLE_SHARE * F.col("of_host")).alias("most"))
+    rows = found.join(common.sent_if_small(often, F.length("host") + 24), ["host", "subtree"], "left")
+    most, size = F.coalesce("most", F.lit(False)), F.col("size")
+    block = F.when(size > 0, F.struct("size", "subtree"))
+    cores = rows.groupBy("host", "page_key").agg(
+        F.max(block).alias("longest"), F.max(F.when(~most, block)).alias("own"),
+        F.sum(F.when(most, size).otherwise(0)).alias("shared"), F.sum("size").alias("all"), F.first("content").alias("content"),
+    )
+    copy = F.col("shared") > COPY_SHARE * F.col("all")
+    core = F.coalesce(F.when(copy, F.col("longest.subtree")).otherwise(F.col("own.subtree")), F.col("content"))
+    cores = materialize(cores.select("host", "page_key", core.alias("core")), "page-cores")
+    again = rows.filter("may_go AND most IS NOT NULL").select("host", "page_key", "subtree")
+    again = beside(again.join(cores, ["host", "page_key"]), cores, "core")
+    enough = (F.col("n") >= min_contents) & (F.col("n") >= MIN_SHARE * F.col("of_host"))
+    everywhere = F.col("n") > ARTICLE_SHARE * F.col("of_host")
+    return materialize(again.filter(enough).select("host", "subtree", everywhere.alias("everywhere")), "recurring")
 
 
 def extract_text(pages: DataFrame, min_contents: int = MIN_CONTENTS, most_sent: int = MOST_SENT) -> DataFrame:
@@ -338,26 +393,28 @@ def extract_text(pages: DataFrame, min_contents: int = MIN_CONTENTS, most_sent:
     recurring = recurring_subtrees(found, min_contents)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     if recurring.count() <= most_sent:
-        by_host = recurring.groupBy("host").agg(F.collect_list("subtree").alias("list")).collect()
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["list"]) for r in by_host})
-        rows = rows.withColumn("template", F.lit(None).cast("array<bigint>"))
+        most = F.collect_list(F.when(F.col("everywhere"), F.col("subtree"))).alias("most")
+        by_host = recurring.groupBy("host").agg(F.collect_list("subtree").alias("list"), most).collect()
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (frozenset(r["list"]), frozenset(r["most"])) for r in by_host})
+        rows = rows.withColumns({n: F.lit(None).cast("array<bigint>") for n in ("template", "everywhere")})
     else:
         sent = None
-        lists = found.join(recurring, ["host", "subtree"]).groupBy("host", "page_key").agg(F.collect_set("subtree").alias("template"))
+        most = F.collect_set(F.when(F.col("everywhere"), F.col("subtree"))).alias("everywhere")
+        lists = found.join(recurring, ["host", "subtree"]).groupBy("host", "page_key").agg(F.collect_set("subtree").alias("template"), most)
         lists = materialize(lists, "templates").withColumnsRenamed({"host": "at_host", "page_key": "at_page"})
         same = (F.col("host") == F.col("at_host")) & (page_key(F.col("html")) == F.col("at_page"))
-        rows = rows.join(lists, same, "left").select("page_id", "url", "html", "host", "template")
+        rows = rows.join(lists, same, "left").select("page_id", "url", "html", "host", "template", "everywhere")
     key = pages.schema["page_id"].dataType.simpleString()
 
     def texts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        none: frozenset = frozenset()
+        none: tuple = (frozenset(), frozenset())
         for batch in batches:
             done = []
-            for html, host, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                template = frozenset(template or ()) if sent is None else sent.value.get(host, none)
-                done.append(main_text(html.as_py(), template))
+            for html, host, *own in zip(batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
+                listed = [frozenset(x or ()) for x in own] if sent is None else sent.value.get(host, none)
+                done.append(main_text(html.as_py(), *listed))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(done, pa.string())], names=["page_id", "url", "text"]
             )

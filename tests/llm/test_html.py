@@ -55,6 +55,32 @@ def test_an_articles_paragraphs_are_no_template(spark):
     assert sorted(got) == sorted(f"Told often.\nOwn {i}" for i in [*range(9), 0, 1])
 
 
+def test_copies_versions_and_small_shares_are_no_template(spark):
+    shared = [f"Paragraph {k} of a story that stands on several pages, told at length." for k in range(4)]
+    lists = "<ul><li>Step one</li><li>Step two</li></ul><div><b>A boxed remark</b></div>"
+
+    def page(i, own):
+        body = "".join(f"<p>{x}</p>" for x in own)
+        return f"<body><div><span>Menu of the site</span></div><div>{body}</div><p>Printed on day {i}</p></body>"
+
+    rows = [(i, "http://v.org/", page(i, [*shared, f"Edit {i}."])) for i in range(6)]
+    rows += [(100 + i, "http://v.org/", page(i, [f"Page {i} is about number {i} and about nothing else on earth."])) for i in range(20)]
+    rows += [(200 + i, "http://w.org/", page(i, [*shared, f"Edit {i}."])) for i in range(6)]
+    rows += [(300 + i, "http://l.org/", page(i, [f"Text {i} that is like no other text of its host.", "Read more below." if i < 5 else f"{i}"])) for i in range(300)]
+    rows += [(900 + i, "http://t.org/", f"<article><p>Own {i}.</p>{lists if i < 6 else ''}</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in X.extract_text(site(spark, rows)).collect()}
+    joined = {r.page_id: r.text for r in X.extract_text(site(spark, rows), most_sent=0).collect()}
+    assert joined == got
+    for i in range(6):
+        assert got[i] == "\n".join([*shared, f"Edit {i}.", f"Printed on day {i}"])
+        assert got[200 + i].split("\n")[1:] == [*shared, f"Edit {i}.", f"Printed on day {i}"]  # the menu can't be told from it
+        assert got[900 + i] == f"Own {i}.\nStep one\nStep two\nA boxed remark"
+    for i in range(20):
+        assert got[100 + i] == f"Page {i} is about number {i} and about nothing else on earth.\nPrinted on day {i}"
+    for i in range(5):
+        assert "Read more below." in got[300 + i]
+
+
 def test_hosts_and_no_pages(spark):
     urls = {"http://A.org/x": "a.org", "//b.org?x": "b.org", "https://u:p@c.org:8080/": "c.org", "mail": "", None: ""}
     rows = spark.createDataFrame([(u,) for u in urls], "url string")
