@@ -72,6 +72,10 @@ NOISE_NAMES = re.compile(
     r"|comments?|commentlist|respond|replies|discussion|related|recommend\w*|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+FIELDS = frozenset("form input button select textarea".split())
+#: Inside an article: an element with a name of noise and a field is noise up to so many characters.
+FIELD_TEXT = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|reply|response|teaser|related|promo|advert|ad)(?:$|[\s_-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-title)(?:$|[\s_-])", re.I)
 
@@ -82,11 +86,12 @@ CUT_OFF = re.compile("<[A-Za-z/!?]")
 class Element:
     """A node: children are elements and strings."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "subtree", "size", "links", "linked", "holds")
+    __slots__ = ("tag", "names", "classes", "role", "hidden", "children", "subtree", "size", "links", "linked", "holds")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag = tag
-        self.names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        self.classes = attrs.get("class") or ""
+        self.names = f"{self.classes} {attrs.get('id') or ''}"
         self.role = (attrs.get("role") or "").lower()
         self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
         self.children: list = []
@@ -190,6 +195,8 @@ def is_noise(element: Element, in_article: bool, page: Element) -> bool:
     """Whether an element is no main text by its tag, its role or its names.
 
     Names don't count for what holds the article, nor, on a page without one, for most of the text.
+    Inside an article they count only for what looks like chrome, too; never for headings, and of
+    sections only the classes.
     """
     if element.tag in NOISE or element.hidden or element.role in NOISE_ROLES:
         return True
@@ -201,7 +208,21 @@ def is_noise(element: Element, in_article: bool, page: Element) -> bool:
         return True
     if not element.names.strip() or element.holds or (not page.holds and 2 * element.size > page.size):
         return False
-    return bool(NOISE_NAMES.search(element.names) or (not in_article and HEADER_NAMES.search(element.names)))
+    if in_article:
+        names = element.classes if element.tag == "section" else element.names
+        return element.tag not in HEADINGS and bool(NOISE_NAMES.search(names)) and is_chrome(element)
+    return bool(NOISE_NAMES.search(element.names) or HEADER_NAMES.search(element.names))
+
+
+def is_chrome(element: Element) -> bool:
+    """Mostly links, a short text with a form's fields, or a label of one word."""
+    if element.links and element.linked > 0.6 * element.size:
+        return True
+    inner = elements(element)
+    if element.size <= FIELD_TEXT and any(e.tag in FIELDS for e in inner):
+        return True
+    texts = [c for e in inner for c in e.children if isinstance(c, str) and c.strip()]
+    return len(texts) < 2 and len("".join(texts).split()) < 2
 
 
 def is_menu(element: Element) -> bool:

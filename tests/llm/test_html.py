@@ -28,6 +28,21 @@ def test_text_of_a_page(html):
     assert X.main_text(html) == PAGES[html]
 
 
+def test_names_alone_are_no_noise_in_an_article():
+    parts = [
+        "<section id='discussion'><h2 id='search'>We discuss</h2><p>What was found.</p></section>",
+        "<section id='related-work'><p>Others found less.</p></section><div class='notice'>Mind the wet paint.</div>",
+        "<div class='alert'><p>It burns.</p></div><p class='side'>On the side.</p><div class='overlay'>Laid over it.</div>",
+    ]
+    chrome = (
+        "<div class='share-box'>Share</div><div class='related'><a>One text</a> <a>Another text</a></div>"
+        "<div class='newsletter'>Get our letter <input name=mail></div>"
+    )
+    kept = "We discuss\nWhat was found.\nOthers found less.\nMind the wet paint.\nIt burns.\nOn the side.\nLaid over it."
+    assert X.main_text(f"<article>{''.join(parts)}{chrome}</article>") == kept
+    assert X.main_text(f"<body><p>{'Outside of an article. ' * 9}</p>{parts[2]}") == ("Outside of an article. " * 9).strip()
+
+
 def site(spark, rows):
     return spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id bigint, url string, html string, template string")
 
