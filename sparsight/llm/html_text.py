@@ -230,22 +230,46 @@ def is_menu(element: Element) -> bool:
     return element.tag in ("ul", "ol", "div", "table", "section", "p") and element.links >= 3 and element.linked > 0.6 * element.size
 
 
-def content_root(root: Element, template: frozenset | set, everywhere: frozenset | set) -> Element:
-    """The longest article outside of noise, else the longest main, else everything."""
+def content_roots(root: Element, template: frozenset | set, everywhere: frozenset | set) -> list[Element]:
+    """In page order, the articles outside of noise, or the mains around them; else the longest main, else everything."""
+
+    def walk():
+        """Elements outside of noise in page order, whether in an article, and the outermost main around each."""
+        waiting = [(root, False, None)]
+        while waiting:
+            element, in_article, main = waiting.pop()
+            kind = kind_of(element)
+            listed = everywhere if in_article or kind in ("article", "main") else template
+            if element.tag in NO_TEXT or is_noise(element, in_article, root) or gone(element, listed, root.size):
+                continue
+            yield element, in_article, main
+            inside = in_article or kind == "article"
+            around = element if main is None and kind == "main" and not in_article else main
+            waiting.extend((c, inside, around) for c in reversed(element.children) if not isinstance(c, str))
+
     best: dict[str, Element] = {}
-    waiting = [(root, False)]
-    while waiting:
-        element, in_article = waiting.pop()
-        kind = "main" if element.role == "main" else element.tag
-        listed = everywhere if in_article or kind in ("article", "main") else template
-        if element.tag in NO_TEXT or is_noise(element, in_article, root) or gone(element, listed, root.size):
-            continue
+    for element, _, _ in walk():
+        kind = kind_of(element)
         if kind in ("article", "main") and (kind not in best or element.size > best[kind].size):
             best[kind] = element
-        inside = in_article or kind == "article"
-        waiting.extend((c, inside) for c in reversed(element.children) if not isinstance(c, str))
-    found = best.get("article") or best.get("main")
-    return found if found is not None and found.size else root
+    longest = best.get("article")
+    if longest is None or not longest.size:
+        main = best.get("main")
+        return [main if main is not None and main.size else root]
+    for element in reversed(elements(root)):  # from here on names count for boxes of other articles
+        inner = [c for c in element.children if not isinstance(c, str)]
+        element.holds = any(c is longest or c.holds for c in inner)
+    found: list[Element] = []
+    for element, in_article, main in walk():
+        if kind_of(element) == "article" and not in_article and element.size:
+            unit = element if main is None else main
+            if not found or found[-1] is not unit:
+                found.append(unit)
+    return found
+
+
+def kind_of(element: Element) -> str:
+    return "main" if element.role == "main" else element.tag
 
 
 def gone(element: Element, template, page_size: int) -> bool:
@@ -267,15 +291,21 @@ def candidates(root: Element) -> set[int]:
     return found
 
 
-def content_blocks(root: Element, content: Element) -> dict[int, int]:
-    """The subtrees and sizes of the content's innermost blocks outside of noise."""
+def article_state(contents: list[Element]) -> bool:
+    """Whether all of the contents counts as an article: it is a main without one."""
+    return len(contents) == 1 and kind_of(contents[0]) == "main" and not contents[0].holds
+
+
+def content_blocks(root: Element, contents: list[Element]) -> dict[int, int]:
+    """The subtrees and sizes of the contents' innermost blocks outside of noise."""
     found: dict[int, int] = {}
-    waiting = [content]
+    waiting = [(c, article_state(contents)) for c in contents]
     while waiting:
-        element = waiting.pop()
+        element, article = waiting.pop()
+        article = article or element.tag == "article"
         within = [c for c in element.children if not isinstance(c, str) and c.size]
         if any(c.tag not in INLINE for c in within):
-            waiting.extend(c for c in within if not is_noise(c, content.tag == "article", root))
+            waiting.extend((c, article) for c in within if not is_noise(c, article, root))
         elif element.size:
             found[element.subtree] = element.size
     return found
@@ -289,8 +319,7 @@ def main_text(html: str, template=frozenset(), everywhere=None) -> str:
     root = parse(html)
     hash_subtrees(root)
     everywhere = template if everywhere is None else everywhere
-    content = content_root(root, template, everywhere)
-    article = content.tag in ("article", "main") or content.role == "main"
+    contents = content_roots(root, template, everywhere)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -300,31 +329,35 @@ def main_text(html: str, template=frozenset(), everywhere=None) -> str:
             blocks.append(text)
         held.clear()
 
-    def leaves(element: Element) -> bool:
+    def leaves(element: Element, article: bool, protected: bool) -> bool:
         return (
             element.tag in NO_TEXT
             or is_noise(element, article, root)
-            or (element.tag not in INLINE and not (article and element.tag in PARAGRAPH) and gone(element, everywhere if article else template, root.size))
+            or (element.tag not in INLINE and not (protected and element.tag in PARAGRAPH) and gone(element, everywhere if protected else template, root.size))
             or (not article and is_menu(element))
         )
 
-    waiting = [(content, iter(content.children))]
-    while waiting:
-        element, rest = waiting[-1]
-        child = next(rest, None)
-        if child is None:
-            waiting.pop()
-            if element.tag not in INLINE:
-                end_block()
-        elif isinstance(child, str):
-            held.append(child)
-        elif child.tag == "br":
-            held.append(" ")
-        else:
-            if child.tag not in INLINE:
-                end_block()
-            if not leaves(child):
-                waiting.append((child, iter(child.children)))
+    for content in contents:
+        article = article_state(contents) or content.tag == "article"
+        # Paragraphs beside the articles of a main are protected like theirs.
+        waiting = [(content, iter(content.children), article, article or kind_of(content) == "main")]
+        while waiting:
+            element, rest, article, protected = waiting[-1]
+            child = next(rest, None)
+            if child is None:
+                waiting.pop()
+                if element.tag not in INLINE:
+                    end_block()
+            elif isinstance(child, str):
+                held.append(child)
+            elif child.tag == "br":
+                held.append(" ")
+            else:
+                if child.tag not in INLINE:
+                    end_block()
+                if not leaves(child, article, protected):
+                    inside = article or child.tag == "article"
+                    waiting.append((child, iter(child.children), inside, protected or inside))
     return "\n".join(blocks)
 
 
@@ -337,10 +370,10 @@ def page_subtrees(html: str) -> tuple[int, list[tuple[int, int, bool]]]:
 
     root = parse(html)
     hash_subtrees(root)
-    content = content_root(root, frozenset(), frozenset())
-    may_go, blocks = candidates(root), content_blocks(root, content)
+    contents = content_roots(root, frozenset(), frozenset())
+    may_go, blocks = candidates(root), content_blocks(root, contents)
     found = [(subtree, blocks.get(subtree, 0), subtree in may_go) for subtree in sorted(may_go | blocks.keys())]
-    return xxh64_intdigest(str(content.subtree)) - (1 << 63), found
+    return xxh64_intdigest(" ".join(str(c.subtree) for c in contents)) - (1 << 63), found
 
 
 def host_of(url: Column) -> Column:

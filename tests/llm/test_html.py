@@ -43,6 +43,22 @@ def test_names_alone_are_no_noise_in_an_article():
     assert X.main_text(f"<body><p>{'Outside of an article. ' * 9}</p>{parts[2]}") == ("Outside of an article. " * 9).strip()
 
 
+ARTICLES = {
+    "<div><article><p>Part one</p></article><nav>n</nav><article><p>Part two, longer</p></article></div>": "Part one\nPart two, longer",
+    "<nav>n</nav><main><h1>Title</h1><p>Lead</p><article><p>Body one</p></article><article><p>2</p></article><aside>a</aside></main><p>x":
+        "Title\nLead\nBody one\n2",
+    "<main><p>m</p></main><article><p>The body</p></article>": "The body",
+    "<article><p>Body of the page</p></article><section class=related><article><p>A card</p></article></section>": "Body of the page",
+    "<main><section class=related><article>c</article></section><article>Body of it<article class=b>nested</article></article></main>":
+        "Body of it\nnested",
+}
+
+
+@pytest.mark.parametrize("html", ARTICLES, ids=range(len(ARTICLES)))
+def test_all_articles_and_what_the_main_has_around_them(html):
+    assert X.main_text(html) == ARTICLES[html]
+
+
 def site(spark, rows):
     return spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id bigint, url string, html string, template string")
 
