@@ -233,7 +233,10 @@ def fit_model(x, y) -> AdditiveModel:
 
 
 def sample_of(measured: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple:
-    """Features and labels of at most about ``rows`` labelled rows outside the held-out fold."""
+    """Features and labels of at most about ``rows`` labelled rows outside the held-out fold.
+
+    Rows with the same id and features count once, however often they are repeated.
+    """
     import numpy as np
 
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -243,8 +246,14 @@ def sample_of(measured: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     found = known.count()
     if found > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / found * (1 << 30)))
-    got = measured.join(known, "doc_id").select("doc_id", "features", "good").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    joined = measured.join(known, "doc_id").select("doc_id", "features", "good").dropDuplicates(["doc_id", "features"])
+    joined = materialize(joined.withColumn("mark", F.xxhash64("doc_id", "features")), "labelled")
+    found = joined.count()
+    if found > rows:  # ids with many different rows
+        joined = joined.filter(F.pmod("mark", F.lit(1 << 30)) < int(rows / found * (1 << 30)))
+    got = joined.toArrow()
+    order = np.argsort(got.column("mark").to_numpy(), kind="stable")
+    order = order[np.argsort(got.column("doc_id").to_numpy()[order], kind="stable")]
     x = np.array(got.column("features").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return x[order], got.column("good").to_numpy()[order]
 

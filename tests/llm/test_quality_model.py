@@ -74,3 +74,15 @@ def test_bounded_sample(spark):
     measured = Q.measure(docs)
     x, y = Q.sample_of(measured, labels, rows=100)
     assert 60 <= len(x) <= 140 and len(x) == len(y)
+
+
+def test_a_repeated_labelled_row_is_sampled_once(spark):
+    row = lambda i, v: (i, [float(v)] * len(Q.FEATURES))
+    ids = [i for i in range(400) if i % 7]
+    measured = spark.createDataFrame([row(i, i) for i in ids] + [row(1, 1)] * 300, "doc_id bigint, features array<double>")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    x, y = Q.sample_of(measured, labels)
+    assert len(x) == len({tuple(r) for r in x.tolist()}) == len(y) > 200
+    other = spark.createDataFrame([row(1, v) for v in range(2000)], "doc_id bigint, features array<double>")
+    x, y = Q.sample_of(measured.unionByName(other), labels.filter("doc_id < 40"), rows=100)
+    assert 60 <= len(x) <= 140 and len(x) == len(y)
