@@ -2,7 +2,7 @@
 
 Every text is tokenised in the tasks; ids and texts stay there.  The histogram of piece lengths
 (at most ``capacity`` rows) goes to the driver, which chooses patterns: multisets of up to four
-lengths that nearly fill a sequence.  How often each is used is fitted to the histogram by
+different lengths, short ones repeated, that nearly fill a sequence.  How often each is used is fitted to the histogram by
 non-negative least squares, rounded down and held to what is there; the rest is packed by best
 fit, whole runs of equal patterns at a time.  The plan is a list of runs: so many pieces of one
 length go to so many consecutive sequences at one offset.  Pieces are numbered in order of their
@@ -67,12 +67,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
 
 def patterns(counts, capacity: int):
-    """Rows of up to four lengths (0: none) that nearly fill ``capacity``, from lengths that occur."""
+    """Rows of up to four lengths (0: none) that nearly fill ``capacity``, from lengths that occur; and how often each is taken."""
     import numpy as np
 
     present = np.flatnonzero(counts)
     if not len(present):
-        return np.zeros((0, 4), dtype=np.int64)
+        return np.zeros((0, 4), dtype=np.int64), np.zeros((0, 4), dtype=np.int64)
 
     def fitting(room, back=0):
         at = np.searchsorted(present, room, side="right") - 1 - back
@@ -90,11 +90,27 @@ def patterns(counts, capacity: int):
             three = two + other
             found.append(np.stack([present, none + second, none + other, fitting(capacity - three)], 1)[three <= capacity])
     rows = np.sort(np.concatenate(found), axis=1)
-    total = rows.sum(axis=1)
-    return np.unique(rows[(total <= capacity) & (total >= capacity - capacity // 50)], axis=0)
-
-
-def fitted_repeats(rows, counts):
+    taken = [(rows > 0).astype(np.int64)]
+    # Short lengths as often as they fit, alone and in half of the room beside another.
+    short = present[5 * present <= capacity]
+    for second in [0, *spread[5 * spread <= capacity]]:
+        times = np.minimum((capacity if not second else capacity // 2) // short, counts[short])
+        room = capacity - times * short
+        more = np.minimum(room // second, counts[second]) if second else np.zeros_like(short)
+        room = room - more * second
+        third = fitting(room)
+        fourth = fitting(room - third)
+        rows = np.concatenate([rows, np.stack([short, second + np.zeros_like(short), third, fourth], 1)])
+        taken.append(np.stack([times, more, third > 0, fourth > 0], 1).astype(np.int64))
+    times = np.concatenate(taken)
+    rows = np.where(times > 0, rows, 0)
+    total = (rows * times).sum(axis=1)
+    near = (total <= capacity) & (total >= capacity - capacity // 50)
+    both = np.unique(np.concatenate([rows[near], times[near]], axis=1), axis=0)
+    return both[:, :4], both[:, 4:]
+
+
+def fitted_repeats(rows, taken, counts):
     """Non-negative least squares of pattern repeats against the histogram, by projected steps."""
     import numpy as np
 
@@ -102,12 +118,12 @@ def fitted_repeats(rows, counts):
     target = counts.astype(np.float64)
     target[0] = 0.0
     flat = rows.ravel()
-    present = (rows > 0).astype(np.float64)
-    weight = 1.0 / np.maximum(np.bincount(flat, minlength=size), 1.0)  # rows of the system scaled alike
+    present = taken.astype(np.float64)
+    weight = 1.0 / np.maximum(np.bincount(flat, weights=present.ravel(), minlength=size), 1.0)  # rows of the system scaled alike
     x = np.zeros(len(rows))
     ahead, momentum = x.copy(), 1.0
     for _ in range(FIT_STEPS):
-        made = np.bincount(flat, weights=np.repeat(ahead, 4), minlength=size)
+        made = np.bincount(flat, weights=(ahead[:, None] * present).ravel(), minlength=size)
         short = (target - made) * weight
         short[0] = 0.0
         step = (short[rows] * present).sum(axis=1) / np.maximum(present.sum(axis=1), 1.0)
@@ -118,10 +134,8 @@ def fitted_repeats(rows, counts):
     return x
 
 
-def plan_packing(counts, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) whose lengths together are exactly the histogram ``counts``."""
-    import bisect
-
+def fitted_plan(counts, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], object]:
+    """(pattern, repeats) of the fitted patterns, and the histogram of what they leave."""
     import numpy as np
 
     left = np.array(counts, dtype=np.int64)
@@ -129,16 +143,32 @@ def plan_packing(counts, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    rows = patterns(left, capacity)
+    rows, taken = patterns(left, capacity)
     if len(rows):
-        x = fitted_repeats(rows, left)
-        order = np.lexsort((-x, capacity - rows.sum(axis=1)))
+        x = fitted_repeats(rows, taken, left)
+        order = np.lexsort((-x, capacity - (rows * taken).sum(axis=1)))
         for i in order[np.floor(x[order]) >= 1]:
-            members, times = np.unique(rows[i][rows[i] > 0], return_counts=True)
+            members, times = np.unique(np.repeat(rows[i], taken[i]), return_counts=True)
             repeats = int(min(np.floor(x[i]), (left[members] // times).min()))
             if repeats > 0:
                 left[members] -= repeats * times
                 plan.append((tuple(np.repeat(members, times).tolist()), repeats))
+    return plan, left
+
+
+def fitted_share(counts, capacity: int = CAPACITY) -> float:
+    """The share of pieces that fitted patterns place."""
+    total = int(sum(counts))
+    return 1.0 - int(fitted_plan(counts, capacity)[1].sum()) / total if total else 0.0
+
+
+def plan_packing(counts, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) whose lengths together are exactly the histogram ``counts``."""
+    import bisect
+
+    import numpy as np
+
+    plan, left = fitted_plan(counts, capacity)
     present = np.flatnonzero(left).tolist()
     rest = {length: int(left[length]) for length in present}
     while present:

@@ -119,3 +119,17 @@ def test_sequences_and_nothing(awkward_docs, no_docs):
     expected = {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
     assert {r.sequence_id: r.n for r in whole.collect()} == expected
     assert P.packed_documents(no_docs).count() == 0
+
+
+def test_patterns_of_short_lengths():
+    rng = np.random.default_rng(8)
+    counts = np.bincount(rng.integers(20, 900, 60_000), minlength=4097)
+    assert P.fitted_share(counts) > 0.5
+    plan = P.plan_packing(counts, 4096)
+    used = np.zeros_like(counts)
+    for members, repeats in plan:
+        assert sum(members) <= 4096
+        np.add.at(used, np.array(members), repeats)
+    assert (used == counts).all()
+    lengths = int((np.arange(4097) * counts).sum())
+    assert sum(r for _, r in plan) <= 1.01 * lengths / 4096 + 1
