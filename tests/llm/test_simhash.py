@@ -147,8 +147,11 @@ def test_a_group_in_tiles_equals_brute_force(spark, monkeypatch):
 def test_dropping_keeps_one_row(awkward_docs, no_docs):
     kept = S.drop_near_duplicates(awkward_docs)
     assert kept.columns == awkward_docs.columns
-    ids = sorted(str(r.doc_id) for r in kept.collect())
-    assert ids.count("7") == 1 and "8" not in ids and "9" not in ids and ids.count("18") == 1 and "1" in ids and "2" not in ids
+    rows = kept.collect()
+    ids = sorted(str(r.doc_id) for r in rows)
+    assert ids.count("7") == 1 and "8" not in ids and "9" not in ids and "1" in ids and "2" not in ids
+    # One id may stand for different texts; those are different groups, and each keeps one row.
+    assert sorted(r.text for r in rows if r.doc_id == 18) == ["not the same", "repeat"]
     assert S.drop_near_duplicates(no_docs).count() == 0
     assert S.components(no_docs, 3, 1, 3).count() == 0
 
