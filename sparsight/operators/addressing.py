@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsight.operators.skew import split_join
 from sparsight.storage import materialize
 
 
@@ -64,9 +65,9 @@ def with_ordered_index(df: DataFrame, order: list, column: str = "row_idx") -> D
 
 
 def lookup_ids(hits: DataFrame, table: DataFrame, position: str, key: str) -> DataFrame:
-    """Replace the row number ``position`` of each hit by the ``key`` of that row in ``table``."""
+    """Replace the row number ``position`` of each hit by the ``key`` of that row in ``table``; hub rows are split."""
     names = table.select(F.col("row_idx").alias(position), key)
-    return hits.join(names, position).drop(position)
+    return split_join(hits, names, [position]).drop(position)
 
 
 def zip_ids_vectors(ids: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from sparsight.operators.autoencoder import (
 )
 from sparsight.operators.blocks import inner_topk
 from sparsight.operators.dense import dense_topk
+from sparsight.operators.skew import split_join
 from sparsight.operators.sparse import sparse_topk
 from sparsight.storage import materialize
 
@@ -83,7 +84,7 @@ def feedback_features(hits: DataFrame, codes: DataFrame, alpha: int) -> DataFram
     A passage has the same codes for every query that hits it, so ``codes`` holds
     them once per passage (from its raw vector) and is joined to the hits.
     """
-    return hits.select("qid", "pid", "rank").join(best_features(codes, alpha), "pid")
+    return split_join(hits.select("qid", "pid", "rank"), best_features(codes, alpha), ["pid"])
 
 
 def feedback_union(features: DataFrame) -> DataFrame:
