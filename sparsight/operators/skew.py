@@ -86,7 +86,7 @@ def hub_slices(frame: DataFrame, keys: Sequence[str | Column], partitions: int |
 def is_sent(frame: DataFrame) -> bool:
     """Whether Spark, by its own bound and estimate, sends this side of a join to all tasks."""
     bound = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return bound > 0 and int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= bound
+    return bound > 0 and int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= bound
 
 
 def split_join(
