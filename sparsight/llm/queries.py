@@ -5,7 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 
 from sparsight.llm import (
-    context_tree, decontamination, html_text, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc,
+    context_tree, decontamination, html_text, line_dedup, packing, quality_model, quality_rules, sharding, simhash, url_rules,
+    warc,
 )
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_pattern_packing": packing.op8_pattern_packing,
     "op9_line_first": quality_rules.op9_line_first,
     "op10_additive_model": quality_model.op10_additive_model,
+    "op12_url_expressions": url_rules.op12_url_expressions,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +29,5 @@ SQL = {
     "op4_warc": warc.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_line_first": quality_rules.OP9_SQL,
+    "op12_url_expressions": url_rules.OP12_SQL,
 }
