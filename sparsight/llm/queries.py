@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from sparsight.llm import (
-    context_tree, decontamination, html_text, line_dedup, packing, quality_model, quality_rules, sharding, simhash, url_rules,
+    context_tree, conversations, decontamination, html_text, line_dedup, packing, quality_model, quality_rules, sharding, simhash, url_rules,
     warc,
 )
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_line_first": quality_rules.op9_line_first,
     "op10_additive_model": quality_model.op10_additive_model,
     "op12_url_expressions": url_rules.op12_url_expressions,
+    "op13_run_length_repair": conversations.op13_run_length_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -30,4 +31,5 @@ SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_line_first": quality_rules.OP9_SQL,
     "op12_url_expressions": url_rules.OP12_SQL,
+    "op13_run_length_repair": conversations.OP13_SQL,
 }

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
 
 
 def test_pipeline_stages(spark):
