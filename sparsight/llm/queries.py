@@ -5,8 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 
 from sparsight.llm import (
-    context_tree, conversations, decontamination, html_text, line_dedup, packing, quality_model, quality_rules, sharding, simhash, url_rules,
-    warc,
+    context_tree, conversations, decontamination, html_text, lexical, line_dedup, packing, quality_model, quality_rules, sharding, simhash,
+    url_rules, warc,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_pattern_packing": packing.op8_pattern_packing,
     "op9_line_first": quality_rules.op9_line_first,
     "op10_additive_model": quality_model.op10_additive_model,
+    "op11_pair_maxscore": lexical.op11_pair_maxscore,
     "op12_url_expressions": url_rules.op12_url_expressions,
     "op13_run_length_repair": conversations.op13_run_length_repair,
     "pipeline": corpus_pipeline.run,
@@ -30,6 +31,7 @@ SQL = {
     "op4_warc": warc.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_line_first": quality_rules.OP9_SQL,
+    "op11_pair_maxscore": lexical.OP11_SQL,
     "op12_url_expressions": url_rules.OP12_SQL,
     "op13_run_length_repair": conversations.OP13_SQL,
 }
