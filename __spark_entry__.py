@@ -589,13 +589,20 @@ def q_sparse_index_create(spark, sf):
 
 
 def q_sparse_index_search(spark, sf):
-    """An index is stored, updated from itself, stored again under its name, and searched."""
+    """An index is stored and a batch added to it; the search reads the stored blocks where they are."""
     base = fresh_path(spark, "index")
-    index = P.sparse_index_create(spark, base, "parts", order_postings(spark, sf))
-    P.sparse_index_create(spark, base, "parts", P.sparse_index_upsert(index, urgent_batch(spark, sf)))
-    known = P.sparse_index_statistics(spark, base, "parts")
-    asked = materialize(customer_postings(spark, sf), "asked")
-    return P.sparse_topk(asked, P.sparse_index_open(spark, base, "parts"), TOP_K, statistics=known)
+    P.sparse_index_create(spark, base, "parts", order_postings(spark, sf))
+    P.sparse_index_add(spark, base, "parts", urgent_batch(spark, sf))
+    return P.sparse_index_search(spark, base, "parts", materialize(customer_postings(spark, sf), "asked"), TOP_K)
+
+
+def q_sparse_index_compact(spark, sf):
+    """The postings of an index of several segments once these have been merged."""
+    base = fresh_path(spark, "index")
+    P.sparse_index_create(spark, base, "parts", order_postings(spark, sf))
+    P.sparse_index_add(spark, base, "parts", urgent_batch(spark, sf), merge=False)
+    P.sparse_index_compact(spark, base, "parts", everything=True)
+    return P.sparse_index_open(spark, base, "parts").select("pid", "feature", "weight")
 
 
 def stored_postings(spark, sf):

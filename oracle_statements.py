@@ -572,6 +572,8 @@ def statements() -> dict[str, str]:
         "hits_as_arrays": _with(*NEAREST) + f"SELECT qid, rank - 1 AS place, pid, {_r6('score')} AS score FROM near",
         "sparse_index_upsert": f"""SELECT * FROM ({ORDER_POSTINGS}) WHERE pid NOT IN (SELECT pid FROM ({URGENT}))
             UNION ALL SELECT * FROM ({URGENT})""",
+        "sparse_index_compact": f"""SELECT * FROM ({ORDER_POSTINGS}) WHERE pid NOT IN (SELECT pid FROM ({URGENT}))
+            UNION ALL SELECT * FROM ({URGENT})""",
         "sparse_index_create": ORDER_POSTINGS,
         "sparse_index_search": _with(*UPDATED) + "SELECT qid, pid, score, rank FROM hits",
         "sparse_topk": _with(*PURCHASES) + "SELECT qid, pid, score, rank FROM hits",

@@ -51,10 +51,10 @@ def retrieve_latent(
     query_latent_k: int | None = None,
 ) -> DataFrame:
     """Sparse search with uncentred codes on both sides."""
-    index = materialize(latent_postings(passages, model, latent_k, ["pid"]), "index")
+    index = latent_postings(passages, model, latent_k, ["pid"])
     query_latent_k = query_latent_k or latent_k
     asked = materialize(latent_postings(queries, model, query_latent_k, ["qid"]), "asked")
-    return sparse_topk(asked, index, k, max_features=max(latent_k, query_latent_k))
+    return sparse_topk(asked, index, k)
 
 
 def retrieve_latent_wide(

@@ -1,7 +1,9 @@
+import os
+
 import numpy as np
 import pytest
 
-from sparsight.operators import blocks, dense, sparse
+from sparsight.operators import blocks, dense, sparse, sparse_blocks, sparse_index
 
 
 def vector_frame(spark, key, rows):
@@ -130,6 +132,106 @@ def test_heavy_ids_are_scored_by_a_join(spark, monkeypatch, limit):
     np.testing.assert_allclose([h[3] for h in got], [h[3] for h in wanted])
 
 
+def patch_sizes(monkeypatch, **sizes):
+    """Sets bounds wherever they are used."""
+    for module in (sparse, sparse_blocks, sparse_index):
+        for name, value in sizes.items():
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+
+
+@pytest.mark.parametrize(
+    ("heavy", "send", "grid"),
+    [(2, 300, (None, None)), (3, 64 << 20, (None, None)), (1000, 300, (None, None)), (2, 300, (2, 3)), (1000, 64 << 20, (2, 3))],
+)
+def test_all_ways_give_the_same_bits(spark, monkeypatch, heavy, send, grid):
+    # Small blocks with several runs, wide documents in slices, wide queries, queries in parts.
+    patch_sizes(monkeypatch, HEAVY_POSTINGS=heavy, BLOCK_POSTINGS=16, BLOCK_DOCS=7, RUN_POSTINGS=1, RUN_DOCS=1, SEND_BYTES=send, MOST_PARTS=99)
+    rng = np.random.default_rng(heavy)
+    q, d = random_postings(rng, "qid", 20, 12, 0.4), random_postings(rng, "pid", 60, 12, 0.4)
+    q += [(30, f, float(rng.normal())) for f in range(12)]
+    d += [(90, f, float(rng.normal())) for f in range(40)] + [(91, 0, 1e300), (92, 0, -1e-300)]
+    asked = spark.createDataFrame(q, "qid long, feature int, weight double").repartition(3)
+    index = spark.createDataFrame(d, "pid long, feature int, weight double").repartition(5)
+    assert hits_of(sparse.sparse_topk(asked, index, 5, *grid)) == brute_sparse(q, d, 5)
+
+
+def test_bounds_skip_postings_and_lose_nothing(spark, monkeypatch, base):
+    patch_sizes(monkeypatch, BLOCK_POSTINGS=3000, RUN_POSTINGS=4, RUN_DOCS=8)
+    rng = np.random.default_rng(2)
+    d = [(i, int(f), float(rng.exponential() + 4 * (f == i % 30))) for i in range(2000) for f in {i % 30, *rng.integers(0, 30, 4).tolist()}]
+    q = [(i, int(f), float(rng.exponential())) for i in range(25) for f in {i, *rng.integers(0, 30, 3).tolist()}]
+    asked = spark.createDataFrame(q, "qid long, feature int, weight double")
+    sparse.sparse_index_create(spark, base, "m", spark.createDataFrame(d, "pid long, feature int, weight double"))
+    assert hits_of(sparse.sparse_index_search(spark, base, "m", asked, 4)) == brute_sparse(q, d, 4)
+    assert sparse_index.skipped_share(spark, base, "m", asked, 4) > 0.4
+    plan = sparse.sparse_index_search(spark, base, "m", asked, 4)._jdf.queryExecution().executedPlan().toString()
+    # Blocks stay: what moves are hits on their way to the final ranks.
+    assert plan.count("Exchange") == 1 and "hashpartitioning(qid" in plan
+
+
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_segments(spark, base):
+    rng = np.random.default_rng(8)
+    schema = "pid long, feature int, weight double"
+
+    def some(pids):
+        return [(int(p), int(f), float(rng.normal())) for p in pids for f in rng.choice(200, 6, replace=False)]
+
+    q = [(i, int(f), float(rng.normal())) for i in range(15) for f in rng.choice(200, 9, replace=False)]
+    asked = spark.createDataFrame(q, "qid long, feature int, weight double")
+    live = {}
+
+    def matches():
+        rows = [r for held in live.values() for r in held]
+        assert hits_of(sparse.sparse_index_search(spark, base, "m", asked, 5)) == brute_sparse(q, rows, 5)
+        assert sorted(map(tuple, sparse.sparse_index_open(spark, base, "m").collect())) == sorted(rows)
+
+    def put(rows, **options):
+        for p in {r[0] for r in rows}:
+            live[p] = [r for r in rows if r[0] == p]
+        sparse.sparse_index_add(spark, base, "m", spark.createDataFrame(rows, schema), **options)
+
+    put(some(range(4_000)))
+    before = folder_bytes(base)
+    for turn in range(3):
+        put(some([turn, 50, 51, 30_000 + turn]))
+    grown = folder_bytes(base) - before
+    # What an addition writes follows the batch: as much for an index of a tenth of the size.
+    small = spark.createDataFrame(some(range(400)), schema)
+    sparse.sparse_index_create(spark, f"{base}/other", "m", small)
+    before = folder_bytes(f"{base}/other")
+    for turn in range(3):
+        sparse.sparse_index_add(spark, f"{base}/other", "m", spark.createDataFrame(some([turn, 50, 51, 30_000 + turn]), schema), merge=False)
+    assert grown < 1.2 * (folder_bytes(f"{base}/other") - before)
+    matches()
+    old = sparse_index.newest_version(spark, base, "m")
+    put(some([7, 30_001]))  # the fourth small segment: the small ones are merged
+    newest = sparse_index.newest_version(spark, base, "m")
+    assert len(old.segments) == 4 and len(newest.segments) == 2 and max(s.postings for s in newest.segments) == 24_000
+    matches()
+    put(some([7, 9]))
+    sparse.sparse_index_compact(spark, base, "m", everything=True)
+    newest = sparse_index.newest_version(spark, base, "m")
+    assert len(newest.segments) == 1 and newest.deletes == [] and newest.segments[0].documents == len(live)
+    matches()
+
+
+def test_wide_documents_are_replaced(spark, base, monkeypatch):
+    patch_sizes(monkeypatch, HEAVY_POSTINGS=10, BLOCK_POSTINGS=8)
+    schema = "pid long, feature int, weight double"
+    wide = [(1, f, 1.0) for f in range(40)] + [(2, f, 2.0) for f in range(3)]
+    sparse.sparse_index_create(spark, base, "m", spark.createDataFrame(wide, schema))
+    assert sparse.sparse_index_statistics(spark, base, "m") == (43, 40)
+    asked = spark.createDataFrame([(5, f, 1.0) for f in range(40)], "qid long, feature int, weight double")
+    assert hits_of(sparse.sparse_index_search(spark, base, "m", asked, 3)) == [(5, 1, 1, 40.0), (5, 2, 2, 6.0)]
+    sparse.sparse_index_add(spark, base, "m", spark.createDataFrame([(1, 0, 7.0)], schema))
+    assert hits_of(sparse.sparse_index_search(spark, base, "m", asked, 3)) == [(5, 1, 1, 7.0), (5, 2, 2, 6.0)]
+
+
 def test_sparse_query_without_shared_feature_has_no_rows(spark):
     index = spark.createDataFrame([(1, 7, 1.0)], "pid long, feature int, weight double")
     asked = spark.createDataFrame([(5, 8, 1.0), (6, 7, -2.0)], "qid long, feature int, weight double")
