@@ -195,23 +195,23 @@ def test_segments(spark, base):
             live[p] = [r for r in rows if r[0] == p]
         sparse.sparse_index_add(spark, base, "m", spark.createDataFrame(rows, schema), **options)
 
-    put(some(range(4_000)))
+    put(some(range(8_000)))
     before = folder_bytes(base)
     for turn in range(3):
         put(some([turn, 50, 51, 30_000 + turn]))
     grown = folder_bytes(base) - before
-    # What an addition writes follows the batch: as much for an index of a tenth of the size.
+    # What an addition writes follows the batch: as much for an index of a twentieth of the size.
     small = spark.createDataFrame(some(range(400)), schema)
     sparse.sparse_index_create(spark, f"{base}/other", "m", small)
     before = folder_bytes(f"{base}/other")
     for turn in range(3):
         sparse.sparse_index_add(spark, f"{base}/other", "m", spark.createDataFrame(some([turn, 50, 51, 30_000 + turn]), schema), merge=False)
-    assert grown < 1.2 * (folder_bytes(f"{base}/other") - before)
+    assert grown < 1.5 * (folder_bytes(f"{base}/other") - before)
     matches()
     old = sparse_index.newest_version(spark, base, "m")
     put(some([7, 30_001]))  # the fourth small segment: the small ones are merged
     newest = sparse_index.newest_version(spark, base, "m")
-    assert len(old.segments) == 4 and len(newest.segments) == 2 and max(s.postings for s in newest.segments) == 24_000
+    assert len(old.segments) == 4 and len(newest.segments) == 2 and max(s.postings for s in newest.segments) == 48_000
     matches()
     put(some([7, 9]))
     sparse.sparse_index_compact(spark, base, "m", everything=True)
