@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+from sparsight.functions import permutation
 from sparsight.functions.text import INSTRUCTIONS, MAX_TOKENS
 from sparsight.plans.evaluate import CUTOFFS, R_MULTIPLES, RECALL_LEVELS, SUCCESS_CUTOFFS
 from sparsight.plans.retrieval import config_name, feedback_grid
@@ -460,6 +461,28 @@ def _hashed_words(source: str, key: str, text: str) -> str:
         LEFT JOIN counts c ON c.{key} = d.{key} AND c.dim = r.dim LEFT JOIN norms m ON m.{key} = d.{key}"""
 
 
+def _shuffled_batches(source: str, size: int) -> str:
+    """Batches of (o_orderkey, row_idx) after the keyed permutation of row_idx, walked round by round."""
+    added = _mixed_sql("y", f"{permutation.round_keys(SEED)}[i % {permutation.ROUNDS} + 1]")
+    return f"""WITH RECURSIVE o AS MATERIALIZED ({source}),
+        c AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS root FROM o),
+        g AS (SELECT n, min(a) AS a FROM c, generate_series(root, root + 100000) AS s(a)
+              WHERE a * ((n + a - 1) // a) - n <= {permutation.SPARE} GROUP BY n),
+        k AS (SELECT n, a, (n + a - 1) // a AS b FROM g),
+        w AS (SELECT row_idx, row_idx // b AS x, row_idx % b AS y, a AS mx, b AS my, 0 AS i FROM o, k
+              UNION ALL SELECT row_idx, y, (x + {added}) % mx, my, mx, i + 1 FROM w, k
+              WHERE i = 0 OR i % {permutation.ROUNDS} <> 0 OR x * b + y >= n)
+        SELECT o_orderkey, (x * b + y) // {size} AS batch_id FROM w JOIN o USING (row_idx), k
+        WHERE i > 0 AND i % {permutation.ROUNDS} = 0 AND x * b + y < n"""
+
+
+def _mixed_sql(value: str, key: str) -> str:
+    x = f"(({value} * {permutation.FIRST} + {key}) % {permutation.RANGE})"
+    x = f"xor({x}, {x} >> {permutation.SHIFTS[0]})"
+    x = f"(({x} * {permutation.SECOND} + {key}) % {permutation.RANGE})"
+    return f"xor({x}, {x} >> {permutation.SHIFTS[1]})"
+
+
 def statements() -> dict[str, str]:
     hit_rows = HITS + "hits"
     judged_rows = """SELECT config, run.qid, run.pid, rank, rel,
@@ -527,8 +550,7 @@ def statements() -> dict[str, str]:
         "zip_ids_vectors": f"""SELECT v.row_idx, d.pid, dim, value FROM ({_rows(f'({INDEXED_VECTORS})', 'row_idx')}) v
             JOIN ({INDEXED_DOCUMENTS}) d USING (row_idx)""",
         "assign_batches": f"SELECT o_orderkey, row_idx // 512 AS batch_id FROM ({INDEXED_ORDERS})",
-        "assign_batches_shuffled": f"""SELECT o_orderkey, (row_number() OVER
-            (ORDER BY md5('{SEED}:' || row_idx), row_idx) - 1) // 512 AS batch_id FROM ({INDEXED_ORDERS})""",
+        "assign_batches_shuffled": _shuffled_batches(INDEXED_ORDERS, 512),
         "head_batch": f"SELECT * FROM ({INDEXED_DOCUMENTS}) ORDER BY row_idx LIMIT 8",
         "positive_only": """SELECT c_custkey AS id, c_nationkey AS feature, c_acctbal AS weight FROM customer
             WHERE c_acctbal > 0""",

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsight.functions.permutation import permuted
 from sparsight.operators.skew import split_join
 from sparsight.storage import materialize
 
@@ -80,15 +81,16 @@ def assign_batches(
 ) -> DataFrame:
     """Consecutive batches of ``size`` rows by ``position``; the last may be short.
 
-    With ``shuffle`` the rows are first put in a repeatable hashed order.
+    With ``shuffle`` a row's place is first permuted by a keyed permutation of the positions, which must
+    then be 0, 1, …; no row moves, and a row's batch can be told from its number alone.
     """
-    if not shuffle:
-        return df.withColumn("batch_id", F.call_function("div", F.col(position), F.lit(size)).cast("bigint"))
-    order = [F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(position).cast("string"))), F.col(position)]
-    placed = with_ordered_index(df, order, "_turn")
-    return placed.withColumn(
-        "batch_id", F.call_function("div", F.col("_turn"), F.lit(size)).cast("bigint")
-    ).drop("_turn")
+    place = F.col(position)
+    if shuffle:
+        rows, least, most = df.agg(F.count(position), F.min(position), F.max(position)).first()
+        if rows and (least != 0 or most != rows - 1):
+            raise ValueError(f"{rows} rows have positions from {least} to {most}: number them before shuffling")
+        place = permuted(place, rows, seed)
+    return df.withColumn("batch_id", F.call_function("div", place, F.lit(size)).cast("bigint"))
 
 
 def head_batch(df: DataFrame, n: int, position: str = "row_idx") -> DataFrame:

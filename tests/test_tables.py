@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparsight import storage
 from sparsight.functions import columns as C
+from sparsight.functions import permutation
 from sparsight.operators import addressing as R
 from sparsight.sources import tables, text_files, vector_shards
 
@@ -73,6 +74,28 @@ def test_shuffled_batches_are_a_permutation(spark):
     assert sizes == {**{b: 64 for b in range(15)}, 15: 40}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 97, 1000, 99_991])
+def test_permutation_is_a_bijection(spark, n):
+    a, b = permutation.grid(n)
+    assert n <= a * b <= n + permutation.SPARE
+    df = spark.range(n, numPartitions=3)
+    places = [r[0] for r in df.select(permutation.permuted(F.col("id"), n, 5)).collect()]
+    assert sorted(places) == list(range(n))
+    if n >= 1000:
+        # Neighbours part, and no number keeps its place more often than by chance.
+        steps = np.abs(np.diff(places))
+        assert np.mean(steps) == pytest.approx(n / 3, rel=0.1) and np.mean(np.array(places) == np.arange(n)) < 0.01
+    assert places != [r[0] for r in df.select(permutation.permuted(F.col("id"), n, 6)).collect()] or n < 64
+
+
+def test_shuffled_batches_move_no_row(spark):
+    df = spark.range(1000).withColumnRenamed("id", "row_idx")
+    assert "Exchange" not in R.assign_batches(df, 64, True, 3)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        R.assign_batches(df.filter("row_idx > 3"), 64, True, 3)
+    assert R.assign_batches(df.limit(0), 64, True, 3).count() == 0
+
+
 def test_head_and_lookup_and_zip(spark):
     ids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "row_idx long, pid string")
     vecs = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "row_idx long, vec array<double>")
