@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,26 +146,37 @@ def scan_fit_history(spark: SparkSession, base: str, name: str) -> DataFrame:
 def write_model(snapshot: DataFrame, state: DataFrame, base: str, name: str, mode: str, epoch: int) -> None:
     """Save a snapshot and its one-row fit state under ``last`` or ``best``.
 
-    A new folder is written first; the pointer row that names it is appended
-    last, so a reader never meets a half-written model.
+    Every save has a folder of its own, also one of an epoch that was saved before; the pointer row that
+    names it is appended last, so a reader never meets a half-written model, a stopped save leaves the
+    model before it, and a snapshot may be saved that was made from the stored one.
     """
     root = f"{base}/model/{name}"
-    folder = f"{root}/epochs/{mode}-{epoch:06d}"
-    snapshot.write.mode("overwrite").parquet(f"{folder}/weights")
-    state.write.mode("overwrite").parquet(f"{folder}/state")
-    pointer = snapshot.sparkSession.range(1).select(F.lit(epoch).alias("epoch"), F.lit(folder).alias("folder"))
+    folder = f"{root}/epochs/{mode}-{epoch:06d}-{uuid.uuid4().hex[:12]}"
+    snapshot.write.parquet(f"{folder}/weights")
+    state.write.parquet(f"{folder}/state")
+    spark = snapshot.sparkSession
+    newest = _newest_model(spark, base, name, mode)
+    turn = newest.turn + 1 if newest is not None else 0
+    pointer = spark.range(1).select(
+        F.lit(epoch).alias("epoch"), F.lit(turn).cast("bigint").alias("turn"), F.lit(folder).alias("folder")
+    )
     pointer.write.mode("append").parquet(f"{root}/{mode}")
 
 
+def _newest_model(spark: SparkSession, base: str, name: str, mode: str):
+    """The pointer of the newest epoch, and of its saves the last one."""
+    try:
+        pointers = spark.read.schema("epoch int, turn bigint, folder string").parquet(f"{base}/model/{name}/{mode}")
+    except AnalysisException:
+        return None
+    return pointers.select("epoch", F.coalesce("turn", F.lit(-1)).alias("turn"), "folder").orderBy(F.desc("epoch"), F.desc("turn")).first()
+
+
 def scan_model(spark: SparkSession, base: str, name: str, mode: str) -> tuple[DataFrame, DataFrame] | None:
     """Snapshot and fit state of the newest ``last`` or ``best``, None when there is none."""
     if mode not in ("last", "best"):
         raise ValueError(f"unknown mode {mode!r}")
-    try:
-        pointers = spark.read.parquet(f"{base}/model/{name}/{mode}")
-    except AnalysisException:
-        return None
-    newest = pointers.orderBy(F.col("epoch").desc()).first()
+    newest = _newest_model(spark, base, name, mode)
     if newest is None:
         return None
     return spark.read.parquet(f"{newest.folder}/weights"), spark.read.parquet(f"{newest.folder}/state")

@@ -127,10 +127,15 @@ def export_vector_shards(vectors: DataFrame, shards: int, folder: str) -> DataFr
                 attempt = f"{inner}/_{shard:08d}.{TaskContext.get().taskAttemptId()}"
                 sink = filesystem.open_output_stream(attempt)
                 sink.write(head.getvalue())
+            places = batch.column("off").to_numpy()
+            if (places != np.arange(rows, rows + len(values))).any():
+                raise ValueError(f"the rows of shard {shard} are not numbered from 0 without gaps")
             sink.write(values.astype("<f4").tobytes())
             rows += len(values)
         if sink is not None:
             sink.close()
+            if rows != shape[0]:
+                raise ValueError(f"shard {shard} has {rows} rows, its header says {shape[0]}")
             filesystem.move(attempt, f"{inner}/{shard:08d}.npy")
             yield pa.RecordBatch.from_pydict({"file": [f"{shard:08d}.npy"], "rows": [rows]})
 

@@ -218,3 +218,23 @@ def test_shared_folder_comes_from_the_session(spark):
         assert storage.shared_dir(spark) == named.rstrip("/")
     assert storage.fresh_path(spark, "x") != storage.fresh_path(spark, "x")
     assert storage.materialize(spark.range(5), "five").count() == 5
+
+
+def test_a_model_saved_from_itself_again_and_again(spark, base):
+    schema = "feature int, w double"
+    tables.write_model(spark.createDataFrame([(0, 1.0)], schema), spark.createDataFrame([(3,)], "epoch int"), base, "m", "best", 3)
+    for turn in range(2):  # the same epoch, from the stored snapshot
+        stored = tables.scan_model(spark, base, "m", "best")[0]
+        tables.write_model(stored.withColumn("w", F.col("w") * 2), spark.createDataFrame([(3,)], "epoch int"), base, "m", "best", 3)
+    assert [tuple(r) for r in tables.scan_model(spark, base, "m", "best")[0].collect()] == [(0, 4.0)]
+    broken = spark.range(1).selectExpr("0 AS feature", "raise_error('stop') AS w")
+    with pytest.raises(Exception, match="stop"):
+        tables.write_model(broken, spark.createDataFrame([(3,)], "epoch int"), base, "m", "best", 3)
+    assert tables.scan_model(spark, base, "m", "best")[0].first().w == 4.0
+
+
+@pytest.mark.parametrize("places", [[0, 1, 3], [0, 0, 1], [1, 2, 3]])
+def test_export_refuses_numbers_with_gaps(spark, base, places):
+    rows = spark.createDataFrame([(p, [1.0, 2.0]) for p in places], "row_idx long, vec array<double>")
+    with pytest.raises(Exception, match="rows of shard|its header says"):
+        vector_shards.export_vector_shards(rows, 1, f"{base}/shards").collect()
