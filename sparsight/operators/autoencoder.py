@@ -35,8 +35,9 @@ from sparsight.storage import materialize
 
 # Largest model, in bytes of encoder plus decoder, that is broadcast by default.
 BROADCAST_BYTES = 256 * 1024 * 1024
-# Leaves of the tree in which decoded vectors are added up; a power of two.
-SUM_LEAVES = 16
+# Decoded vectors are added up in a binary tree over codes of this many bits; a code is a feature times
+# an odd number, so features have different codes and spread evenly over the tree.
+CODE_BITS, CODE_FACTOR = 32, 2_654_435_769
 # Bytes of one activation, and of one code, in a cell.
 ACTIVATION_BYTES, CODE_BYTES = 24, 24
 
@@ -117,36 +118,56 @@ class ModelArrays:
         return decode_rows(n, rows, cols, values, self.w_dec, self.feature) + self.b_dec
 
 
+def tree_sums(n: int, rows: np.ndarray, codes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Σ of the parts of each row along the binary tree over codes; entries are in (row, code) order.
+
+    Two parts are added where their codes part ways, deeper ones first.  Which parts meet where depends on
+    the codes alone, so the sums of any branches, added up in the tree above them, have the same bits.
+    ``parts`` is used up.
+    """
+    out = np.zeros((n, parts.shape[1]))
+    held = np.arange(len(rows))
+    while True:
+        # The bit in which neighbours of one row differ first; the deepest such bits are merged next.
+        same = np.flatnonzero(rows[held[1:]] == rows[held[:-1]])
+        if not len(same):
+            break
+        differ = codes[held[same]] ^ codes[held[same + 1]]
+        bit = np.frexp(differ.astype(np.float64))[1]
+        # Of a run of neighbours only those merge now whose bit is below the bits on both sides.
+        before, after = np.full(len(same), 99), np.full(len(same), 99)
+        touching = same[1:] == same[:-1] + 1
+        before[1:][touching], after[:-1][touching] = bit[:-1][touching], bit[1:][touching]
+        now = same[(bit < before) & (bit < after)]
+        parts[held[now]] += parts[held[now + 1]]
+        left = np.ones(len(held), bool)
+        left[now + 1] = False
+        held = held[left]
+    out[rows[held]] = parts[held]
+    return out
+
+
 def decode_rows(
-    n: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, w_dec: np.ndarray, feature: np.ndarray,
-    first_leaf: int = 0, leaves: int = SUM_LEAVES,
+    n: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, w_dec: np.ndarray, feature: np.ndarray
 ) -> np.ndarray:
-    """Σ value · decoder column per row, given in (row, feature) order.
+    """Σ value · decoder column per row, added up in the tree over the features' codes.
 
-    A feature belongs to leaf ``feature mod SUM_LEAVES``.  Leaves are added up in feature order,
-    then two by two in a fixed tree, so a run of leaves gives the same bits wherever it is added.
+    Entries have ascending rows; a row has each feature once.
     """
     dim = w_dec.shape[1]
     out = np.zeros((n, dim))
-    leaf = feature[cols] % SUM_LEAVES - first_leaf
-    step = max(1, SCRATCH // max(leaves * dim, 1))
-    edges = np.searchsorted(rows, np.arange(0, n + step, step))
-    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-        start = part * step
-        size = min(step, n - start)
-        place = (rows[a:b] - start) * leaves + leaf[a:b]
-        order = np.argsort(place, kind="stable")
-        place, now_cols, now_values = place[order], cols[a:b][order], values[a:b][order]
-        counts = np.bincount(place, minlength=size * leaves)
-        turn = np.arange(len(place)) - (np.cumsum(counts) - counts)[place]
-        sums = np.zeros((size * leaves, dim))
-        for t in range(int(counts.max()) if len(counts) else 0):
-            at = np.flatnonzero(turn == t)
-            sums[place[at]] += now_values[at, None] * w_dec[now_cols[at]]
-        sums = sums.reshape(size, leaves, dim)
-        while sums.shape[1] > 1:
-            sums = sums[:, 0::2] + sums[:, 1::2]
-        out[start : start + size] = sums[:, 0]
+    codes = feature[cols].astype(np.int64) * CODE_FACTOR % (1 << CODE_BITS)
+    order = np.lexsort((codes, rows))
+    rows, cols, values, codes = rows[order], cols[order], values[order], codes[order]
+    counts = np.cumsum(np.bincount(rows, minlength=n))
+    start = 0
+    while start < n:
+        # Rows whose parts fit the scratch size, one at least.
+        done = counts[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(counts, done + SCRATCH // max(dim, 1), side="right")))
+        at = slice(done, counts[stop - 1])
+        out[start:stop] = tree_sums(stop - start, rows[at] - start, codes[at], values[at, None] * w_dec[cols[at]])
+        start = stop
     return out
 
 
@@ -266,10 +287,9 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
         postings.select(*names, F.col("feature").cast("int").alias("feature"), "weight")
     )
     rhs = model.weights.select(F.col("feature").alias("w_feature"), "w_dec")
-    # Blocks are whole branches of the sum tree.
-    feature_blocks = 1 << (blocks_for(model.size, 8 * model.dim) - 1).bit_length()
-    feature_blocks = min(feature_blocks, SUM_LEAVES)
-    leaves = SUM_LEAVES // feature_blocks
+    # Blocks are whole branches of the tree of sums.
+    bits = (blocks_for(model.size, 8 * model.dim) - 1).bit_length()
+    feature_blocks = 1 << bits
     rows, codes = lhs.agg(F.count_if(F.col("feature") < 0), F.count("*")).first()
     row_blocks = max(
         left_blocks_for(
@@ -297,10 +317,8 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
         real = np.flatnonzero(feature >= 0)
         cols = np.searchsorted(rhs["w_feature"].to_numpy(), feature[real])
         held = rhs["w_feature"].to_numpy()
-        block = int(held[0] % SUM_LEAVES) // leaves if len(held) else 0
-        out = decode_rows(
-            count, rows[real], cols, weight[real], matrix(rhs["w_dec"]).reshape(-1, len(bias)), held, block * leaves, leaves
-        )
+        block = (int(held[0]) * CODE_FACTOR % (1 << CODE_BITS)) >> (CODE_BITS - bits) if len(held) else 0
+        out = decode_rows(count, rows[real], cols, weight[real], matrix(rhs["w_dec"]).reshape(-1, len(bias)), held)
         if feature_blocks == 1:
             return pa.table([*groups.columns, list_array(out + bias)], names=[*names, "vec"])
         number = pa.array(np.full(count, block, np.int32))
@@ -309,8 +327,8 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
     schema = ", ".join([*_key_fields(ids, names), "vec array<double>", *(["block int"] if feature_blocks > 1 else [])])
 
     def branch(feature: str) -> Column:
-        leaf = F.pmod(F.col(feature), F.lit(SUM_LEAVES))
-        return F.when(F.col(feature) < 0, 0).otherwise(F.call_function("div", leaf, F.lit(leaves))).cast("int")
+        code = F.pmod(F.col(feature).cast("bigint") * CODE_FACTOR, F.lit(1 << CODE_BITS))
+        return F.when(F.col(feature) < 0, 0).otherwise(F.shiftright(code, CODE_BITS - bits)).cast("int")
 
     partial = cogroup_cells(
         lhs, rhs,
@@ -320,23 +338,20 @@ def decode(postings: DataFrame, model: SparseModel, ids: DataFrame, keys: Sequen
     )
     if feature_blocks == 1:
         return partial
-    # At most one partial vector per feature block and id; the upper branches of the tree are added here.
-    sums = partial.groupBy(*names).agg(
-        F.map_from_entries(F.collect_list(F.struct("block", "vec"))).alias("parts")
-    )
-    nothing = F.array_repeat(F.lit(0.0), model.dim)
-    sums = sums.select(*names, F.transform(
-        F.sequence(F.lit(0), F.lit(feature_blocks - 1)), lambda b: F.coalesce(F.try_element_at("parts", b), nothing)
-    ).alias("parts"))
-    parts = feature_blocks
-    while parts > 1:
-        parts //= 2
-        sums = sums.select(*names, F.transform(
-            F.sequence(F.lit(0), F.lit(parts - 1)),
-            lambda i: F.zip_with(F.get("parts", i * 2), F.get("parts", i * 2 + 1), lambda a, b: a + b),
-        ).alias("parts"))
-    total = F.zip_with(F.get("parts", F.lit(0)), F.lit(list(model.b_dec)), lambda a, b: a + b)
-    return sums.select(*names, total.alias("vec"))
+    # At most one partial vector per feature block, and per feature, of an id; the tree above the blocks is added here.
+    parts = F.sort_array(F.collect_list(F.struct("block", "vec")))
+    sums = partial.groupBy(*names).agg(parts.alias("parts")).select(*names, F.col("parts.block").alias("block"), F.col("parts.vec").alias("vec"))
+
+    def merged(stream):
+        for batch in stream:
+            n = batch.num_rows
+            if n:
+                lengths = batch.column("block").value_lengths().to_numpy(zero_copy_only=False)
+                blocks = batch.column("block").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                total = tree_sums(n, np.repeat(np.arange(n), lengths), blocks, matrix(batch.column("vec").flatten()).copy())
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, list_array(total + bias)], names=[*names, "vec"])
+
+    return sums.mapInArrow(merged, ", ".join([*_key_fields(ids, names), "vec array<double>"]))
 
 
 def reconstruct(vectors: DataFrame, model: SparseModel, k: int, keys: Sequence[str]) -> DataFrame:

@@ -159,3 +159,45 @@ def test_decode_gives_the_same_bits_in_any_number_of_blocks(spark, monkeypatch):
         cut = ae.SparseModel.of(weights, bias, 0)
         assert sorted(map(tuple, ae.decode(codes, cut, vectors, ["id"]).collect())) == kept
         assert sorted(map(tuple, ae.reconstruct(vectors, cut, 50, ["id"]).collect())) == kept
+
+
+def nested_sum(entries, bit=ae.CODE_BITS - 1):
+    """Σ along the binary tree of codes, by its definition."""
+    if not entries:
+        return None
+    if len(entries) == 1:
+        return entries[0][1]
+    low = nested_sum([e for e in entries if not e[0] >> bit & 1], bit - 1)
+    high = nested_sum([e for e in entries if e[0] >> bit & 1], bit - 1)
+    return high if low is None else low if high is None else low + high
+
+
+def test_tree_sums_follow_their_definition():
+    rng = np.random.default_rng(7)
+    rows, codes = np.sort(rng.integers(0, 30, 400)), rng.choice(1 << 32, 400, replace=False)
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    parts = rng.normal(size=(400, 3))
+    got = ae.tree_sums(31, rows, codes, parts.copy())
+    for r in range(31):
+        at = np.flatnonzero(rows == r)
+        wanted = nested_sum([(int(codes[i]), parts[i]) for i in at])
+        np.testing.assert_array_equal(got[r], np.zeros(3) if wanted is None else wanted)
+
+
+@pytest.mark.parametrize("block_bytes", [blocks.BLOCK_BYTES, 4000, 800])
+def test_decoding_has_the_same_bits_in_any_number_of_blocks(spark, monkeypatch, block_bytes):
+    # Features that are all multiples of 16 still spread over the blocks.
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(3)
+    weights = [(16 * f, [0.0] * 8, 0.0, rng.normal(size=8).tolist()) for f in range(500)]
+    frame = spark.createDataFrame(weights, "feature int, w_enc array<double>, b_enc double, w_dec array<double>")
+    model = ae.SparseModel.of(frame, spark.createDataFrame([([0.5] * 8,)], "b_dec array<double>"))
+    chosen = [(i, f, float(rng.normal())) for i in range(40) for f in sorted(rng.choice(500, 20, replace=False).tolist())]
+    postings = spark.createDataFrame([(i, 16 * f, w) for i, f, w in chosen], "id long, feature int, weight double")
+    got = {r["id"]: r.vec for r in ae.decode(postings, model, spark.range(41), ["id"]).collect()}
+    w = {f: np.array(d) for f, _, _, d in weights}
+    for i in range(41):
+        entries = [(16 * f * ae.CODE_FACTOR % (1 << 32), v * w[16 * f]) for j, f, v in chosen if j == i]
+        wanted = nested_sum(entries) if entries else np.zeros(8)
+        assert got[i] == (wanted + 0.5).tolist()
