@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from sparsight.llm import common
 from sparsight.llm import line_dedup as L
 from sparsight.llm import quality_rules as Q
 
@@ -50,6 +52,32 @@ def test_dedup_of_a_very_common_line(spark):
     assert digest(got) == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("hot", [L.HOT_DOCS, 20])
+def test_more_shared_lines_than_may_be_sent(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "SEND_BYTES", 0)
+    monkeypatch.setattr(L, "HOT_DOCS", hot)
+    shared = [f"line {j} stands in a good many of the documents of this test" for j in range(9)]
+    rows = [(i, "\n".join([f"own {i}", *[s for j, s in enumerate(shared) if i % (j + 1) == 0], f"end {i}"])) for i in range(90)]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), report=True)
+    assert digest(got) == brute_dedup(rows)
+
+
+def test_first_lines_are_streamed_from_sorted_runs(spark):
+    rows = [(i, i % 7, 3, j, j % 4, 0) for i in range(50) for j in range(9)]
+    lines = spark.createDataFrame(rows, "doc_id bigint, text_key bigint, n_lines int, pos int, h1 bigint, h2 bigint")
+    firsts = L.first_lines(lines)
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" in plan and "Window [" in plan and "rangepartitioning" in plan
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, firsts.collect())) == sorted({(h1, h2, i) for i, _, _, _, h1, h2 in rows})
+
+
+def test_kept_runs_are_the_rest(spark):
+    frame = spark.createDataFrame([([0, 1, 4], 6), ([2], 3), ([0, 1], 2), ([1], 4)], "p array<int>, n int")
+    got = [[tuple(x) for x in r[0]] for r in frame.select(L.kept_runs(L.runs_of_places(F.col("p")), F.col("n"))).collect()]
+    assert got == [[(2, 2), (5, 1)], [(0, 2)], [], [(0, 1), (2, 2)]]
+
+
 def test_dedup_of_nothing(no_docs):
     assert L.dedup_lines(no_docs, report=True).count() == 0
 
