@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparsight.operators.skew import split_join
 from sparsight.storage import materialize
 
 
@@ -17,8 +18,9 @@ def connected(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it reaches) of every node of ``edges`` (a, b) with a link to another.
 
     Large-star and small-star steps in turn until nothing changes: each links a node's neighbours
-    to the smallest of them, by a grouped minimum (summed up before it moves) and a join, so that
-    no neighbourhood is ever gathered in one place.  Every round is a written table.
+    to the smallest of them, by a grouped minimum (summed up before it moves) and a join that splits the
+    rows of centres with many neighbours, so that no neighbourhood is ever gathered in one place.  Every
+    round is a written table.
     """
     stars = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars = materialize(stars, "links")
@@ -26,9 +28,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = split_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = split_join(large, least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
         after = _signature(stars)
         if after == before:

@@ -6,8 +6,10 @@ import re
 
 #: Letters that stay one letter when lower-cased; a run of them is one piece for the tokenizer.
 PLAIN_WORD = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
-#: Cached words in a worker; the cache starts anew when it is full.
-CACHE_WORDS = 600_000
+#: Cached words in a worker, and bytes a cached word may take on average; the cache starts anew when either is used up.
+CACHE_WORDS, WORD_BYTES = 600_000, 220
+#: Bytes of the longest word that is kept beyond the call it occurs in, and of a cache entry besides word and ids.
+LONGEST_WORD, ENTRY_BYTES = 64, 170
 
 
 class WordTokens:
@@ -32,6 +34,7 @@ class WordTokens:
             self.ends[at] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
         self.most = CACHE_WORDS
+        self.bytes = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -39,7 +42,8 @@ class WordTokens:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> set[bytes]:
+        """Ids of unseen words; returns all words that are known since."""
         import numpy as np
 
         plain, other = [], []
@@ -70,27 +74,35 @@ class WordTokens:
         rest = [(w, t) for w, t in other if w not in done]
         for (word, _), ids in zip(rest, self.ids([t for _, t in rest])):
             self.known[word] = ids
+        return words | {word for word, _ in stems}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         words = [t.lower().split() for t in texts]
-        if len(self.known) > min(self.most, CACHE_WORDS):
+        most = min(self.most, CACHE_WORDS)
+        if len(self.known) > most or self.bytes > most * WORD_BYTES:
             self.known.clear()
+            self.bytes = 0
         unseen: set[bytes] = set()
         for some in words:
             unseen.update(some)
         unseen.difference_update(self.known)
-        if unseen:
-            self.learn(unseen)
+        added = self.learn(unseen) if unseen else ()
         known = self.known.__getitem__
-        return [b"".join(map(known, some)) for some in words]
+        made = [b"".join(map(known, some)) for some in words]
+        for word in added:
+            if len(word) > LONGEST_WORD:
+                del self.known[word]
+            else:
+                self.bytes += len(word) + len(self.known[word]) + ENTRY_BYTES
+        return made
 
 
 _LOADED: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str, cache_words: int = CACHE_WORDS) -> WordTokens:
-    """One tokenizer and cache, of at most about ``cache_words``, per worker process."""
+    """One tokenizer and cache, of at most about ``cache_words`` words of WORD_BYTES bytes, per worker process."""
     if path not in _LOADED:
         _LOADED[path] = WordTokens(path)
     _LOADED[path].most = cache_words

@@ -133,3 +133,17 @@ def test_patterns_of_short_lengths():
     assert (used == counts).all()
     lengths = int((np.arange(4097) * counts).sum())
     assert sum(r for _, r in plan) <= 1.01 * lengths / 4096 + 1
+
+
+def test_the_word_cache_is_bounded_by_bytes():
+    from sparsight.llm import tokens as T
+
+    cached = T.WordTokens(P.tokenizer_path())
+    cached.most = 300
+    texts = [("漢字" * 1000 + str(i)).encode() for i in range(40)] + [" ".join(f"word{j}x{i}" for j in range(60)).encode() for i in range(60)]
+    expected = cached.ids([t.decode() for t in texts])
+    for text, ids in zip(texts, expected):
+        assert cached.encode([text]) == [ids]
+        held = sum(len(w) + len(i) + T.ENTRY_BYTES for w, i in cached.known.items())
+        # One call may add its words before the cache starts anew; long words are never held.
+        assert held == cached.bytes <= 300 * T.WORD_BYTES + 70 * 400 and all(len(w) <= T.LONGEST_WORD for w in cached.known)
