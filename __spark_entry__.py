@@ -27,6 +27,7 @@ from sparsight.functions import text as X
 from sparsight.operators import addressing as R
 from sparsight.operators import autoencoder as A
 from sparsight.operators import dense as D
+from sparsight.operators import dense_index as DX
 from sparsight.operators import fit as T
 from sparsight.operators import pairs as M
 from sparsight.operators import sparse as P
@@ -559,6 +560,28 @@ def q_dense_add(spark, sf):
     return rows6(D.dense_add(index, opposite), "row_idx", "pid")
 
 
+def stored_halves(spark, sf):
+    """A stored index of the vectors with even ids, to which those with odd ids are added; its base and first version."""
+    base, given = fresh_path(spark, "index"), materialize(table(spark, sf, "embeddings"), "embeddings")
+    parts = [
+        R.with_ordered_index(given.filter(F.col("vec_id") % 2 == i).select(F.col("vec_id").alias("pid"), F.col("embedding").alias("vec")), ["pid"])
+        for i in range(2)
+    ]
+    versions = [DX.add(spark, base, "given", part) for part in parts]
+    return base, versions[0]
+
+
+def q_dense_index_search(spark, sf):
+    base, _ = stored_halves(spark, sf)
+    return scored(DX.search(spark, base, "given", vectors(spark, sf, "qid"), TOP_K))
+
+
+def q_dense_index_snapshot(spark, sf):
+    """The version before the second addition, searched after it."""
+    base, first = stored_halves(spark, sf)
+    return scored(DX.search(spark, base, "given", vectors(spark, sf, "qid"), TOP_K, version=first))
+
+
 def q_neighbor_join(spark, sf):
     return scored(neighbors(spark, sf))
 

@@ -587,6 +587,10 @@ def statements() -> dict[str, str]:
         # search
         "dense_topk": _with(*NEAREST) + HITS + "near",
         "dense_topk_sharded": _with(*NEAREST) + HITS + "near",
+        "dense_index_search": _with(*NEAREST) + f"""SELECT qid, row_idx, pid, {_r6('score')} AS score, rank FROM near JOIN
+            (SELECT vec_id AS pid, row_number() OVER (ORDER BY vec_id % 2, vec_id) - 1 AS row_idx FROM embeddings) USING (pid)""",
+        "dense_index_snapshot": _with(VECTORS, _search("v", "(SELECT * FROM v WHERE id % 2 = 0)", "near", TOP_K)) + f"""
+            SELECT qid, pid // 2 AS row_idx, pid, {_r6('score')} AS score, rank FROM near""",
         "dense_add": f"""SELECT * FROM ({_rows(f'({INDEXED_VECTORS})', 'row_idx, pid')}) UNION ALL
             SELECT row_idx + (SELECT count(*) FROM embeddings), '-' || pid, dim, -value + 0.0::DOUBLE
             FROM ({_rows(f'({INDEXED_VECTORS})', 'row_idx, pid')})""",

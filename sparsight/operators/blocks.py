@@ -192,6 +192,39 @@ def top_products(x: np.ndarray, y: np.ndarray, bias: np.ndarray | None, k: int):
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+class BestHits:
+    """The k best hits so far of each of n rows, best first, ties by the smaller key.
+
+    ``edge`` is the k-th best score of a row, minus infinity before it has k hits: what is below it is no hit.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.edge = np.full(n, -np.inf)
+        self.table: pa.Table | None = None
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, **columns) -> None:
+        """Takes new hits in (``key`` and any further columns); only rows that have some are sorted again."""
+        kept = ~(scores < self.edge[rows])
+        if not kept.any():
+            return
+        fresh = pa.table({"row": rows, "score": scores, **columns}).filter(pa.array(kept))
+        rest = None
+        if self.table is not None:
+            touched = np.zeros(self.n, bool)
+            touched[rows[kept]] = True
+            mine = touched[self.table["row"].to_numpy()]
+            rest = self.table.filter(pa.array(~mine))
+            fresh = pa.concat_tables([self.table.filter(pa.array(mine)), fresh])
+        fresh = fresh.sort_by([("row", "ascending"), ("score", "descending"), ("key", "ascending")])
+        row = fresh["row"].to_numpy()
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        fresh = fresh.filter(pa.array(place < self.k))
+        last = place == self.k - 1
+        self.edge[row[last]] = fresh["score"].to_numpy()[place[place < self.k] == self.k - 1]
+        self.table = fresh if rest is None or not rest.num_rows else pa.concat_tables([rest, fresh])
+
+
 def vector_shape(df: DataFrame, column: str, what: str) -> tuple[int, int]:
     """Number of vectors and their width; raises on nulls and unequal widths."""
     size = F.size(F.col(column))
@@ -289,21 +322,18 @@ def _sent_topk(
 
     def best(stream):
         x, keys = sent.value
-        held = None
+        held = BestHits(len(x), k)
         for batch in stream:
             part = pa.Table.from_batches([batch]).sort_by("_y_key")
             y_bias = part["_y_bias"].to_numpy() if biased else None
             rows, cols, scores, _ = top_products(x, matrix(part["_y"]), y_bias, k)
-            found = pa.table({"row": rows, "key": part["_y_key"].take(pa.array(cols)), "score": scores})
-            held = found if held is None else pa.concat_tables([held, found])
-            held = held.sort_by([("row", "ascending"), ("score", "descending"), ("key", "ascending")])
-            row = held["row"].to_numpy()
-            first = np.searchsorted(row, row)
-            held = held.filter(pa.array(np.arange(len(row)) - first < k))
-        if held is not None and held.num_rows:
+            above = ~(scores < held.edge[rows])
+            held.add(rows[above], scores[above], key=part["_y_key"].take(pa.array(cols[above])))
+        if held.table is not None:
             names = [*left_keys, right_key, "score", "rank"]
-            rank = pa.array(np.zeros(held.num_rows, np.int32))  # given when the tasks' hits are merged
-            columns = [*keys.take(held["row"]).columns, held["key"], held["score"], rank]
+            found = held.table
+            rank = pa.array(np.zeros(found.num_rows, np.int32))  # given when the tasks' hits are merged
+            columns = [*keys.take(found["row"]).columns, found["key"], found["score"], rank]
             yield from pa.table(columns, names=names).to_batches(max_chunksize=65536)
 
     return rhs.mapInArrow(best, schema)
