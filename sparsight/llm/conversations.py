@@ -517,12 +517,12 @@ m AS (
   SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role,
          CASE c WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM d, range(2) AS k(i) WHERE c <> 0 AND (i = 0 OR c = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM m),
 w AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
          NOT regexp_matches(text, '{_SPACED}') AS blank, left(role, 1) AS initial,
          coalesce(right(regexp_extract(text, '(?s)^.*{_SPACED}'), 1), '') NOT IN ('.', '!', '?') AS open
-  FROM m),
+  FROM o),
 r AS (SELECT *, blank OR seen > 1 AS gone, NOT blank AND seen = 1 AND open AS cut,
              lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM w),
 s AS (

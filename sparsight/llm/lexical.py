@@ -497,12 +497,12 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '{_TERM}')"
 OP11_SQL = rf"""
 WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
-c AS (SELECT count(*) AS N, sum(len(t))::BIGINT AS L FROM d WHERE len(t) > 0),
+c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
 o AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM d),
 p AS (SELECT doc_id, term, n, count(*) AS tf FROM o GROUP BY ALL),
 q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
-f AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, N),
-s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * N) // L))))::BIGINT AS score
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
       FROM q JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id),
 r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= {TOP_K}
