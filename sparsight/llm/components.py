@@ -9,6 +9,10 @@ from sparsight.operators.skew import split_join
 from sparsight.storage import materialize
 
 
+#: Up to so many links a centre's neighbours are few enough for any task, and no hubs are looked for; the roots are the same.
+PLAIN_LINKS = 1_000_000
+
+
 def _signature(edges: DataFrame):
     mark = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mark), F.sum(mark % 1_000_003)).first())
@@ -26,12 +30,12 @@ def connected(edges: DataFrame) -> DataFrame:
     stars = materialize(stars, "links")
     before = _signature(stars)
     while before[0]:
+        hubs = {} if before[0] <= PLAIN_LINKS else None
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = split_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "links")
+        large = split_join(both.filter("v > u"), least, ["u"], hubs=hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = split_join(large, least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = split_join(large, least, ["u"], hubs=hubs).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
         after = _signature(stars)
         if after == before:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
+from sparsight.llm import components
 from sparsight.llm import simhash as S
 from sparsight.llm.components import connected
 
@@ -169,7 +170,9 @@ def test_null_and_repeated_ids_bring_no_rows_together(spark):
     assert sorted(kept, key=str) == sorted(expected, key=str)
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("plain", [components.PLAIN_LINKS, 0])
+def test_connected(spark, monkeypatch, plain):
+    monkeypatch.setattr(components, "PLAIN_LINKS", plain)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 201: 200, 202: 200}
