@@ -16,7 +16,7 @@ from sparsight.operators.autoencoder import (
     latent_postings,
     reconstruct,
 )
-from sparsight.operators.blocks import inner_topk
+from sparsight.operators.combined import combined_topk
 from sparsight.operators.dense import dense_topk
 from sparsight.operators.skew import split_join
 from sparsight.operators.sparse import sparse_topk
@@ -163,7 +163,7 @@ def feedback_sweep(
     The first round runs once with the most hits and features any setting asks for.
     Each (query, feature) keeps, for every number of hits in the grid, the best place
     it had among them; a setting picks the feature when that place is within its bound.
-    Each query is decoded once, and once for each pair of bounds.
+    Each query is decoded once, and once for each pair of bounds; scores of a setting come from these products.
     """
     grid = feedback_grid() if grid is None else grid
     tables = FeedbackTables(queries, passages, model, latent_k)
@@ -173,37 +173,26 @@ def feedback_sweep(
     best = [F.min(F.when(F.col("rank") <= level, F.col("place"))) for level in levels]
     places = found.groupBy("qid", "feature").agg(F.array(*best).alias("places"))
 
-    # Decoding is linear: a setting is the decoded query plus delta times its decoded union of features,
+    # Decoding and scores are linear: a setting is the decoded query plus delta times its decoded union of features,
     # and settings with the same bounds share the union.
-    deltas: dict[tuple[int, int], list[float]] = {}
-    for level, features, delta in grid:
-        deltas.setdefault((level, features), []).append(delta)
+    pairs = list(dict.fromkeys((level, features) for level, features, _ in grid))
     bounds = F.array(
         *[
             F.struct(
                 F.lit(number).alias("number"), F.lit(levels.index(level)).alias("level"), F.lit(features).alias("features")
             )
-            for number, (level, features) in enumerate(deltas)
-        ]
-    )
-    settings = F.array(
-        *[
-            F.array(
-                *[
-                    F.struct(F.lit(config_name(level, features, d)).alias("config"), F.lit(float(d)).alias("delta"))
-                    for d in of
-                ]
-            )
-            for (level, features), of in deltas.items()
+            for number, (level, features) in enumerate(pairs)
         ]
     )
     picked = places.withColumn("b", F.explode(bounds)).filter(F.col("places")[F.col("b.level")] <= F.col("b.features"))
     unions = picked.select(F.col("b.number").alias("number"), "qid", "feature", F.lit(1.0).alias("weight"))
-    ids = tables.q_hat.select("qid", F.explode(F.sequence(F.lit(0), F.lit(len(deltas) - 1))).alias("number"))
+    ids = tables.q_hat.select("qid", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("number"))
     unbiased = replace(model, b_dec=(0.0,) * model.dim)
-    steps = decode(unions, unbiased, ids, ["number", "qid"]).withColumnRenamed("vec", "step")
+    steps = decode(unions, unbiased, ids, ["number", "qid"])
+    # One vector per pair of bounds and query.
+    ordered = F.sort_array(F.collect_list(F.struct("number", "vec")))
+    each = steps.groupBy("qid").agg(ordered.alias("s")).select("qid", F.col("s.vec").alias("steps"))
     starts = reconstruct(tables.q_hat, model, latent_k, ["qid"])
-    each = steps.join(starts, "qid").select("qid", "vec", "step", F.explode(settings[F.col("number")]).alias("s"))
-    moved = F.zip_with("vec", "step", lambda x, y: x + F.col("s.delta") * y)
-    asked = _stored(each.select(F.col("s.config").alias("config"), "qid", moved.alias("vec")), "expanded")
-    return inner_topk(asked, tables.p_hat, k, ["config", "qid"], "pid", "vec", "vec")
+    asked = materialize(starts.join(each, "qid"), "starts-and-steps")
+    settings = [(config_name(level, features, d), pairs.index((level, features)), float(d)) for level, features, d in grid]
+    return combined_topk(asked, tables.p_hat, k, ["qid"], "pid", settings)
