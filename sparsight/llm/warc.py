@@ -31,6 +31,8 @@ from sparsight.storage import fresh_path, materialize
 
 MIN_REVISIT_BYTES = 1000
 FILE_BYTES, SPLIT_BYTES, READ_BYTES = 1 << 30, 16 << 20, 1 << 20
+# First bytes of a member that are fed to its decoder.
+FEED_BYTES = 4096
 GZIP_LEVEL = 4
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed by the format.
@@ -95,15 +97,19 @@ def parse_record(data: bytes) -> dict:
 
 
 def owned_records(source, start: int, end: int) -> Iterator[bytes]:
-    """The records whose members start in ``[start, end)`` of an open file."""
+    """The records whose members start in ``[start, end)`` of an open file.
+
+    What is read is kept once and looked at by position: a member is fed to the decoder in pieces that start
+    small and double, so that the bytes copied follow the bytes of the members, and of a member known to be a
+    record only what is not yet decoded is kept.
+    """
     source.seek(start)
-    held, base, over = b"", start, False
+    held, base = b"", start
 
-    def more() -> bool:
-        nonlocal held, over
+    def more(kept_from: int) -> bool:
+        nonlocal held, base
         read = source.read(READ_BYTES)
-        over = over or not read
-        held += read
+        held, base = held[kept_from - base :] + read, kept_from
         return bool(read)
 
     at = start
@@ -111,28 +117,28 @@ def owned_records(source, start: int, end: int) -> Iterator[bytes]:
         found = held.find(MAGIC, at - base)
         if found < 0:  # keep two bytes: the magic may cross a border
             at = max(at, base + len(held) - 2)
-            held, base = held[at - base :], at
-            if at >= end or not more():
+            if at >= end or not more(at):
                 return
             continue
         at = base + found
         if at >= end:
             return
-        held, base = held[at - base :], at
-        unpacker, parts, fed, known = zlib.decompressobj(31), [], 0, False
-        first = b""
+        unpacker, parts, fed, known = zlib.decompressobj(31), [], at, False
+        first, size = b"", FEED_BYTES
         while not unpacker.eof:
-            if fed == len(held) and not more():
+            if fed == base + len(held) and not more(fed if known else at):
                 if known:
                     raise EOFError(f"record at byte {at} is cut off")
                 break
+            piece = held[fed - base : fed - base + size]
             try:
-                part = unpacker.decompress(held[fed:])
+                part = unpacker.decompress(piece)
             except zlib.error:
                 if known:
                     raise
                 break
-            fed = len(held)
+            fed += len(piece)
+            size = min(2 * size, READ_BYTES)
             parts.append(part)
             if not known:
                 first += part[:16]
@@ -141,10 +147,9 @@ def owned_records(source, start: int, end: int) -> Iterator[bytes]:
                     break
         if known and unpacker.eof:
             yield b"".join(parts)
-            at += fed - len(unpacker.unused_data)
+            at = fed - len(unpacker.unused_data)
         else:
             at += 1
-        held, base = held[at - base :], at
 
 
 # --- tables -----------------------------------------------------------------

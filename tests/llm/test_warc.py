@@ -20,15 +20,36 @@ def read_all(data, split):
     return [W.parse_record(r) for s in range(0, len(data), split) for r in W.owned_records(source, s, min(s + split, len(data)))]
 
 
+@pytest.mark.parametrize("feed", [1, 7, 4096])
 @pytest.mark.parametrize("split", [1, 2, 3, 50, 777, 10**6])
-def test_every_record_has_one_owner(monkeypatch, split):
+def test_every_record_has_one_owner(monkeypatch, split, feed):
     monkeypatch.setattr(W, "READ_BYTES", 64)
+    monkeypatch.setattr(W, "FEED_BYTES", feed)
     payloads = [b"", b"x", b"<p>" + bytes(range(256)) * 20, W.MAGIC * 50, b"a" * 5000]
     got = read_all(archive(payloads), split)
     assert [g["page"] for g in got] == [str(i) for i in range(len(payloads))]
     assert [g["payload"] for g in got] == payloads
 
 
+def test_bytes_fed_follow_the_bytes_of_the_members(monkeypatch):
+    data, fed, make = archive([b"%d" % i * 100 for i in range(2000)]), [], W.zlib.decompressobj
+
+    class Counted:
+        def __init__(self, bits):
+            self.inner = make(bits)
+
+        def decompress(self, piece):
+            fed.append(len(piece))
+            return self.inner.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(W.zlib, "decompressobj", Counted)
+    assert len(read_all(data, 10**9)) == 2000
+    assert sum(fed) <= 2000 * W.FEED_BYTES + 2 * len(data)
+
+
 def test_false_magic_is_passed_over():
     data = W.MAGIC * 3 + archive([b"one"]) + W.MAGIC + gzip.compress(b"no archive record") + archive([b"two"])
     assert [g["payload"] for g in read_all(data, 40)] == [b"one", b"two"]
