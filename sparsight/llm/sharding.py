@@ -1,6 +1,7 @@
 """Shards cut from a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to ``2**bits`` levels, a row gets the index of its cell on the
+Each dimension is quantised to ``2**bits`` levels (numbers by quantiles, so that no outlying value
+empties the others' levels; keys by hash), a row gets the index of its cell on the
 Hilbert curve, the rows are ordered by that index and the order is cut into runs of equal
 counts.  Rows near each other in all dimensions share a shard, so that a reader prunes files
 by minimum and maximum of any of them.  Only ids and metadata move; texts are not shuffled.
@@ -16,10 +17,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sparsight.llm import common
 from sparsight.storage import materialize
 
+# Most bits of a level that quantiles tell apart.
+CUT_BITS = 10
+
 
 def hilbert_index(levels, bits: int):
     """Positions on the Hilbert curve of the rows of ``levels`` (rows x dimensions).
@@ -60,40 +65,50 @@ def level_of_key(column: Column, bits: int) -> Column:
     return F.when(column.isNull(), 0).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits)))
 
 
-def levels_of_numbers(df: DataFrame, numbers: Mapping[str, Column], bits: int) -> dict[str, Column]:
-    """Equal steps between the least and the largest value of each column of numbers."""
-    asked = [f(c).alias(f"{k}_{n}") for k, c in numbers.items() for n, f in (("lo", F.min), ("hi", F.max))]
+def cuts_of_numbers(df: DataFrame, numbers: Mapping[str, Column], bits: int) -> dict[str, list[float]]:
+    """Quantiles that cut each column of numbers into levels of like counts, whatever single rows hold.
+
+    One pass with mergeable summaries; at most ``2**CUT_BITS`` levels, of which further bits tell no more.
+    """
+    levels = 1 << min(bits, CUT_BITS)
+    shares = F.array(*[F.lit(i / levels) for i in range(1, levels)])
+    asked = [F.percentile_approx(c.cast("double"), shares, 40 * levels).alias(k) for k, c in numbers.items()]
     seen = df.agg(*asked).first()
-    found = {}
-    for k, c in numbers.items():
-        lo, hi = seen[f"{k}_lo"], seen[f"{k}_hi"]
-        if lo is None or hi <= lo:
-            found[k] = F.lit(0)
-            continue
-        step = (c.cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
-        found[k] = F.coalesce(F.least(F.floor(step * (1 << bits)), F.lit((1 << bits) - 1)), F.lit(0))
-    return found
-
-
-def with_hilbert(df: DataFrame, dims: Mapping[str, Column], bits: int, name: str) -> DataFrame:
-    """Adds the curve index of the levels in ``dims``; at most 63 bits in all."""
+    return {k: list(seen[k] or []) for k in numbers}
+
+
+def with_hilbert(
+    df: DataFrame, dims: Mapping[str, Column], bits: int, name: str, cuts: Mapping[str, list[float]] | None = None
+) -> DataFrame:
+    """Adds the curve index of the levels in ``dims``; at most 63 bits in all.
+
+    A dimension with ``cuts`` holds numbers, whose level is the count of cuts that they reach; null is level 0.
+    """
     if not dims or bits * len(dims) > 63:
         raise ValueError("between 1 and 63 bits of levels are needed")
+    placed = [(cuts or {}).get(k) for k in dims]
 
     @F.pandas_udf("long")
-    def index(levels):  # a Series of equally long lists
+    def index(values):  # a Series of equally long lists
         import numpy as np
         import pandas as pd
 
-        return pd.Series(hilbert_index(np.stack(levels.to_numpy()), bits) if len(levels) else [], dtype="int64")
+        if not len(values):
+            return pd.Series([], dtype="int64")
+        columns = np.stack(values.to_numpy()).T
+        levels = [
+            c if at is None else np.searchsorted(at, c, side="right") << max(bits - CUT_BITS, 0) for c, at in zip(columns, placed)
+        ]
+        return pd.Series(hilbert_index(np.stack(levels, axis=1), bits), dtype="int64")
 
-    return df.withColumn(name, index(F.array(*[c.cast("long") for c in dims.values()])))
+    lowest = F.lit(float("-inf"))
+    return df.withColumn(name, index(F.array(*[F.coalesce(c.cast("double"), lowest if k in (cuts or {}) else F.lit(0.0)) for k, c in dims.items()])))
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, bits: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law ``rows``, shard, slot, curve index of every row of ``docs``.
 
-    Dimensions: language, source, text size (logarithmic) and doc_id.  The counts of the shards
+    Dimensions: language, source, text size and doc_id (by hash where ids are no numbers).  The counts of the shards
     differ by one at most; ``slot`` is the place in the shard, in curve order.
     """
     text = common.text_bytes(F.col("text"))
@@ -105,9 +120,11 @@ def assign_shards(docs: DataFrame, shards: int = 16, bits: int = 8) -> DataFrame
         ),
         "shard-meta",
     )
-    ranges = levels_of_numbers(meta, {"size": F.log2("size"), "doc_id": F.col("doc_id")}, bits)
-    dims = {"lang": level_of_key(F.col("lang"), bits), "source": level_of_key(F.col("source"), bits), **ranges}
-    placed = with_hilbert(meta, dims, bits, "curve")
+    keys = {"lang": F.col("lang"), "source": F.col("source")}
+    numbers = {"size": F.col("size")}
+    (numbers if isinstance(meta.schema["doc_id"].dataType, NumericType) else keys)["doc_id"] = F.col("doc_id")
+    dims = {**{k: level_of_key(c, bits) for k, c in keys.items()}, **numbers}
+    placed = with_hilbert(meta, dims, bits, "curve", cuts_of_numbers(meta, numbers, bits))
     ranked, rows = common.with_rank(
         placed.select("doc_id", "size", "text_crc32", "curve"),
         ["curve", "doc_id", "text_crc32", "size"], "rank", "shard-order",

@@ -46,6 +46,23 @@ def test_shards(spark, awkward, awkward_docs, no_docs, tmp_path):
     check_shards(H.assign_shards(nulls).collect(), [(None, None)] * 20, 16)
 
 
+def test_an_outlier_leaves_the_other_levels_apart(spark):
+    docs = spark.createDataFrame([(i,) for i in [*range(1000), 10**15, None]], "n bigint")
+    cuts = H.cuts_of_numbers(docs, {"n": F.col("n")}, 8)["n"]
+    assert cuts == [float(min(v for v in range(1000) if (v + 1) * 256 >= 1001 * i)) for i in range(1, 256)]
+    placed = H.with_hilbert(docs, {"n": F.col("n")}, 8, "level", {"n": cuts}).collect()
+    assert all(r.level == sum(r.n >= c for c in cuts) if r.n is not None else r.level == 0 for r in placed)
+    assert max(Counter(r.level for r in placed).values()) <= 6
+    few = docs.filter("n < 3")
+    wide = H.with_hilbert(few, {"n": F.col("n")}, 12, "level", H.cuts_of_numbers(few, {"n": F.col("n")}, 12)).collect()
+    assert all(0 <= r.level < 1 << 12 for r in wide) and len({r.level for r in wide}) == 3
+
+
+def test_ids_that_are_no_numbers(spark, awkward, awkward_docs):
+    named = awkward_docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    check_shards(H.assign_shards(named).collect(), [(None if i is None else f"d{i}", t) for i, t in awkward], 16)
+
+
 def brute_pieces(rows, capacity):
     t = Tokenizer.from_file(P.tokenizer_path())
     out = []
