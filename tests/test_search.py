@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparsight.operators import blocks, dense, sparse, sparse_blocks, sparse_index
@@ -156,6 +157,55 @@ def test_all_ways_give_the_same_bits(spark, monkeypatch, heavy, send, grid):
     assert hits_of(sparse.sparse_topk(asked, index, 5, *grid)) == brute_sparse(q, d, 5)
 
 
+@pytest.mark.parametrize("heavy", [2, 1000])
+@pytest.mark.parametrize("positive", [False, True])
+def test_many_queries_meet_packed_blocks(spark, monkeypatch, base, heavy, positive):
+    patch_sizes(monkeypatch, HEAVY_POSTINGS=heavy, BLOCK_POSTINGS=40, BLOCK_DOCS=20, RUN_POSTINGS=1, RUN_DOCS=1, SEND_BYTES=100)
+    patch_sizes(monkeypatch, GROUP_BYTES=1500, PACK_ROWS=10, SPLIT_BYTES=900)
+    rng = np.random.default_rng(heavy)
+    q, d = random_postings(rng, "qid", 40, 12, 0.4), random_postings(rng, "pid", 150, 12, 0.4)
+    if positive:
+        q, d = ([(i, f, abs(w)) for i, f, w in x] for x in (q, d))
+    q += [(100 + i, 3, 1.0) for i in range(5)] + [(200, f, 2.0) for f in range(12)] + [(300, 999, 1.0)]
+    asked = spark.createDataFrame(q, "qid long, feature int, weight double").repartition(3)
+    index = spark.createDataFrame(d, "pid long, feature int, weight double").repartition(5)
+
+    def refuse(*_):
+        raise AssertionError("queries pass through the driver")
+
+    monkeypatch.setattr(sparse_index, "search_blocks", refuse)
+    assert hits_of(sparse.sparse_topk(asked, index, 5)) == brute_sparse(q, d, 5)
+    sparse.sparse_index_create(spark, base, "m", index)
+    again = [(i, f, 3.0 if positive else w - 1) for i, f, w in d if i % 7 == 0]
+    sparse.sparse_index_add(spark, base, "m", spark.createDataFrame(again, "pid long, feature int, weight double"), merge=False)
+    now = [x for x in d if x[0] % 7] + again
+    assert hits_of(sparse.sparse_index_search(spark, base, "m", asked, 5)) == brute_sparse(q, now, 5)
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_dense_products_have_the_same_bits(repeats):
+    rng = np.random.default_rng(3)
+    q = [(i, f, float(rng.exponential())) for i in range(30) for f in rng.choice(24, 6, replace=False).tolist()]
+    d = [(i, f, float(rng.exponential())) for i in range(400) for f in rng.choice(24, 5, replace=False).tolist()]
+    d += [(500 + i, 0, 1.0) for i in range(20)]  # ties
+    if repeats:
+        d.insert(1, d[0])
+    tables = [pa.table({c: pa.array([r[i] for r in rows]) for i, c in enumerate((name, "feature", "weight"))}) for rows, name in ((q, "qid"), (d, "pid"))]
+    search = sparse_blocks.Search(sparse_blocks.Queries.of(tables[0]), 7)
+    made = []
+    dense = search._dense
+    search._dense = lambda *a: made.append(dense(*a)) or made[-1]
+    for start in range(0, len(d), 500):
+        block = sparse_blocks.built_block(tables[1].slice(start, 500))
+        body = sparse_blocks.packed_block(block)
+        for a, b in zip(vars(block).values(), vars(sparse_blocks.unpacked_block(body)).values()):
+            assert a is b is None or (np.asarray(a) == np.asarray(b)).all()
+        search.add(block)
+    got = sorted((r["qid"], r["pid"], r["score"]) for b in search.hits(pa.int64(), pa.int64()) for r in b.to_pylist())
+    assert got == sorted((i, j, s) for i, _, j, s in brute_sparse(q, d, 7))
+    assert any(x is None for x in made) == repeats and not all(x is None for x in made)
+
+
 def test_bounds_skip_postings_and_lose_nothing(spark, monkeypatch, base):
     patch_sizes(monkeypatch, BLOCK_POSTINGS=3000, RUN_POSTINGS=4, RUN_DOCS=8)
     rng = np.random.default_rng(2)
