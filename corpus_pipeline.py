@@ -7,7 +7,7 @@ into the shared folder and reads it again as the next one's input.
 * quality: rejected documents go, and so do the lines that failed in the others;
 * lines: lines of at least 40 characters found in 5 documents stay in the one with the largest id;
 * near_duplicates: of each group of near copies (a Jaccard similarity of the sets of five-word shingles
-  of at least 0.8) the smallest id stays;
+  of at least 0.8, of pairs found by the fingerprints and pivots of op1, and by MinHash bands) the smallest id stays;
 * decontamination: contaminated documents go, and the passages of test items in the others;
 * packing: pieces of the rest, placed in sequences of 4096 tokens.
 """

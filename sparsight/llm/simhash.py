@@ -14,7 +14,8 @@ than ``TILE_ROWS`` rows are cut into tiles that cover all their pairs.  The fore
 components by grouped minima.
 
 Whole documents are near copies if the sets of their shingles have a Jaccard similarity of at least
-``SIMILARITY``.  Sets that agree in some band of MinHash values are candidates, whose components are
+``SIMILARITY``.  Texts whose fingerprints (those of op1) are linked in cells with pivots are candidates, and
+so are, for the similarities that 64 bits miss, sets that agree in some band of MinHash values; the components of both are
 verified by the exact similarity of every pair.  A component beyond a tile's bounds is cut into tiles
 that cover all its pairs.
 
@@ -40,6 +41,8 @@ REFERENCES = 16
 TILE_ROWS = 4096
 #: Cells up to this size are compared by shifts over many cells at once.
 SMALL_CELL = 32
+#: Of fingerprints of documents: shingle words, words of 64 bits, and the bits by which linked ones differ at most.
+PRINT_SHINGLE, PRINT_WORDS, RADIUS = 3, 1, 3
 #: Of near copies of whole documents: shingle words, similarity.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and MinHash values of each: at a similarity of 0.8 all bands miss with a probability of 0.00006.
@@ -319,27 +322,28 @@ def minhash_multipliers():
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, node (a digest of the shingle set), bands of every row."""
+    """doc_id, text_key, node (a digest of the shingle set), bands, fp (the fingerprint) of every row."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        multipliers = minhash_multipliers()
+        multipliers, lanes = minhash_multipliers(), _lanes()
         for batch in batches:
-            nodes, bands = [], []
+            nodes, bands, fps = [], [], []
             for text in batch.column(2):
                 hashes = shingle_set(text.as_py(), width)
+                fps.append(fingerprint(shingle_hashes(text.as_py(), PRINT_SHINGLE), PRINT_WORDS, lanes))
                 nodes.append(xxh3_128_digest(hashes.tobytes()))
                 bands.append(band_keys(hashes, multipliers).view("int64"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "node", "bands"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.binary())],
+                names=["doc_id", "text_key", "node", "bands", "fp"],
             )
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), common.text_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(sketch, f"doc_id {key}, text_key bigint, node binary, bands array<bigint>")
+    return rows.mapInArrow(sketch, f"doc_id {key}, text_key bigint, node binary, bands array<bigint>, fp binary")
 
 
 def with_roots(links: DataFrame) -> DataFrame:
@@ -348,13 +352,28 @@ def with_roots(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def candidate_components(nodes: DataFrame) -> DataFrame:
-    """node, root of all nodes that share a band with another, by components of shared bands."""
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """a, b: links of nodes (node, fp) whose fingerprints are within the radius, by cells and pivots as in :func:`components`."""
+    prints = materialize(prints.distinct(), "node-prints")
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("b")), "print-nodes")
+    equal = prints.join(first, "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    near = linked(first, RADIUS, PRINT_WORDS)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("b").alias(f"of_{end}")), end)
+    return equal.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """a, b: links of all nodes that share a band with another."""
     cells = nodes.select("node", F.explode("bands").alias("key"))
     ends = cells.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top"))
     shared = materialize(ends.filter("b <> top").select("key", "b"), "shared-bands")
-    links = cells.join(common.sent_if_small(shared, F.lit(32)), "key").select(F.col("node").alias("a"), "b")
-    return with_roots(links)
+    return cells.join(common.sent_if_small(shared, F.lit(32)), "key").select(F.col("node").alias("a"), "b")
+
+
+def candidate_components(nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """node, root of all nodes linked by their fingerprints or by a shared band, by components of these links."""
+    return with_roots(fingerprint_links(prints).unionByName(band_links(nodes)))
 
 
 def similar_roots(sets, similarity: float):
@@ -426,7 +445,7 @@ def near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     sketched = materialize(sketches(docs, width), "sketches")
     nodes = materialize(sketched.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
     rows = sketched.select("doc_id", "text_key", "node")
-    members = materialize(candidate_components(nodes), "candidates")
+    members = materialize(candidate_components(nodes, sketched.select("node", "fp")), "candidates")
     texts = rows.join(common.sent_if_small(members, F.lit(48)), "node").groupBy("node", "root").agg(F.min("text_key").alias("of_text"))
     texts = common.sent_if_small(materialize(texts, "candidate-texts"), F.lit(56))
     wanted = docs.select(text_key(F.col("text")).alias("of_text"), common.text_bytes(F.col("text")).alias("text")).join(texts, "of_text")
@@ -474,7 +493,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: floa
 
 
 def op1_simhash_pivots(spark: SparkSession, sf: str) -> DataFrame:
-    found = components(common.table(spark, sf, "documents").select("doc_id", "text"), width=3, words=1, radius=3)
+    found = components(common.table(spark, sf, "documents").select("doc_id", "text"), PRINT_SHINGLE, PRINT_WORDS, RADIUS)
     low_first = F.lower(F.hex("fp"))
     digits = F.concat(*[F.substring(low_first, at, 2) for at in range(15, 0, -2)])
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sparsight.llm import components
@@ -82,6 +83,21 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert kept == [0, *range(1000, 1050)]
 
 
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    # Without the bands of MinHash values, near copies are those that the cells with pivots link.
+    monkeypatch.setattr(S, "band_links", lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), raising=False)
+    rows = []
+    for i in range(20):
+        words = [f"t{i}w{k}" for k in range(1500)]
+        other = list(words)
+        other[700] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rows += [(100, "a b a b a b a b a b"), (101, "a b a b a b")]  # one set, two fingerprints
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(range(0, 40, 2)) <= kept and 100 in kept and 101 not in kept
+    assert sum(i % 2 for i in kept) <= 4
+
+
 def test_near_copies_by_similarity(spark):
     rng = np.random.default_rng(5)
     rows, jaccard = [], []
