@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sparsight.functions.columns import offset_of, shard_of
 
 SPLITS = ("train", "dev", "eval")
+# Bytes of text that one task should sort and write into one file.
+FILE_BYTES = 256 * 1024 * 1024
 
 
 def _check_split(split: str) -> str:
@@ -40,8 +42,12 @@ def _write_sharded(df: DataFrame, shards: int, path: str, outer: tuple[str, ...]
 # --- passages, queries, vectors --------------------------------------------
 
 
-def write_passages(passages: DataFrame, shards: int, base: str, files_per_shard: int = 1) -> None:
+def write_passages(passages: DataFrame, shards: int, base: str, files_per_shard: int | None = None) -> None:
+    """Text shards; without ``files_per_shard`` as many files as leave each about ``FILE_BYTES`` of text at most."""
     rows = passages.select("row_idx", "pid", "passage")
+    if files_per_shard is None:
+        total = rows.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+        files_per_shard = max(1, -(-total // (shards * FILE_BYTES)))
     _write_sharded(rows, shards, f"{base}/passages", files=files_per_shard)
 
 

@@ -238,3 +238,13 @@ def test_export_refuses_numbers_with_gaps(spark, base, places):
     rows = spark.createDataFrame([(p, [1.0, 2.0]) for p in places], "row_idx long, vec array<double>")
     with pytest.raises(Exception, match="rows of shard|its header says"):
         vector_shards.export_vector_shards(rows, 1, f"{base}/shards").collect()
+
+
+def test_large_passages_are_cut_into_files(spark, base, monkeypatch):
+    rows = spark.createDataFrame([(i, str(i), "x" * 100) for i in range(60)], "row_idx long, pid string, passage string")
+    monkeypatch.setattr(tables, "FILE_BYTES", 500, raising=False)
+    tables.write_passages(rows, 3, base)
+    files = spark.read.parquet(f"{base}/passages").select("shard", F.input_file_name().alias("file")).distinct()
+    assert {r["count"] for r in files.groupBy("shard").count().collect()} == {4}
+    got = sorted(tuple(r) for r in tables.scan_passages(spark, base).collect())
+    assert got == sorted(tuple(r) for r in rows.collect())
