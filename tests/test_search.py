@@ -182,6 +182,14 @@ def test_many_queries_meet_packed_blocks(spark, monkeypatch, base, heavy, positi
     assert hits_of(sparse.sparse_index_search(spark, base, "m", asked, 5)) == brute_sparse(q, now, 5)
 
 
+def test_best_hits_put_nan_last():
+    rows = np.repeat([0, 1], 6)
+    cols = np.tile(np.arange(6), 2)
+    scores = np.array([np.nan, 3.0, np.nan, 1.0, np.nan, 2.0, np.nan, np.nan, np.nan, np.nan, np.nan, 5.0])
+    found = sparse_blocks.best_hits(rows, cols, scores, 2, 3)
+    assert found[0].tolist() == [0, 0, 0, 1, 1, 1] and found[1].tolist() == [1, 5, 3, 5, 0, 1]
+
+
 @pytest.mark.parametrize("repeats", [False, True])
 def test_dense_products_have_the_same_bits(repeats):
     rng = np.random.default_rng(3)
