@@ -40,6 +40,8 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 CODE_BITS, CODE_FACTOR = 32, 2_654_435_769
 # Bytes of one activation, and of one code, in a cell.
 ACTIVATION_BYTES, CODE_BYTES = 24, 24
+# Start weights that one task makes, about.
+TASK_WEIGHTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -189,7 +191,10 @@ def init_weights(features: DataFrame, dim: int, size: int, seed: int) -> tuple[D
 
     ``size`` is the number of features, the fan-in of the decoder.  The values
     depend only on (seed, feature, dimension), so any executor makes the same ones.
+    A feature is a few bytes and its vectors are many: features are dealt to tasks by what they become.
     """
+    tasks = math.ceil(size * dim / TASK_WEIGHTS)
+    features = features.repartition(tasks) if tasks > 1 else features
     enc, dec = dim**-0.5, size**-0.5
 
     def vector(name: str, bound: float, row: Column) -> Column:

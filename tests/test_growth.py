@@ -1,0 +1,22 @@
+"""What tasks hold and how work is dealt, where a query grows."""
+
+
+from sparsight.operators import autoencoder as A
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_many_weights_are_made_in_many_tasks(spark):
+    ids = spark.range(40_000).selectExpr("CAST(id AS INT) AS feature").coalesce(1)
+    weights, _ = A.init_weights(ids, 64, 40_000, 3)
+    assert weights.rdd.getNumPartitions() == 3
+    # The values depend on the feature alone, and repeated and null features keep their rows.
+    odd = spark.createDataFrame([(5,), (5,), (None,)], "feature int").coalesce(1)
+    few = A.init_weights(odd, 4, 3, 3)[0].collect()
+    many = A.init_weights(odd, 4, A.TASK_WEIGHTS, 3)[0]
+    assert many.rdd.getNumPartitions() > 1
+    assert [r.w_enc for r in sorted(many.collect(), key=str)] == [r.w_enc for r in sorted(few, key=str)]
