@@ -329,7 +329,9 @@ def q_write_model(spark, sf):
     moments = [F.size(c) for c in ("m_enc", "m_dec", "v_enc", "v_dec")]
     zero = F.forall(F.concat("m_enc", "m_dec", "v_enc", "v_dec"), lambda x: x == 0)
     parts = F.posexplode(F.arrays_zip("w_enc", "w_dec")).alias("dim", "w")
-    rows = saved.select("feature", r6("b_enc").alias("b_enc"), parts, (zero & (sum(moments) == 4 * F.size("w_enc"))).alias("zero"))
+    # The moments are looked at once a feature, before it becomes a row for each dimension.
+    zero = (zero & (sum(moments) == 4 * F.size("w_enc"))).alias("zero")
+    rows = saved.select("feature", r6("b_enc").alias("b_enc"), "w_enc", "w_dec", zero).select("feature", "b_enc", parts, "zero")
     said = fitted.select(F.col("epoch").alias("epoch"), F.col("step").alias("step"), r6("rate").alias("rate"))
     return rows.select(
         "feature", "b_enc", "dim", r6("w.w_enc").alias("w_enc"), r6("w.w_dec").alias("w_dec"), F.col("zero").alias("zero_moments")

@@ -1,6 +1,7 @@
 """What tasks hold and how work is dealt, where a query grows."""
 
 
+import __spark_entry__ as entry
 from sparsight.operators import autoencoder as A
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,8 @@ def test_many_weights_are_made_in_many_tasks(spark):
     many = A.init_weights(odd, 4, A.TASK_WEIGHTS, 3)[0]
     assert many.rdd.getNumPartitions() > 1
     assert [r.w_enc for r in sorted(many.collect(), key=str)] == [r.w_enc for r in sorted(few, key=str)]
+
+
+def test_moments_are_looked_at_once_a_feature(spark):
+    plan = plan_of(entry.q_write_model(spark, SF))
+    assert "forall" in plan[plan.index("Generate") :] and "forall" not in plan[: plan.index("Generate")]
