@@ -55,10 +55,10 @@ def _with_running_counts(
 ) -> DataFrame:
     """Relevant, judged non-relevant and pooled unjudged hits up to and including each rank.
 
-    The columns of ``of_query`` (one row per qid) are added too.  A run known to be at
-    most one bucket deep is counted per query at once.  Otherwise counts inside a
-    bucket get those of the buckets above it, and ``of_query`` travels with these, so
-    that hits are only ever joined by (config, qid, bucket).
+    The columns of ``of_query`` (one row per qid) are added too, before hits are counted, so that
+    they are dealt by query once.  A run known to be at most one bucket deep is counted per query
+    at once.  Otherwise counts inside a bucket get those of the buckets above it, and ``of_query``
+    travels with these, so that hits are only ever joined by (config, qid, bucket).
     """
     key, bucket = ["config", "qid"], ["config", "qid", "_bucket"]
     names = {"_r": "rel_so_far", "_n": "nonrel_so_far", "_u": "unjudged_so_far"}
@@ -66,8 +66,9 @@ def _with_running_counts(
     flags = hits.select("*", *[F.coalesce(f.cast("bigint"), F.lit(0)).alias(c) for c, f in kinds.items()])
     if depth is not None and depth <= BUCKET:
         above = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-        counted = flags.select(*hits.columns, *[F.sum(c).over(above).alias(n) for c, n in names.items()])
-        return counted if of_query is None else counted.join(of_query, "qid")
+        extra = [c for c in of_query.columns if c != "qid"] if of_query is not None else []
+        flags = flags.join(of_query, "qid") if extra else flags
+        return flags.select(*hits.columns, *extra, *[F.sum(c).over(above).alias(n) for c, n in names.items()])
 
     flags = flags.withColumn("_bucket", F.call_function("div", F.col("rank") - 1, F.lit(BUCKET)))
     totals = flags.groupBy(*bucket).agg(*[F.sum(c).alias(c) for c in names])
@@ -86,8 +87,24 @@ def _with_running_counts(
     )
 
 
+def _measured_depth(run: DataFrame, depth: int | None) -> tuple[DataFrame, int | None]:
+    """The run and its depth; where none is named, the lowest rank, of hits with a configuration and a rank.
+
+    A run of one bucket is then joined and moved once, not again for the totals of its buckets.
+    Repeated ranks make a query longer than its depth, so the hits of the longest query count too.
+    """
+    if depth is not None:
+        return run, depth
+    run = run.filter("config IS NOT NULL AND rank IS NOT NULL")
+    lowest = run.agg(F.max("rank")).first()[0] or 0
+    if lowest <= BUCKET:
+        lowest = run.groupBy("config", "qid").count().agg(F.max("count")).first()[0] or 0
+    return run, lowest
+
+
 def judge_run(run: DataFrame, qrels: DataFrame, depth: int | None = None) -> DataFrame:
     """Every hit of a judged query with its judgment (null if unjudged) and ``rel_so_far``."""
+    run, depth = _measured_depth(run, depth)
     qrels = one_judgment(qrels)
     kept = run.join(qrels.select("qid").distinct(), "qid", "left_semi")
     judged = kept.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"], "left")
@@ -153,6 +170,7 @@ def per_query(
 
     # What each judged hit adds, once the counts of its query are at hand.
     eps = f"{INFERRED_SMOOTHING}D"
+    run, depth = _measured_depth(run, depth)
     hits = _with_running_counts(_judged(run, qrels), judgments, depth).selectExpr(
         "config", "qid", "rank", "rel", "num_rel",
         "rel >= 1 AS hit",

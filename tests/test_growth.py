@@ -3,6 +3,7 @@
 
 import __spark_entry__ as entry
 from sparsight.operators import autoencoder as A
+from sparsight.plans import evaluate as V
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,28 @@ def test_many_weights_are_made_in_many_tasks(spark):
 def test_moments_are_looked_at_once_a_feature(spark):
     plan = plan_of(entry.q_write_model(spark, SF))
     assert "forall" in plan[plan.index("Generate") :] and "forall" not in plan[: plan.index("Generate")]
+
+
+def test_ranks_are_taken_before_rows_are_doubled(spark):
+    plan = plan_of(entry.part_run(spark, SF))
+    assert plan.index("Generate") < plan.index("Window")
+
+
+def test_shallow_runs_are_not_cut_into_buckets(spark, monkeypatch):
+    rows = [("c", f"q{q}", f"p{p}", p + 1) for q in range(3) for p in range(9)] + [(None, "q0", "p0", 1), ("c", "q1", "p2", None)]
+    run = spark.createDataFrame(rows, "config string, qid string, pid string, rank int")
+    qrels = spark.createDataFrame([(f"q{q}", f"p{p}", (p + q) % 4 - 1) for q in range(2) for p in range(0, 9, 2)], "qid string, pid string, rel int")
+    judged, measured = V.judge_run(run, qrels), V.evaluate(run, qrels)
+    assert "_bucket" not in plan_of(judged) + plan_of(measured)
+    shallow = sorted(judged.collect()), sorted(measured.collect(), key=str)
+    monkeypatch.setattr(V, "BUCKET", 4)
+    judged, measured = V.judge_run(run, qrels), V.evaluate(run, qrels)
+    assert "_bucket" in plan_of(judged) and "_bucket" in plan_of(measured)
+    assert sorted(judged.collect()) == shallow[0] and len(shallow[0]) == 18
+    assert [(r.measure, round(r.value, 12)) for r in sorted(measured.collect(), key=str)] == [(r.measure, round(r.value, 12)) for r in shallow[1]]
+
+
+def test_hits_of_repeated_ranks_count_as_depth(spark, monkeypatch):
+    monkeypatch.setattr(V, "BUCKET", 4)
+    run = spark.createDataFrame([("c", "q", f"p{p}", 1) for p in range(5)], "config string, qid string, pid string, rank int")
+    assert V._measured_depth(run, None)[1] == 5
