@@ -1,8 +1,11 @@
 """What tasks hold and how work is dealt, where a query grows."""
 
+import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 from sparsight.operators import autoencoder as A
+from sparsight.operators import pairs as M
 from sparsight.plans import evaluate as V
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +55,16 @@ def test_hits_of_repeated_ranks_count_as_depth(spark, monkeypatch):
     monkeypatch.setattr(V, "BUCKET", 4)
     run = spark.createDataFrame([("c", "q", f"p{p}", 1) for p in range(5)], "config string, qid string, pid string, rank int")
     assert V._measured_depth(run, None)[1] == 5
+
+
+def test_slices_of_pairs_are_small():
+    n, k, dim = 4000, 7, 64
+    vectors = pa.array(np.zeros(n * k * dim))
+    passages = pa.ListArray.from_arrays(
+        np.arange(0, n * k + 1, k, dtype=np.int32), pa.ListArray.from_arrays(np.arange(0, n * k * dim + 1, dim, dtype=np.int32), vectors)
+    )
+    queries = pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), pa.array(np.zeros(n * dim)))
+    batch = pa.RecordBatch.from_arrays([queries, passages], names=["q_vec", "p_vecs"])
+    slices = list(M.pair_slices([batch]))
+    assert sum(s.num_rows for s in slices) == n
+    assert max(s.num_rows for s in slices) * (k + 1) * dim <= 500_000
