@@ -6,6 +6,7 @@ import pyarrow as pa
 import __spark_entry__ as entry
 from sparsight.operators import autoencoder as A
 from sparsight.operators import pairs as M
+from sparsight.operators import sparse_blocks as S
 from sparsight.plans import evaluate as V
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,18 @@ def test_slices_of_pairs_are_small():
     slices = list(M.pair_slices([batch]))
     assert sum(s.num_rows for s in slices) == n
     assert max(s.num_rows for s in slices) * (k + 1) * dim <= 500_000
+
+
+def test_a_block_is_opened_in_pieces():
+    n = 2 * S.GIVEN_ROWS + 77
+    rng = np.random.default_rng(1)
+    table = pa.table({"pid": np.repeat(np.arange(n // 10 + 1), 10)[:n], "feature": rng.integers(0, 1 << 30, n), "weight": rng.random(n)})
+    block = S.built_block(table)
+    for gone in (None, np.array([0, 7, 4000])):
+        block.gone = gone
+        given = list(S.opened(block))
+        assert len(given) == 3 and max(b.num_rows for b in given) <= S.GIVEN_ROWS
+        left = pa.Table.from_batches(given)
+        dead = set() if gone is None else set(block.pids.take(pa.array(gone)).to_pylist())
+        wanted = [r for r in zip(*(table[c].to_pylist() for c in table.column_names)) if r[0] not in dead]
+        assert sorted(zip(*(left[c].to_pylist() for c in left.column_names))) == sorted(wanted)
