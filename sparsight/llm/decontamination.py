@@ -186,7 +186,7 @@ def hit_rows(docs: DataFrame, block: DataFrame, window: int, all_rows: bool) ->
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             rows = []
-            for doc, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, text_hash, text in zip(*((x.as_py() for x in column) for column in batch.columns[:3])):
                 n, spans, found = automaton.scan(text)
                 if spans or all_rows:
                     listed = sorted(i for i in found if i is not None)

@@ -47,10 +47,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
         tokens, last = word_tokens(path, cache_words), end_id.to_bytes(4, "little")
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for some in common.runs_of(rows, (len(t) for _, t in rows), TEXT_SLICE):
+            for some in common.byte_slices(batch, 1, TEXT_SLICE):
                 out: list[list] = [[], [], [], [], [], []]
-                for (doc, _), ids in zip(some, tokens.encode([t for _, t in some])):
+                for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist())):
                     ids += last
                     for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -59,6 +58,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 types = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t, _ in zip(out, types, names)], names=names)
+        common.give_back()
 
     return docs.select("doc_id", common.text_bytes(F.col("text")).alias("text")).mapInArrow(cut, schema)
 

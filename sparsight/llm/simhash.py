@@ -341,6 +341,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.binary())],
                 names=["doc_id", "text_key", "node", "bands", "fp"],
             )
+        common.give_back()
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), common.text_bytes(F.col("text")).alias("text"))
     return rows.mapInArrow(sketch, f"doc_id {key}, text_key bigint, node binary, bands array<bigint>, fp binary")
@@ -436,6 +437,8 @@ def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
                 held.append((node.as_py(), shingles.as_py()))
         if len(held) > 1:
             yield links_of(held)
+        held.clear()
+        common.give_back()
 
     return dealt.mapInArrow(link, "a binary, b binary")
 
@@ -458,6 +461,7 @@ def near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 some = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py(), width).tobytes() for t in some.column(2)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(sets, pa.binary())], names=["node", "root", "shingles"])
+        common.give_back()
 
     sets = wanted.select("node", "root", "text").mapInArrow(gather, "node binary, root binary, shingles binary")
     sets = materialize(sets.dropDuplicates(["node"]), "shingle-sets")

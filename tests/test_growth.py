@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import __spark_entry__ as entry
+from sparsight.llm import common
 from sparsight.operators import autoencoder as A
 from sparsight.operators import pairs as M
 from sparsight.operators import sparse_blocks as S
@@ -84,3 +85,11 @@ def test_a_block_is_opened_in_pieces():
         dead = set() if gone is None else set(block.pids.take(pa.array(gone)).to_pylist())
         wanted = [r for r in zip(*(table[c].to_pylist() for c in table.column_names)) if r[0] not in dead]
         assert sorted(zip(*(left[c].to_pylist() for c in left.column_names))) == sorted(wanted)
+
+
+def test_byte_slices_bound_what_is_held_at_once():
+    texts = [b"x" * size for size in (5, 5, 30, 1, 0, 9, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    slices = list(common.byte_slices(batch, 1, 10))
+    assert [s.column(0).to_pylist() for s in slices] == [[0, 1], [2], [3, 4, 5], [6, 7]]
+    common.give_back()
