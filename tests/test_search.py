@@ -338,3 +338,71 @@ def test_fetch_vectors_and_feature_maps(spark):
     postings = spark.createDataFrame([(1, 5, 2.0), (1, 6, -1.0)], "pid long, feature int, weight double")
     assert sparse.to_feature_map(postings, "pid").first().features == {5: 2.0, 6: -1.0}
     assert sparse.positive_only(postings).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "copies", "tiny", "huge", "mixed"])
+@pytest.mark.parametrize("biased", [False, True])
+def test_single_precision_chooses_what_double_precision_finds(monkeypatch, kind, biased):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(37, 12)), rng.normal(size=(300, 12))
+    if kind == "ties":
+        x, y = np.round(x), np.round(y)
+    elif kind == "copies":
+        y = np.tile(y[:60], (5, 1)) * (1 + 1e-12 * rng.integers(0, 3, (300, 1)))
+    elif kind == "tiny":
+        x, y = x * 1e-30, y * 1e-12
+    elif kind == "huge":
+        x, y = x * 1e30, y * 1e30
+    elif kind == "mixed":
+        y[::7], y[3], x[5] = y[::7] * 1e9, np.nan, np.inf
+    bias = rng.normal(size=300) * np.abs(y[np.isfinite(y)]).max() if biased else None
+    want = blocks.top_products(x, y, bias, 6)
+    monkeypatch.setattr(blocks, "TILE_COLS", 32)
+    monkeypatch.setattr(blocks, "TILE_ROWS", 10)
+    got = blocks.top_products(x, y, bias, 6)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got))
+    edge = np.full(37, -np.inf)
+    edge[want[0][want[3] == 6]] = want[2][want[3] == 6]
+    again = blocks.top_products(x, y, bias, 6, edge)
+    assert all(np.array_equal(a, b) for a, b in zip(want, again))
+    edge[want[0][want[3] == 2]] = want[2][want[3] == 2]
+    above = want[2] >= edge[want[0]]
+    few = blocks.top_products(x, y, bias, 6, edge)
+    assert all(np.array_equal(a[above], b) for a, b in zip(want, few))
+
+
+def test_groups_read_the_right_side_where_it_is(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    q, p = np.round(rng.normal(size=(90, 8)), 1), np.round(rng.normal(size=(130, 8)), 1)
+    left, right = vector_frame(spark, "qid", q), vector_frame(spark, "pid", p).repartition(3)
+    want = brute_dense(q.tolist(), p.tolist(), 7)
+    for name, value in {"SEND_BYTES": 0, "BLOCK_BYTES": 1500, "WAVE": 5}.items():
+        monkeypatch.setattr(blocks, name, value)
+    hits = dense.dense_topk(left, right, 7)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CoGroup" not in plan
+    assert hits.rdd.getNumPartitions() > 8
+    assert hits_of(hits) == want
+    # Equal keys share their hits, null ones, too, as in a search whose left side is sent.
+    odd = left.selectExpr("nullif(qid % 40, 3) AS qid", "vec")
+    shared = dense.dense_topk(odd, right, 7)
+    monkeypatch.undo()
+    order = lambda df: sorted((-1 if r.qid is None else r.qid, r.rank, r.score) for r in df.collect())
+    assert order(shared) == order(dense.dense_topk(odd, right, 7))
+
+
+def test_pairs_search_their_neighbours_once(spark, monkeypatch, tmp_path):
+    from sparsight.operators import pairs, skew
+
+    counted = spark.sparkContext.accumulator(0)
+    near = spark.createDataFrame([(q, r, (q + r) % 9) for q in range(30) for r in (1, 2)], "qid long, rank int, pid long")
+
+    def count(stream):
+        for batch in stream:
+            counted.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(skew, "is_sent", lambda frame: False)
+    vectors = vector_frame(spark, "pid", np.eye(9))
+    built = pairs.build_pairs(near.mapInArrow(count, near.schema), vector_frame(spark, "qid", np.ones((30, 9))), vectors, 2)
+    assert built.count() == 30 and counted.value == 60
