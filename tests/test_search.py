@@ -406,3 +406,24 @@ def test_pairs_search_their_neighbours_once(spark, monkeypatch, tmp_path):
     vectors = vector_frame(spark, "pid", np.eye(9))
     built = pairs.build_pairs(near.mapInArrow(count, near.schema), vector_frame(spark, "qid", np.ones((30, 9))), vectors, 2)
     assert built.count() == 30 and counted.value == 60
+
+
+def test_groups_of_queries_read_blocks_without_copying_them(spark, monkeypatch, base):
+    import pyarrow.parquet as pq
+
+    patch_sizes(monkeypatch, BLOCK_POSTINGS=40, BLOCK_DOCS=20, RUN_POSTINGS=1, RUN_DOCS=1, GROUP_BYTES=1500)
+    rng = np.random.default_rng(8)
+    q, d = random_postings(rng, "qid", 40, 12, 0.4), random_postings(rng, "pid", 150, 12, 0.4)
+    asked = spark.createDataFrame(q, "qid long, feature int, weight double")
+    index = spark.createDataFrame(d, "pid long, feature int, weight double").coalesce(1)
+    sparse.sparse_index_create(spark, base, "m", index)
+    newest = sparse_index.newest_version(spark, base, "m")
+    blocks_now = sparse_index._live_blocks(spark, newest)
+    hits = sparse_blocks.search_in_cells(blocks_now, asked, 5, sparse_index.query_sizes(asked))
+    assert hits.rdd.getNumPartitions() > 4
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    # A block is a row of many megabytes: Spark reads one at a time.
+    folder = newest.segments[0].folder.removeprefix("file:")
+    files = [os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")]
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(groups) == blocks_now.count() > len(files) and max(groups) == 1
