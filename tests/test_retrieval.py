@@ -75,3 +75,15 @@ def test_reconstructed_search(setup):
     q_hat = float32(ae.reconstruct(queries, model, 6, ["qid"]))
     p_hat = float32(ae.reconstruct(passages, model, 6, ["pid"]))
     assert rows(B.retrieve_reconstructed(queries, passages, model, 6, 4)) == rows(dense_topk(q_hat, p_hat, 4))
+
+
+def test_sweep_with_repeated_passages_and_bounds_above_their_features(setup):
+    queries, passages, model = setup
+    # Two passages of one id have up to twice as many features.
+    twice = passages.withColumn("pid", F.col("pid") % 14)
+    grid = [(2, 6, 0.16), (2, 8, 0.16), (2, 16, 0.16), (2, 32, 0.16)]
+    swept = B.feedback_sweep(queries, twice, model, 6, 5, grid).collect()
+    for hits, features, delta in grid:
+        one = B.retrieve_feedback(queries, twice, model, 6, hits, features, delta, 5)
+        mine = [r for r in swept if r.config == B.config_name(hits, features, delta)]
+        assert sorted((r.qid, r["rank"], round(r.score, 9)) for r in mine) == [(q, n, s) for q, n, _, s in rows(one)]
